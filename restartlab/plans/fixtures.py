@@ -201,6 +201,36 @@ LEFT JOIN (SELECT e.graph_id, e.u, e.v, count(*) AS t FROM fx_edges e
            JOIN fx_adj x ON x.graph_id = e.graph_id AND x.a = e.u
            JOIN fx_adj y ON y.graph_id = e.graph_id AND y.a = e.v AND y.b = x.b GROUP BY 1, 2, 3) t
   ON t.graph_id = e.graph_id AND t.u = e.u AND t.v = e.v""",
+    "fx_features": """
+SELECT d.graph_id, d.n, d.m, d.density, d.mean_degree, d.degree_min, d.degree_max, d.degree_variance, v.mean_clustering,
+       CASE WHEN d.wedges > 0 THEN 3.0*v.triangles/d.wedges END AS transitivity, d.wedges, v.triangles,
+       CASE WHEN NOT t.flat THEN (t.xy - t.x1*t.x1)/(t.x2 - t.x1*t.x1) END AS degree_assortativity,
+       t.t1 AS triangle_edge_mean, t.t2 - t.t1*t.t1 AS triangle_edge_variance, t.x1 AS endpoint_excess_degree_mean,
+       CASE WHEN t.flat THEN 0 ELSE t.x2 - t.x1*t.x1 END AS endpoint_excess_degree_variance,
+       l.normalized_laplacian_mean, l.normalized_laplacian_variance, 2.0*d.m/12 AS adjacency_moment_2,
+       6.0*v.triangles/12 AS adjacency_moment_3, w.closed/12.0 AS adjacency_moment_4,
+       CASE WHEN t.flat THEN 1.0 ELSE 0.0 END AS degree_assortativity_missing
+FROM (SELECT graph_id, 12 AS n, CAST(sum(d)/2 AS BIGINT) AS m, sum(d)/132.0 AS density, sum(d)/12.0 AS mean_degree,
+             CASE WHEN count(*) < 12 THEN 0 ELSE min(d) END AS degree_min, max(d) AS degree_max,
+             sum(d*d)/12.0 - (sum(d)/12.0)*(sum(d)/12.0) AS degree_variance, CAST(sum(d*(d-1)/2) AS BIGINT) AS wedges
+      FROM fx_deg GROUP BY 1) d
+JOIN (SELECT d.graph_id, CAST(sum(coalesce(k.k, 0))/6 AS BIGINT) AS triangles,
+             sum(CASE WHEN d.d > 1 THEN coalesce(k.k, 0)/(d.d*(d.d-1.0)) ELSE 0 END)/12 AS mean_clustering
+      FROM fx_deg d LEFT JOIN (SELECT x.graph_id, x.a AS v, count(*) AS k FROM fx_adj x
+          JOIN fx_adj y ON y.graph_id = x.graph_id AND y.a = x.b
+          JOIN fx_adj z ON z.graph_id = x.graph_id AND z.a = y.b AND z.b = x.a GROUP BY 1, 2) k
+        ON k.graph_id = d.graph_id AND k.v = d.v GROUP BY 1) v ON v.graph_id = d.graph_id
+JOIN (SELECT graph_id, avg(t) AS t1, avg(t*t) AS t2, (sum(a)+sum(b))/(2.0*count(*)) AS x1, (sum(a*a)+sum(b*b))/(2.0*count(*)) AS x2,
+             avg(a*b) AS xy, max(b) = min(a) AS flat FROM fx_types GROUP BY 1) t ON t.graph_id = d.graph_id
+JOIN (SELECT x.graph_id, count(DISTINCT x.a)/12.0 AS normalized_laplacian_mean,
+             (count(DISTINCT x.a) + sum(1.0/(da.d*db.d)))/12.0 - (count(DISTINCT x.a)/12.0)*(count(DISTINCT x.a)/12.0) AS normalized_laplacian_variance
+      FROM fx_adj x JOIN fx_deg da ON da.graph_id = x.graph_id AND da.v = x.a
+      JOIN fx_deg db ON db.graph_id = x.graph_id AND db.v = x.b GROUP BY 1) l ON l.graph_id = d.graph_id
+JOIN (SELECT graph_id, sum(k*k) AS closed FROM (SELECT x.graph_id, x.a, y.b, count(*) AS k FROM fx_adj x
+          JOIN fx_adj y ON y.graph_id = x.graph_id AND y.a = x.b GROUP BY 1, 2, 3) GROUP BY 1) w ON w.graph_id = d.graph_id""",
+    # small dense graphs on six vertices: every edge folded onto u%6, v%6
+    "fx_fold": """
+SELECT DISTINCT graph_id, least(u%6, v%6) AS u, greatest(u%6, v%6) AS v FROM fx_edges WHERE u%6 <> v%6""",
 }
 
 
@@ -217,6 +247,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({FIXTURE_SQL[name]})" for name in FIXTURE_SQL if name in wanted)
     stripped = sql.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{sql}"
