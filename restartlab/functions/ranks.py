@@ -38,6 +38,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     margin = 4.0 / accuracy
+    small = F.col("__n") < 10 * accuracy  # few rows: the bracket is the whole group
     wanted = [F.struct(F.lit(float(p)).alias("prob"), F.lit(max(0.0, p - margin)).alias("lo_p"),
                        F.lit(min(1.0, p + margin)).alias("hi_p")) for p in probs]
     lo = F.percentile_approx("__v", [max(0.0, p - margin) for p in probs], accuracy)
@@ -47,8 +48,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                      F.min("__v").alias("__min"), F.max("__v").alias("__max"))
                 .select(*keys, "__n", "__min", "__max", F.posexplode(F.array(*wanted)).alias("__i", "__w"), "__lo", "__hi")
                 .select(*keys, "__n", F.col("__w.prob").alias("prob"),
-                        F.when(F.col("__w.lo_p") <= 0, F.col("__min")).otherwise(F.col("__lo")[F.col("__i")]).alias("__lo"),
-                        F.when(F.col("__w.hi_p") >= 1, F.col("__max")).otherwise(F.col("__hi")[F.col("__i")]).alias("__hi")))
+                        F.when(small | (F.col("__w.lo_p") <= 0), F.col("__min")).otherwise(F.col("__lo")[F.col("__i")]).alias("__lo"),
+                        F.when(small | (F.col("__w.hi_p") >= 1), F.col("__max")).otherwise(F.col("__hi")[F.col("__i")]).alias("__hi")))
     joined = data.join(brackets, keys) if keys else data.join(F.broadcast(brackets))
     group = [*keys, "prob"]
     counted = (joined.where(F.col("__v") <= F.col("__hi"))

@@ -17,7 +17,7 @@ def raw_edges(cat: Catalog) -> DataFrame:
     """Edge rows as they come: loops, repeats, a position and a weight."""
     return cat.table("lineitem").select(
         cat._graph_id().alias("graph_id"), (F.col("l_partkey") % 12).alias("a"), (F.col("l_orderkey") % 12).alias("b"),
-        F.lit(1.0).alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("position"))
+        F.lit(1.0).alias("weight"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("position"))
 
 
 def folded(cat: Catalog) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +142,9 @@ FROM (SELECT l_suppkey*1000 + (year(l_shipdate)-1995)*4 + quarter(l_shipdate)-1
              greatest(l_partkey%12, l_orderkey%12) AS v, count(*) AS k FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1"""),
     Query("flt2_edge_normalisation", _relabelled, """
 WITH raw AS (SELECT l_suppkey*1000 + (year(l_shipdate)-1995)*4 + quarter(l_shipdate)-1 AS graph_id, l_partkey%12 AS a, l_orderkey%12 AS b,
-               l_orderkey AS o, l_linenumber AS n FROM lineitem),
-seen AS (SELECT graph_id, x, min((o, n, side)) AS pos FROM (SELECT graph_id, a AS x, o, n, 0 AS side FROM raw
-         UNION ALL SELECT graph_id, b, o, n, 1 FROM raw) GROUP BY 1, 2),
+               l_orderkey AS o, l_linenumber AS n, l_partkey AS k FROM lineitem),
+seen AS (SELECT graph_id, x, min((o, n, k, side)) AS pos FROM (SELECT graph_id, a AS x, o, n, k, 0 AS side FROM raw
+         UNION ALL SELECT graph_id, b, o, n, k, 1 FROM raw) GROUP BY 1, 2),
 idx AS (SELECT graph_id, x, row_number() OVER (PARTITION BY graph_id ORDER BY pos) - 1 AS i FROM seen)
 SELECT DISTINCT r.graph_id, least(p.i, q.i) AS u, greatest(p.i, q.i) AS v FROM raw r
 JOIN idx p ON p.graph_id = r.graph_id AND p.x = r.a JOIN idx q ON q.graph_id = r.graph_id AND q.x = r.b WHERE r.a <> r.b"""),
