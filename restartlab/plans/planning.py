@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from restartlab.functions.scores import content_id, seed_rank
+from restartlab.functions.scores import content_id
 from restartlab.operators import graphs as G, planning as L
-from restartlab.operators.pools import design_counts
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
 from restartlab.plans.graphs import sizes, types
 from restartlab.plans.pools import cell_grid
@@ -113,8 +112,8 @@ def _budget(cat: Catalog) -> DataFrame:
 
 def _budget_check(cat: Catalog) -> DataFrame:
     """Closed form and expanded plan must agree."""
-    counted = _shot_plan(cat, 5).agg(F.count(F.lit(1)).alias("expanded"), F.count_if("method = 'fixed'").alias("expanded_fixed"),
-                                     F.count_if("mode = 'exact_control'").alias("expanded_exact"))
+    counted = _shot_plan(cat, 5).agg(F.count(F.lit(1)).alias("expanded"), F.count_if(F.col("method") == "fixed").alias("expanded_fixed"),
+                                     F.count_if(F.col("mode") == "exact_control").alias("expanded_exact"))
     closed = _budget(cat).select("tasks", "fixed", "exact_control")
     one = F.lit(1).alias("k")
     return counted.withColumn("k", one).join(closed.withColumn("k", one), "k").drop("k")
@@ -139,7 +138,7 @@ def _topk(cat: Catalog) -> DataFrame:
 
 
 def _study_plan(cat: Catalog) -> DataFrame:
-    g = cat.graphs().agg(F.count(F.lit(1)).alias("n"), F.count_if("graph_split = 'evaluation'").alias("e"))
+    g = cat.graphs().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("graph_split") == "evaluation").alias("e"))
     rows = [("references", F.col("n") * (1 + 110 + 110)), ("b1", F.col("e") * 3 * 50), ("b2", F.col("e") * 3 * 2), ("b3", F.col("e") * 3),
             ("shots", F.col("e") * 3 * 5 * 11)]
     return g.select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), v.alias("tasks")) for k, v in rows])).alias("r")).select("r.*")
@@ -218,7 +217,6 @@ def _bundles(cat: Catalog) -> DataFrame:
     return b.groupBy("graph_id").agg(F.sum(F.size("tasks")).alias("tasks"), F.min(F.element_at("tasks", 1)["task_id"]).alias("first_task"))
 
 
-_PICK = "sha256('{s}' || ':' || {k})"
 FIXTURE_SQL["fx_alloc"] = """
 SELECT cell, capacity, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, sha256('7:' || cell), cell) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS allocated
 FROM (SELECT *, total*capacity//size AS base, total*capacity%size AS rem FROM (

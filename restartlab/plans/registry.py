@@ -7,7 +7,7 @@ from importlib import import_module
 
 from restartlab.plans.query import Query
 
-FAMILIES = ("scoring", "graphs", "pools", "quality", "planning")
+FAMILIES = ("storage", "scoring", "graphs", "pools", "quality", "planning")
 
 
 @cache
