@@ -435,11 +435,51 @@ GROUPS = {"L": LOCAL, "U": FEATURES[:14], "F": FEATURES}
 MISSING_FLAG = "degree_assortativity_missing"
 
 
+def edge_table(edges: DataFrame) -> DataFrame:
+    """Edges with both end degrees and common neighbours: the base of all local features."""
+    return with_degrees(edge_triangles(edges))
+
+
 def graph_features(edges: DataFrame, sizes: DataFrame, spectral: bool = True) -> DataFrame:
-    """All scalar features of every graph, one row each."""
-    out = (degree_features(edges, sizes).join(triangle_features(edges, sizes), "graph_id")
-           .join(local_features(edges), "graph_id", "left").join(adjacency_moments(edges, sizes), "graph_id")
-           .join(normalised_laplacian_moments(edges, sizes), "graph_id"))
+    """All scalar features of every graph, one row each, from a single typed edge table.
+
+    A vertex's triangles are half the common neighbours on its edges, so
+    degrees, clustering and transitivity need one pass over edge ends, and the
+    edge moments one pass over edges. Only 4-cycles are listed separately.
+    """
+    table = edge_table(edges)
+    ends = table.select("graph_id", "t", F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("du").alias("d")),
+                                                           F.struct(F.col("v").alias("v"), F.col("dv").alias("d")))).alias("e"))
+    vertices = ends.groupBy("graph_id", F.col("e.v").alias("v")).agg(F.max("e.d").alias("d"), (F.sum("t") / 2).alias("tv"))
+    d, tv, one = F.col("d"), F.col("tv"), F.lit(1)
+    per = vertices.groupBy("graph_id").agg(
+        F.count(one).alias("touched"), F.sum("d").alias("s1"), F.sum(d * d).alias("s2"), F.min("d").alias("lo"), F.max("d").alias("hi"),
+        F.sum(d * (d - 1) / 2).alias("w"), F.sum("tv").alias("t3"), F.min(d % 2).alias("p0"), F.max(d % 2).alias("p1"),
+        F.sum(F.when(d > 1, 2 * tv / (d * (d - 1))).otherwise(0.0)).alias("c"))
+    a, b, t = F.least("du", "dv") - 1, F.greatest("du", "dv") - 1, F.col("t")
+    loc = table.groupBy("graph_id").agg(
+        F.avg(t).alias("t1"), F.avg(t * t).alias("t2"), (F.sum(a + b) / (2 * F.count(one))).alias("x1"),
+        (F.sum(a * a + b * b) / (2 * F.count(one))).alias("x2"), F.avg(a * b).alias("xy"), (F.max(b) == F.min(a)).alias("flat"),
+        F.sum(1.0 / (F.col("du") * F.col("dv"))).alias("inv"))
+    j = (sizes.select("graph_id", "n").join(per, "graph_id", "left").join(loc, "graph_id", "left")
+         .join(four_cycles(edges), "graph_id", "left").na.fill(0, ["touched", "s1", "s2", "w", "t3", "c", "inv", "four_cycles", "hi", "p1"]))
+    n, s1, touched = F.col("n"), F.col("s1"), F.col("touched")
+    isolated, lap = touched < n, touched / n
+    var = F.when(F.col("flat"), F.lit(0.0)).otherwise(F.col("x2") - F.col("x1") * F.col("x1"))
+    p0 = F.when(isolated, F.lit(0)).otherwise(F.col("p0"))
+    out = j.select(
+        "graph_id", "n", (s1 / 2).cast("bigint").alias("m"), F.when(n > 1, s1 / (n * (n - 1))).alias("density"), (s1 / n).alias("mean_degree"),
+        F.when(isolated, F.lit(0)).otherwise(F.col("lo")).cast("bigint").alias("degree_min"), F.col("hi").cast("bigint").alias("degree_max"),
+        (F.col("s2") / n - (s1 / n) * (s1 / n)).alias("degree_variance"), F.col("w").cast("bigint").alias("wedges"),
+        F.when(F.col("p1") == 0, "even").when(p0 == 1, "odd").otherwise("mixed").alias("degree_parity"),
+        (F.col("t3") / 3).cast("bigint").alias("triangles"), F.when(F.col("w") > 0, F.col("t3") / F.col("w")).alias("transitivity"),
+        (F.col("c") / n).alias("mean_clustering"), F.col("t1").alias("triangle_edge_mean"),
+        (F.col("t2") - F.col("t1") * F.col("t1")).alias("triangle_edge_variance"), F.col("x1").alias("endpoint_excess_degree_mean"),
+        var.alias("endpoint_excess_degree_variance"),
+        F.when(~F.col("flat"), (F.col("xy") - F.col("x1") * F.col("x1")) / var).alias("degree_assortativity"),
+        (s1 / n).alias("adjacency_moment_2"), (2 * F.col("t3") / n).alias("adjacency_moment_3"),
+        ((8 * F.col("four_cycles") + 2 * F.col("s2") - s1) / n).alias("adjacency_moment_4"),
+        lap.alias("normalized_laplacian_mean"), ((touched + 2 * F.col("inv")) / n - lap * lap).alias("normalized_laplacian_variance"))
     if spectral:
         out = out.join(spectral_extremes(edge_arrays(edges, sizes)), "graph_id")
     return out.withColumn(MISSING_FLAG, F.col("degree_assortativity").isNull().cast("double"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from restartlab.functions import angles as A
 from restartlab.functions.ranks import bucketed_row_number, exact_quantiles
-from restartlab.functions.scores import finite, seed_rank
+from restartlab.functions.scores import seed_rank
 
 # fixed values: penalties, tie width, boosted grid and rate
 LAMBDAS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0)

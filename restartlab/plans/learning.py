@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from restartlab.functions import angles as A
+from restartlab.functions.scores import finite
 from restartlab.operators import graphs as G, learning as L, quality as Q, scoring as S
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
 from restartlab.plans.graphs import features, sizes, types
@@ -91,7 +92,8 @@ def angle_rows(cat: Catalog) -> DataFrame:
     theta = F.transform("theta", lambda x, i: x + F.col("s") * (i + 1) * 0.2)
     points = G.rule_starts(types(cat), sizes(cat), (2,)).join(lab, "graph_id").select("graph_id", theta.alias("theta"))
     parity = G.degree_features(cat.edges(), sizes(cat)).select("graph_id", F.col("degree_parity").alias("parity"))
-    return points.join(parity, "graph_id")
+    # a rule start needs mean degree above one; graphs without a finite point cannot be labels
+    return points.where(F.forall("theta", finite)).join(parity, "graph_id")
 
 
 def _ridge_angles(cat: Catalog) -> DataFrame:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from restartlab.plans.query import Query
 
-FAMILIES = ("storage", "scoring", "graphs", "pools", "quality", "planning", "angles", "compare", "learning")
+FAMILIES = ("storage", "scoring", "graphs", "pools", "quality", "planning", "angles", "compare", "learning", "streaming")
 
 
 @cache
