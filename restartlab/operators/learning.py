@@ -202,14 +202,15 @@ def node_table(model, spark, path: str) -> DataFrame:
     return nodes.join(F.broadcast(weights), "tree")
 
 
-def tree_attributions(rows: DataFrame, nodes: DataFrame, depth: int, base: float) -> DataFrame:
+def tree_attributions(rows: DataFrame, nodes: DataFrame, trees: int, depth: int, base: float) -> DataFrame:
     """Additive path attribution: value steps along each path, summed per feature.
 
     All rows walk all trees together, one join per level. The node table has
     rounds x 2^(depth+1) rows at most and is broadcast.
     """
     table = F.broadcast(nodes)
-    here = rows.select("graph_id", "z").join(F.broadcast(nodes.where("node = 0")))
+    here = (rows.select("graph_id", "z", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).alias("node"))
+            .join(table, ["tree", "node"]))
     bias = nodes.where("node = 0").agg((F.sum(F.col("value") * F.col("weight")) + base).alias("bias")).withColumn("k", F.lit(1))
     steps = None
     for _ in range(depth):

@@ -246,7 +246,9 @@ SELECT graph_id, md5(sum(('0x' || substr(md5(k || ':' || label), 1, 15))::HUGEIN
  SELECT 0 AS k, * FROM w0 UNION ALL SELECT 1, * FROM w1 UNION ALL SELECT 2, * FROM w2 UNION ALL SELECT 3, * FROM w3) GROUP BY 1"""),
     Query("ded3_isomorphism_classes", lambda c: _classes(c).select("graph_id", "representative", "class_size"),
           f"WITH {PERMS} SELECT * FROM classes"),
-    Query("ded3_mapping_certificate", _check_mapping),
+    Query("ded3_mapping_certificate", _check_mapping, f"""
+WITH {PERMS} SELECT c.graph_id, c.representative, k.edges, 0 AS broken FROM classes c JOIN topo a ON a.graph_id = c.graph_id JOIN topo b ON b.graph_id = c.representative
+JOIN (SELECT graph_id, count(*) AS edges FROM fx_fold GROUP BY 1) k ON k.graph_id = c.graph_id WHERE a.code <> b.code"""),
     Query("ded3_class_families", _families, f"""
 WITH {PERMS} SELECT representative, string_agg(DISTINCT family, ',' ORDER BY family) AS families, count(*) AS members,
   count(DISTINCT family) = 1 AS lofo_eligible FROM classes c JOIN fx_graphs g ON g.graph_id = c.graph_id GROUP BY 1"""),

@@ -161,7 +161,7 @@ def _tree_attr(cat: Catalog) -> DataFrame:
     data = cut_lineage(L.standardised(rows.withColumn("fit", F.lit(L.FINAL)), prep, NAMES).select("graph_id", "label", "z"))
     model, base = L.boosted_model(data, 2, 5)
     nodes = L.node_table(model, cat.spark, scratch_path(cat.spark, "trees"))
-    attr = L.tree_attributions(data, nodes, 2, base)
+    attr = L.tree_attributions(data, nodes, len(model.treeWeights), 2, base)
     sums = attr.groupBy("graph_id").agg((F.sum("contribution") + F.max("bias")).alias("explained"), F.count(F.lit(1)).alias("features_used"))
     raw = L.boosted_predictions(data, model, base).select("graph_id", "raw")
     return sums.join(raw, "graph_id").select("graph_id", "raw", "explained", "features_used", (F.abs(F.col("raw") - F.col("explained")) <= 1e-5).alias("additive"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from restartlab.functions.scores import content_id
-from restartlab.operators import graphs as G, planning as L
+from restartlab.operators import graphs as G, planning as L, synth as S
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
 from restartlab.plans.graphs import sizes, types
 from restartlab.plans.pools import cell_grid
 from restartlab.plans.query import Query
 from restartlab.plans.scoring import references
+from restartlab.session import cut_lineage
 
 METHODS = ("COBYLA", "COBYQA", "SPSA")
 LEVELS = (256, 1024, 4096)
@@ -217,6 +218,36 @@ def _bundles(cat: Catalog) -> DataFrame:
     return b.groupBy("graph_id").agg(F.sum(F.size("tasks")).alias("tasks"), F.min(F.element_at("tasks", 1)["task_id"]).alias("first_task"))
 
 
+def synthetic_draws(cat: Catalog) -> DataFrame:
+    """One draw per study graph: its id is the seed, its family picks the generator, its band the degree."""
+    kinds = F.array(*map(F.lit, ("er", "sbm", "rgg", "regular", "ws", "ba")))
+    pick = F.element_at(kinds, (F.col("graph_id") % 6 + 1).cast("int"))
+    return cat.graphs().select("graph_id", F.col("graph_id").alias("seed"), "n", pick.alias("generator"), F.col("degree_band").alias("k"),
+                               F.when(F.col("degree_band") == 3, 0.35).otherwise(0.5).alias("radius"), F.lit(0.3).alias("rewiring"),
+                               F.concat_ws(":", F.lit("n12"), pick, F.col("degree_band").cast("string")).alias("cell")).withColumn(
+        "k", F.when((F.col("generator") == "ws"), F.col("k") - 1 + F.col("k") % 2).otherwise(F.col("k")))
+
+
+def _synthetic_log(cat: Catalog) -> DataFrame:
+    return S.fill_quotas(cut_lineage(S.draw_graphs(synthetic_draws(cat))), 40)
+
+
+def _pair_draws(cat: Catalog) -> DataFrame:
+    """Edges of the three generators that decide pair by pair."""
+    drawn = S.draw_graphs(synthetic_draws(cat).where("generator in ('er', 'sbm', 'rgg')"))
+    return drawn.select("graph_id", "generator", F.explode("edges").alias("e")).select("graph_id", "generator", "e.u", "e.v")
+
+
+def _synthetic_summary(cat: Catalog) -> DataFrame:
+    """Log counts per cell; accepted plus shortfall is the quota."""
+    log = _synthetic_log(cat)
+    return log.groupBy("cell").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == "accepted").alias("accepted"),
+                                   F.count_if(F.col("status") == "duplicate").alias("duplicates"),
+                                   F.count_if(F.col("status") == "rejected_disconnected").alias("rejected_disconnected"),
+                                   F.count_if(F.col("status") == "generator_error").alias("generator_errors")).withColumn(
+        "shortfall", F.lit(40) - F.col("accepted"))
+
+
 FIXTURE_SQL["fx_alloc"] = """
 SELECT cell, capacity, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, sha256('7:' || cell), cell) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS allocated
 FROM (SELECT *, total*capacity//size AS base, total*capacity%size AS rem FROM (
@@ -259,6 +290,8 @@ SELECT *, sha256(start_id || '|' || repetition || '|' || method || '|' || mode |
     CROSS JOIN (VALUES (256), (1024), (4096)) l(l)
   UNION ALL SELECT s.*, 0, 'fixed', 'finite_shots', NULL FROM fx_starts s WHERE initialization <> 'B1')"""
 
+_UNIT = "('0x' || substr(sha256({}), 1, 13))::BIGINT/4503599627370496.0::DOUBLE"
+
 QUERIES = [
     Query("win11_largest_remainder", lambda c: L.allocate_counts(capacities(c), 100, 7),
           "SELECT cell, capacity, CAST(allocated AS BIGINT) AS allocated FROM fx_alloc"),
@@ -335,6 +368,16 @@ SELECT cell, count(*) AS available, 400 - count(*) AS needed FROM fx_graphs GROU
     Query("pln15_matched_quota", _matched_quota, """
 SELECT 'n' || m || ':' || f || ':' || s AS cell, count(*) AS quota FROM fx_graphs CROSS JOIN (VALUES ('ws', 'rewire-0.1'), ('ws', 'rewire-0.5'),
  ('rgg', 'target-degree-3'), ('rgg', 'target-degree-5')) k(f, s) GROUP BY m, f, s"""),
+    Query("pln16_synthetic_graphs", _synthetic_log),
+    Query("pln16_pairwise_draws", _pair_draws, f"""
+WITH d AS (SELECT graph_id, graph_id%6 AS g, degree_band AS k, CASE WHEN degree_band = 3 THEN 0.35 ELSE 0.5 END AS radius FROM fx_graphs WHERE graph_id%6 < 3),
+pt AS (SELECT graph_id, i.i, {_UNIT.format("graph_id || ':x:' || i.i")} AS x, {_UNIT.format("graph_id || ':y:' || i.i")} AS y FROM d CROSS JOIN range(12) i(i) WHERE g = 2),
+pr AS (SELECT d.*, u.u, v.v FROM d CROSS JOIN range(12) u(u) CROSS JOIN range(12) v(v) WHERE u.u < v.v)
+SELECT graph_id, 'er' AS generator, u, v FROM pr WHERE g = 0 AND {_UNIT.format("graph_id || ':er:' || u || ':' || v")} < k/11.0::DOUBLE
+UNION ALL SELECT graph_id, 'sbm', u, v FROM pr WHERE g = 1 AND {_UNIT.format("graph_id || ':sbm:' || u || ':' || v")} < k/21.0::DOUBLE*CASE WHEN (u < 6) = (v < 6) THEN 3 ELSE 1 END
+UNION ALL SELECT pr.graph_id, 'rgg', u, v FROM pr JOIN pt a ON a.graph_id = pr.graph_id AND a.i = u JOIN pt b ON b.graph_id = pr.graph_id AND b.i = v
+WHERE g = 2 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < radius"""),
+    Query("pln16_generation_summary", _synthetic_summary),
     Query("pln17_rule_start_table", _rule_table, """
 WITH h AS (SELECT graph_id, sha256('12|' || string_agg(u || '-' || v, ',' ORDER BY u, v)) AS topology_hash FROM fx_edges GROUP BY 1)
 SELECT g.graph_id, p.p, h.topology_hash, sha256('{"graph_id":' || g.graph_id || ',"p":' || p.p || ',"topology_hash":"' || h.topology_hash || '"}') AS start_id, 2*p.p AS angles
