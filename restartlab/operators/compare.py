@@ -139,8 +139,10 @@ TERMS = (*(f"n{n}_band{b}" for n, b in STRATA), *(f"{f}_minus_er_band{b}" for b,
 
 def family_design(rows: DataFrame, outcomes: Sequence[str], quadratic: bool = False) -> tuple[DataFrame, list[str]]:
     """Design columns x0.. (stratum intercepts, family contrasts, centred degree) beside the outcomes."""
+    known_stratum = F.array_contains(F.array(*[F.lit(f"{n}:{b}") for n, b in STRATA]), F.concat_ws(":", "n", "degree_band"))
+    rows = rows.withColumn("n", F.when(known_stratum, F.col("n")).otherwise(F.raise_error(F.lit("graph outside the design strata")).cast("bigint")))
     centres = rows.groupBy("n", "degree_band").agg(F.avg("mean_degree").alias("__centre"))
-    j = rows.join(F.broadcast(centres), ["n", "degree_band"])  # at most one row per stratum
+    j = rows.join(F.broadcast(centres), ["n", "degree_band"])  # eight strata at most
     cols = [((F.col("n") == n) & (F.col("degree_band") == b)).cast("double") for n, b in STRATA]
     cols += [((F.col("family") == f) & (F.col("degree_band") == b)).cast("double") for b, f in CONTRASTS]
     centred = F.col("mean_degree") - F.col("__centre")

@@ -47,13 +47,17 @@ def training_copies(rows: DataFrame, markers: Sequence[str]) -> DataFrame:
 def shuffled_features(rows: DataFrame, seed: int, scope: str) -> DataFrame:
     """Donor of every row: whole feature rows permuted inside the training set.
 
-    Ranks by hash and by id are taken bucket by bucket, then matched.
+    Two seeded hash orders are ranked, each bucket by bucket, and matched by
+    rank; no task sorts the whole set.
     """
     ids = rows.select("graph_id", F.lit(1).alias("__all"))
-    order = seed_rank(F.lit(f"shuffle-{seed}"), F.lit(scope), F.col("graph_id").cast("string"))
-    by_hash = bucketed_row_number(ids.withColumn("__o", order), ["__all"], F.substring("__o", 1, 4), [F.col("__o")], "position")
-    by_id = bucketed_row_number(ids, ["__all"], F.floor(F.col("graph_id") / 100), [F.col("graph_id")], "position")
-    return by_id.select("graph_id", "position").join(by_hash.select(F.col("graph_id").alias("donor_id"), "position"), "position").drop("position")
+
+    def ranked(tag: str, name: str) -> DataFrame:
+        order = seed_rank(F.lit(f"{tag}-{seed}"), F.lit(scope), F.col("graph_id").cast("string"))
+        out = bucketed_row_number(ids.withColumn("__o", order), ["__all"], F.substring("__o", 1, 4), [F.col("__o")], "position")
+        return out.select(F.col("graph_id").alias(name), "position")
+
+    return ranked("row", "graph_id").join(ranked("donor", "donor_id"), "position").drop("position")
 
 
 def preprocessing(copies: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -59,41 +59,54 @@ def _valid_gradient(width: int) -> Column:
     return F.coalesce((F.size("gradient") == width) & F.forall("gradient", finite), F.lit(False))
 
 
-def cost_terms(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per attempt and metric with its unknown flag.
+def _known_cost(name: str) -> Column:
+    """Value of one metric, or null when unknown.
 
     Unknown: null, NaN, infinite, listed in ``cost_unavailable``, or a counter
     of an unverified record. Grid metrics are zero outside grid runs.
     """
-    def term(name: str) -> Column:
-        raw = F.col(name).cast("double")
-        if name in GRID_METRICS:
-            raw = F.when(F.col("kind") == "p1_grid", raw).otherwise(F.coalesce(raw, F.lit(0.0)))
-        bad = F.coalesce(F.array_contains("cost_unavailable", name), F.lit(False))
-        if name in COUNTERS:
-            bad = bad | F.coalesce(F.col("cost_status") == UNVERIFIED, F.lit(False))
-        unknown = known(raw).isNull() | bad
-        return F.struct(F.lit(name).alias("metric"), F.when(~unknown, raw).alias("value"), unknown.alias("unknown"))
+    raw = F.col(name).cast("double")
+    if name in GRID_METRICS:
+        raw = F.when(F.col("kind") == "p1_grid", raw).otherwise(F.coalesce(raw, F.lit(0.0)))
+    bad = F.coalesce(F.array_contains("cost_unavailable", name), F.lit(False))
+    if name in COUNTERS:
+        bad = bad | F.coalesce(F.col("cost_status") == UNVERIFIED, F.lit(False))
+    return F.when(~bad, known(raw))
 
-    exploded = attempts.select(*keys, F.explode(F.array(*[term(name) for name in COST_METRICS])).alias("t"))
-    return exploded.select(*keys, "t.metric", "t.value", "t.unknown")
 
+def unknown_costs(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The attempts behind every unknown total, one row per attempt and metric."""
+    names = F.array_compact(F.array(*[F.when(_known_cost(m).isNull(), F.lit(m)) for m in COST_METRICS]))
+    return attempts.select(*keys, F.explode(names).alias("metric"))
 
-def cost_totals(terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return terms.groupBy(*keys, "metric").agg(*_total_columns())
 
+def _cost_columns(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return attempts.select(*keys, *[_known_cost(m).alias(f"k_{m}") for m in COST_METRICS])
 
-def _total_columns() -> list[Column]:
-    return [sum_if_all_known(F.col("value"), F.col("unknown")).alias("total"),
-            F.coalesce(F.sum("value"), F.lit(0.0)).alias("known_subtotal"),
-            F.count_if("unknown").alias("unknown_count"), F.count(F.lit(1)).alias("attempts")]
 
+def _cost_aggregates() -> list[Column]:
+    sums = [F.sum(f"k_{m}").alias(f"s_{m}") for m in COST_METRICS]
+    return [F.count(F.lit(1)).alias("attempts"), *sums, *[F.count(f"k_{m}").alias(f"n_{m}") for m in COST_METRICS]]
 
-def cost_grouping_sets(terms: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+
+def _cost_rows(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group and metric, after aggregation."""
+    items = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(F.col(f"n_{m}") == F.col("attempts"), F.col(f"s_{m}")).alias("total"),
+                               F.coalesce(F.col(f"s_{m}"), F.lit(0.0)).alias("known_subtotal"),
+                               (F.col("attempts") - F.col(f"n_{m}")).alias("unknown_count")) for m in COST_METRICS])
+    return wide.select(*keys, "attempts", F.explode(items).alias("c")).select(*keys, "c.*", "attempts")
+
+
+def cost_totals(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals of all metrics per group: null if any term is unknown, with the known subtotal beside it."""
+    return _cost_rows(_cost_columns(attempts, keys).groupBy(*keys).agg(*_cost_aggregates()), keys)
+
+
+def cost_grouping_sets(attempts: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """Cost totals for several groupings in one pass; unused columns are null."""
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    wanted = [[F.col(c) for c in (*s, "metric")] for s in sets]
-    return terms.groupingSets(wanted, *[F.col(c) for c in (*columns, "metric")]).agg(*_total_columns())
+    wide = _cost_columns(attempts, columns).groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(*_cost_aggregates())
+    return _cost_rows(wide, columns)
 
 
 def save_costs(attempts: DataFrame, io_times: DataFrame) -> DataFrame:
@@ -112,7 +125,7 @@ def shared_union_costs(attempts: DataFrame, uses: DataFrame) -> DataFrame:
     per_fit = attempts.join(uses, "task_id").withColumn("scope", F.concat(F.lit("fit:"), "fit_id"))
     once = attempts.join(uses.select("task_id").distinct(), "task_id", "left_semi").withColumn("scope", F.lit("shared_union"))
     rows = per_fit.drop("fit_id").unionByName(once)
-    return cost_totals(cost_terms(rows.dropDuplicates([*ids, "scope"]), ["scope"]), ["scope"])
+    return cost_totals(rows.dropDuplicates([*ids, "scope"]), ["scope"])
 
 
 WARM_METRICS = ("c_initial", "c_final", "ratio_initial_exact", "ratio_final_exact", "gap_initial_ref", "gap_final_ref",

@@ -177,13 +177,13 @@ def _stability(cat: Catalog) -> DataFrame:
 def _follow_up(cat: Catalog) -> DataFrame:
     """Stability flags counted, with the cost of all attempts."""
     flags = _stability(cat).agg(F.count(F.lit(1)).alias("graphs"), F.count_if("stability_flag").alias("flags")).withColumn("k", F.lit(1))
-    cost = P.cost_totals(P.cost_terms(costs(cat).withColumn("k", F.lit(1)), ["k"]), ["k"]).where("metric in ('objective_calls', 'elapsed_seconds', 'device_vjps')")
+    cost = P.cost_totals(costs(cat).withColumn("k", F.lit(1)), ["k"]).where("metric in ('objective_calls', 'elapsed_seconds', 'device_vjps')")
     return flags.join(cost, "k").drop("k")
 
 
 def _learning_costs(cat: Catalog) -> DataFrame:
     """Shared label and reference pools once, plus fit seconds; an unmeasured fit leaves its total null."""
-    pools_ = P.cost_totals(P.cost_terms(costs(cat), ["role"]), ["role"]).where("metric in ('objective_calls', 'elapsed_seconds')").select(
+    pools_ = P.cost_totals(costs(cat), ["role"]).where("metric in ('objective_calls', 'elapsed_seconds')").select(
         F.concat(F.lit("pool:"), "role").alias("item"), "metric", "total", "known_subtotal", "unknown_count")
     fits = cat.table("nation").select((F.col("n_nationkey") % 3).alias("f"), F.when(F.col("n_nationkey") != 7, F.col("n_regionkey") * 1.5 + 1).alias("s"))
     unknown = F.count_if(F.col("s").isNull())
@@ -199,7 +199,7 @@ def _batches(cat: Catalog) -> DataFrame:
         F.count(F.lit(1)).alias("planned"), F.count_if("execution_valid").alias("valid"), F.count_if("missing").alias("missing"),
         F.count_if(F.coalesce("terminal_success", F.lit(False))).alias("known_successes"),
         F.bool_and("reference_complete").alias("reference_complete"))
-    cost = P.cost_terms(costs(cat).withColumn("batch", F.when(F.col("graph_id") % 2 == 0, "even").otherwise("odd")), ["batch"])
+    cost = costs(cat).withColumn("batch", F.when(F.col("graph_id") % 2 == 0, "even").otherwise("odd"))
     total = P.cost_totals(cost, ["batch"]).where("metric = 'elapsed_seconds'").select("batch", F.col("total").alias("elapsed_seconds"))
     return out.join(total, "batch")
 

@@ -22,11 +22,14 @@ class Catalog:
         return (F.col("l_suppkey") * 1000 + (F.year("l_shipdate") - 1995) * 4
                 + F.quarter("l_shipdate") - 1).cast("bigint")
 
-    def edges(self) -> DataFrame:
+    def edge_rows(self) -> DataFrame:
+        """Edges with repeats; vertices are residues modulo 12."""
         a, b = F.col("l_partkey") % 12, F.col("l_orderkey") % 12
-        return (self.table("lineitem").where(a != b)
-                .select(self._graph_id().alias("graph_id"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-                .distinct())
+        return self.table("lineitem").where(a != b).select(
+            self._graph_id().alias("graph_id"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+    def edges(self) -> DataFrame:
+        return self.edge_rows().distinct()
 
     def graphs(self) -> DataFrame:
         sizes = self.edges().groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))

@@ -27,12 +27,19 @@ def folded(cat: Catalog) -> tuple[DataFrame, DataFrame]:
     return edges, edges.select("graph_id").distinct().withColumn("n", F.lit(6).cast("bigint"))
 
 
+def edge_lists(cat: Catalog) -> DataFrame:
+    """Stored form of the study graphs: every graph has an edge, so edges alone give the rows."""
+    size = F.lit(12).cast("bigint")
+    lists = cat.edge_rows().groupBy("graph_id").agg(F.array_sort(F.collect_set(F.struct("u", "v"))).alias("edges"))
+    return lists.select("graph_id", size.alias("n"), "edges")
+
+
 def features(cat: Catalog, spectral: bool = False) -> DataFrame:
-    return G.graph_features(cat.edges(), sizes(cat), spectral)
+    return G.graph_features(edge_lists(cat), spectral)
 
 
 def types(cat: Catalog) -> DataFrame:
-    return G.joint_edge_types(cat.edges())
+    return G.types_in_row(edge_lists(cat))
 
 
 def _cut(cat: Catalog) -> DataFrame:
@@ -42,7 +49,7 @@ def _cut(cat: Catalog) -> DataFrame:
 
 
 def _exact(cat: Catalog) -> DataFrame:
-    return G.exact_max_cut(G.edge_arrays(cat.edges(), sizes(cat)))
+    return G.exact_max_cut(edge_lists(cat))
 
 
 def _samples(cat: Catalog) -> DataFrame:
@@ -168,14 +175,14 @@ JOIN idx p ON p.graph_id = r.graph_id AND p.x = r.a JOIN idx q ON q.graph_id = r
     Query("gr7_normalised_laplacian_moments", lambda c: G.normalised_laplacian_moments(c.edges(), sizes(c)),
           "SELECT graph_id, normalized_laplacian_mean, normalized_laplacian_variance FROM fx_features",
           "normalized_laplacian_mean normalized_laplacian_variance"),
-    Query("gr8_spectral_extremes", lambda c: G.spectral_extremes(G.edge_arrays(c.edges(), sizes(c)))),
+    Query("gr8_spectral_extremes", lambda c: G.spectral_extremes(edge_lists(c))),
     Query("gr9_components", lambda c: G.connectivity(c.edges(), sizes(c)), """
 WITH RECURSIVE reach(graph_id, x, y) AS (
   SELECT g.graph_id, v.x, v.x FROM (SELECT DISTINCT graph_id FROM fx_edges) g CROSS JOIN range(12) v(x)
   UNION SELECT r.graph_id, r.x, a.b FROM reach r JOIN fx_adj a ON a.graph_id = r.graph_id AND a.a = r.y)
 SELECT graph_id, count(*) AS components, count(*) = 1 AS is_connected FROM
  (SELECT graph_id, x, min(y) AS label FROM reach GROUP BY 1, 2) WHERE x = label GROUP BY 1"""),
-    Query("gr10_joint_edge_types", types, """
+    Query("gr10_joint_edge_types", lambda c: G.joint_edge_types(c.edges()), """
 SELECT graph_id, a, b, t, count(*) AS edges,
        (SELECT CAST(coalesce(sum((23-k)*(k+1)), 0) AS BIGINT) FROM range(23) r(k) WHERE k < a) + (b-a)*(a+1) + t AS type_index
 FROM fx_types GROUP BY graph_id, a, b, t"""),
@@ -230,15 +237,15 @@ SELECT graph_id, max_degree, m, gamma, ac AS a_coefficient, tc AS t_coefficient,
         sum(pow(cos(atan2(1, sqrt(o.x-1))), a+b-2*t)*(1 - pow(cos(2*atan2(1, sqrt(o.x-1))), t)))/4 AS tc
  FROM fx_types t JOIN (SELECT graph_id, max(d) AS x FROM fx_deg GROUP BY 1) o ON o.graph_id = t.graph_id GROUP BY 1)""",
           "gamma a_coefficient t_coefficient beta initial_cut beta_gain"),
-    Query("agg24_sampled_cut_statistics", lambda c: G.sampled_cut_statistics(_samples(c), c.edges()), """
-WITH shots AS (SELECT l_suppkey*1000 + (year(l_shipdate)-1995)*4 + quarter(l_shipdate)-1 AS graph_id, l_orderkey AS o, l_linenumber AS n,
+    Query("agg24_sampled_cut_statistics", lambda c: G.sampled_cut_statistics(_samples(c), edge_lists(c)), """
+WITH shots AS (SELECT l_suppkey*1000 + (year(l_shipdate)-1995)*4 + quarter(l_shipdate)-1 AS graph_id, row_number() OVER () AS o,
    (l_partkey*37 + l_orderkey*11)%4096 AS mask FROM lineitem)
 SELECT graph_id, count(*) AS shots, avg(cut) AS c_mean, var_samp(cut) AS sample_variance, sqrt(var_samp(cut)/count(*)) AS standard_error
-FROM (SELECT s.graph_id, o, n, sum(CASE WHEN (mask >> e.u) & 1 <> (mask >> e.v) & 1 THEN 1 ELSE 0 END) AS cut
-      FROM shots s JOIN fx_edges e ON e.graph_id = s.graph_id GROUP BY 1, 2, 3) GROUP BY 1""", "c_mean sample_variance standard_error"),
-    Query("ded1_topology_hash", lambda c: G.topology_hash(G.edge_arrays(c.edges(), sizes(c))), """
+FROM (SELECT s.graph_id, o, sum(CASE WHEN (mask >> e.u) & 1 <> (mask >> e.v) & 1 THEN 1 ELSE 0 END) AS cut
+      FROM shots s JOIN fx_edges e ON e.graph_id = s.graph_id GROUP BY 1, 2) GROUP BY 1""", "c_mean sample_variance standard_error"),
+    Query("ded1_topology_hash", lambda c: G.topology_hash(edge_lists(c)), """
 SELECT graph_id, 12 AS n, sha256('12|' || string_agg(u || '-' || v, ',' ORDER BY u, v)) AS topology_hash FROM fx_edges GROUP BY 1"""),
-    Query("ded2_wl_hash", lambda c: G.wl_hash(c.edges(), sizes(c)), f"""
+    Query("ded2_wl_hash", lambda c: G.wl_hash(edge_lists(c)), f"""
 WITH w0 AS (SELECT g.graph_id, x.v, coalesce(d.d, 0)::VARCHAR AS label FROM (SELECT DISTINCT graph_id FROM fx_edges) g CROSS JOIN range(12) x(v)
   LEFT JOIN fx_deg d ON d.graph_id = g.graph_id AND d.v = x.v),
 {WL_STEP.format(k=1, j=0)}, {WL_STEP.format(k=2, j=1)}, {WL_STEP.format(k=3, j=2)}

@@ -91,7 +91,7 @@ def angle_rows(cat: Catalog) -> DataFrame:
     lab = cat.labels().select("graph_id", (F.col("successes") / F.col("trials")).alias("s"))
     theta = F.transform("theta", lambda x, i: x + F.col("s") * (i + 1) * 0.2)
     points = G.rule_starts(types(cat), sizes(cat), (2,)).join(lab, "graph_id").select("graph_id", theta.alias("theta"))
-    parity = G.degree_features(cat.edges(), sizes(cat)).select("graph_id", F.col("degree_parity").alias("parity"))
+    parity = features(cat).select("graph_id", F.col("degree_parity").alias("parity"))
     # a rule start needs mean degree above one; graphs without a finite point cannot be labels
     return points.where(F.forall("theta", finite)).join(parity, "graph_id")
 
@@ -252,7 +252,7 @@ SELECT fit, i, count(*) AS rows, max(median) AS median, avg(x) AS mean, stddev_p
           "median mean std"),
     Query("lrn4_row_shuffle_control", _shuffle, """
 WITH t AS (SELECT graph_id FROM fx_graphs WHERE tier = 2 AND graph_split = 'training'),
-a AS (SELECT graph_id, row_number() OVER (ORDER BY graph_id) AS k FROM t), b AS (SELECT graph_id AS donor_id, row_number() OVER (ORDER BY sha256('shuffle-20260922:random:' || graph_id)) AS k FROM t)
+a AS (SELECT graph_id, row_number() OVER (ORDER BY sha256('row-20260922:random:' || graph_id)) AS k FROM t), b AS (SELECT graph_id AS donor_id, row_number() OVER (ORDER BY sha256('donor-20260922:random:' || graph_id)) AS k FROM t)
 SELECT a.graph_id, b.donor_id FROM a JOIN b ON b.k = a.k"""),
     Query("lrn5_random_folds", _folds, "SELECT graph_id, fold FROM fx_folds"),
     Query("lrn5_family_folds", _family_folds, "SELECT family AS fold, count(*) AS graphs FROM fx_graphs WHERE tier = 2 AND graph_split = 'training' GROUP BY 1"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from restartlab.functions.scores import content_id
 from restartlab.operators import graphs as G, planning as L, synth as S
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
-from restartlab.plans.graphs import sizes, types
+from restartlab.plans.graphs import edge_lists, sizes, types
 from restartlab.plans.pools import cell_grid
 from restartlab.plans.query import Query
 from restartlab.plans.scoring import references
@@ -190,7 +190,7 @@ def _matched_quota(cat: Catalog) -> DataFrame:
 
 
 def _rule_table(cat: Catalog) -> DataFrame:
-    lists = G.edge_arrays(cat.edges(), sizes(cat))
+    lists = edge_lists(cat)
     hashes = G.topology_hash(lists).select("graph_id", "topology_hash")
     evaluation = cat.graphs().where("graph_split = 'evaluation'").select("graph_id")
     rows = G.rule_starts(types(cat), sizes(cat)).join(evaluation, "graph_id", "left_semi").join(hashes, "graph_id")

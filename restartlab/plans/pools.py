@@ -102,8 +102,7 @@ def _energy(cat: Catalog) -> DataFrame:
 
 
 def _grouping_sets(cat: Catalog) -> DataFrame:
-    terms = P.cost_terms(costs(cat), ["role", "attempt_number"])
-    return P.cost_grouping_sets(terms, [["role"], ["attempt_number"], ["role", "attempt_number"]])
+    return P.cost_grouping_sets(costs(cat), [["role"], ["attempt_number"], ["role", "attempt_number"]])
 
 
 def _save_costs(cat: Catalog) -> DataFrame:
@@ -114,7 +113,7 @@ def _save_costs(cat: Catalog) -> DataFrame:
 
 def _unknown_ids(cat: Catalog) -> DataFrame:
     """Attempts behind every unknown total, one row each."""
-    return P.cost_terms(costs(cat), ["task_id", "attempt_number"]).where("unknown").drop("value", "unknown")
+    return P.unknown_costs(costs(cat), ["task_id", "attempt_number"])
 
 
 def _shared(cat: Catalog) -> DataFrame:
@@ -212,7 +211,7 @@ SELECT graph_id, population, count(*) FILTER (ok) AS sample_count, count(*) FILT
   avg(sqrt(g[1]*g[1]+g[2]*g[2]+g[3]*g[3]+g[4]*g[4])) FILTER (ok) AS mean_norm,
   avg(sqrt(g[1]*g[1]+g[2]*g[2]+g[3]*g[3]+g[4]*g[4])/edge_count) FILTER (ok) AS mean_norm_per_edge
 FROM fx_grad GROUP BY 1, 2""", "mean_norm mean_norm_per_edge", 8),
-    Query("agg13_cost_totals", lambda c: P.cost_totals(P.cost_terms(costs(c), ["graph_id"]), ["graph_id"]),
+    Query("agg13_cost_totals", lambda c: P.cost_totals(costs(c), ["graph_id"]),
           f"SELECT graph_id, metric, {_TOTALS} FROM fx_terms GROUP BY 1, 2", "total known_subtotal"),
     Query("agg13_unknown_attempts", _unknown_ids, "SELECT task_id, attempt_number, metric FROM fx_terms WHERE value IS NULL"),
     Query("agg14_attempt_save_costs", _save_costs, """

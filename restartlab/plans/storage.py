@@ -7,9 +7,9 @@ from pyspark.errors import AnalysisException
 
 from restartlab import schemas
 from restartlab.functions.scores import content_id
-from restartlab.operators import graphs as G, scoring as S
+from restartlab.operators import scoring as S
 from restartlab.plans.fixtures import Catalog
-from restartlab.plans.graphs import sizes
+from restartlab.plans.graphs import edge_lists
 from restartlab.plans.query import Query
 from restartlab.plans.scoring import references, selected
 from restartlab.session import scratch_path
@@ -17,7 +17,7 @@ from restartlab.sources import library as B
 
 
 def _library(cat: Catalog) -> DataFrame:
-    return B.library_rows(cat.graphs(), G.edge_arrays(cat.edges(), sizes(cat)))
+    return B.library_rows(cat.graphs(), edge_lists(cat))
 
 
 def _stored_library(cat: Catalog) -> str:
@@ -68,13 +68,13 @@ def _group_scan(cat: Catalog) -> DataFrame:
 def _metadata_only(cat: Catalog) -> DataFrame:
     """Attempts stored with nested calls; the scan leaves the calls unread."""
     path = scratch_path(cat.spark, "traced")
-    day = F.dayofmonth("ts")
-    parts = cat.trace().groupBy("task_id", "attempt_number", day.alias("day")).agg(
+    part = F.floor((F.col("call_id") - 1) / 8)  # arrays of bounded length, however long an attempt is
+    parts = cat.trace().groupBy("task_id", "attempt_number", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("call_id", "c", "accepted", "valid"))).alias("calls"))
     B.write_once(parts.join(cat.attempts().select("task_id", "attempt_number", "graph_id", "stop_reason"), ["task_id", "attempt_number"]), path)
-    schema = f"task_id bigint, attempt_number bigint, day int, calls array<{schemas.CALL}>, graph_id bigint, stop_reason string"
+    schema = f"task_id bigint, attempt_number bigint, part bigint, calls array<{schemas.CALL}>, graph_id bigint, stop_reason string"
     return cat.spark.read.schema(schema).parquet(path).drop("calls").select(
-        "task_id", "attempt_number", F.col("day").cast("bigint").alias("day"), "graph_id", "stop_reason")
+        "task_id", "attempt_number", "part", "graph_id", "stop_reason")
 
 
 def _checksum_rows(cat: Catalog) -> DataFrame:
@@ -150,9 +150,13 @@ def _reference_set_id(cat: Catalog) -> DataFrame:
 
 
 def _set_digest_sql(source: str) -> str:
-    return f"""SELECT CAST(sum(k) AS BIGINT) AS entries, sha256(string_agg(bucket || '|' || d || chr(10), '' ORDER BY bucket)) AS set_digest FROM (
- SELECT substr(sha256(name), 1, 2) AS bucket, sha256(string_agg(name || '|' || digest || chr(10), '' ORDER BY name || '|' || digest || chr(10))) AS d, count(*) AS k
- FROM ({source}) GROUP BY 1)"""
+    def level(inner: str, key: str, entry: str, count: str) -> str:
+        return f"SELECT {key} AS key, sha256(string_agg({entry}, '' ORDER BY {entry})) AS d, CAST(sum({count}) AS BIGINT) AS k FROM ({inner}) GROUP BY 1"
+
+    step = "key || '|' || d || chr(10)"
+    leaves = level(source, "substr(sha256(name), 1, 5)", "name || '|' || digest || chr(10)", "1")
+    root = level(level(leaves, "substr(key, 1, 3)", step, "k"), "''", step, "k")
+    return f"SELECT k AS entries, d AS set_digest FROM ({root})"
 
 
 QUERIES = [
@@ -167,7 +171,7 @@ UNION ALL SELECT 'io', count(*), 0, CAST(sum(task_id) AS BIGINT) FROM fx_attempt
 SELECT graph_id, count(*) AS attempts, 'read' AS status FROM fx_attempts WHERE graph_id%5 = 0 AND restart_id >= 2 GROUP BY 1
 UNION ALL SELECT -n_nationkey - 1, 0, 'unknown_group' FROM nation"""),
     Query("src6_metadata_only_scan", _metadata_only, """
-SELECT x.task_id, x.attempt_number, day(x.ts) AS day, min(x.graph_id) AS graph_id, min(a.stop_reason) AS stop_reason FROM fx_trace x
+SELECT x.task_id, x.attempt_number, (x.call_id - 1)//8 AS part, min(x.graph_id) AS graph_id, min(a.stop_reason) AS stop_reason FROM fx_trace x
 JOIN fx_attempts a ON a.task_id = x.task_id AND a.attempt_number = x.attempt_number GROUP BY 1, 2, 3"""),
     Query("src7_checksum_audit", _checksum_rows, """
 SELECT doc_id, CASE WHEN doc_id%43 = 0 THEN 'not_in_manifest' WHEN doc_id%37 = 0 THEN 'absent' ELSE 'changed' END AS problem FROM documents

@@ -45,18 +45,23 @@ def row_digest(columns: Sequence[str]) -> Column:
 
 
 def set_digest(rows: DataFrame, name: str, digest: str) -> DataFrame:
-    """One digest of many (name, digest) entries in name order, through 256 bucket digests.
+    """One digest of many (name, digest) entries, independent of partitioning.
 
-    A bucket holds the entries whose hashed name starts with the same two hex
-    digits, so no task sees all entries and the result does not depend on
-    partitioning.
+    Entries are digested in name order inside leaves (names whose hash shares
+    five hex digits), leaves inside branches (three digits), branches at the
+    root: a leaf sees a millionth of the entries, the root at most 4096 rows.
     """
-    line = F.concat(F.col(name).cast("string"), F.lit("|"), F.col(digest), F.lit("\n"))
-    bucket = F.substring(F.sha2(F.col(name).cast("string"), 256), 1, 2)
-    buckets = rows.select(bucket.alias("bucket"), line.alias("line")).groupBy("bucket").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("d"), F.count(F.lit(1)).alias("k"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda b: F.concat(b["bucket"], F.lit("|"), b["d"], F.lit("\n")))
-    return buckets.agg(F.sum("k").alias("entries"), F.sha2(F.array_join(parts, ""), 256).alias("set_digest"))
+    text = F.col(name).cast("string")
+    line = F.concat(text, F.lit("|"), F.col(digest), F.lit("\n"))
+
+    def level(df: DataFrame, key: Column, entry: Column, count: Column) -> DataFrame:
+        return df.select(key.alias("key"), entry.alias("entry"), count.alias("k")).groupBy("key").agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), ""), 256).alias("d"), F.sum("k").alias("k"))
+
+    step = F.concat("key", F.lit("|"), "d", F.lit("\n"))
+    leaves = level(rows, F.substring(F.sha2(text, 256), 1, 5), line, F.lit(1))
+    branches = level(leaves, F.substring("key", 1, 3), step, F.col("k"))
+    return level(branches, F.lit(""), step, F.col("k")).select(F.col("k").alias("entries"), F.col("d").alias("set_digest"))
 
 
 def write_library(rows: DataFrame, path: str) -> None:

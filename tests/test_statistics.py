@@ -151,9 +151,14 @@ def test_inverse_ecdf_is_not_interpolated(spark):
 
 
 def test_unknown_cost_is_not_zero(spark):
-    df = spark.createDataFrame([("a", 1.0, False), ("a", None, True), ("b", 2.0, False)], "k string, value double, unknown boolean").withColumn("metric", F.lit("m"))
-    got = {r["k"]: r for r in P.cost_totals(df, ["k"]).collect()}
-    assert got["a"]["total"] is None and got["a"]["known_subtotal"] == 1 and got["a"]["unknown_count"] == 1 and got["b"]["total"] == 2
+    rows = [("a", 1, 1.0, "ok", []), ("a", 2, None, "ok", []), ("b", 2, 2.0, "ok", []), ("c", 3, 2.0, P.UNVERIFIED, []), ("d", 4, 1.0, "ok", ["elapsed_seconds"])]
+    df = spark.createDataFrame(rows, "k string, objective_calls bigint, elapsed_seconds double, cost_status string, cost_unavailable array<string>")
+    rest = {m: F.lit(0) for m in P.COST_METRICS if m not in df.columns}
+    got = {(r["k"], r["metric"]): r for r in P.cost_totals(df.withColumns({**rest, "kind": F.lit("optimization")}), ["k"]).collect()}
+    assert got["a", "elapsed_seconds"]["total"] is None and got["a", "elapsed_seconds"]["known_subtotal"] == 1
+    assert got["a", "objective_calls"]["total"] == 3 and got["b", "elapsed_seconds"]["total"] == 2
+    assert got["c", "objective_calls"]["total"] is None and got["c", "elapsed_seconds"]["total"] == 2
+    assert got["d", "elapsed_seconds"]["unknown_count"] == 1 and got["d", "objective_calls"]["total"] == 4
 
 
 def test_attempt_choice_ignores_scores(spark):
