@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from restartlab.functions.binding import let
+
 EPS = 2.220446049250313e-16
 ANGLE_TIE = 32 * EPS * math.pi
 DISTANCE_TIE = 1e-12
@@ -14,11 +14,6 @@ GAMMA_PERIOD = 2 * math.pi
 BETA_PERIOD = math.pi / 2
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once inside an expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def wrap(x: Column, period: Column | float) -> Column:
     """To [-T/2, T/2); points within rounding of the boundary go to -T/2."""
     period = F.lit(period) if isinstance(period, float) else period

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from restartlab.functions.binding import let
 from restartlab.session import cut_lineage
 
 MAX_VERTICES = 24  # the study contract; bounds every per-graph array
@@ -261,13 +262,18 @@ def _bag(pieces: Column) -> Column:
 def wl_hash(lists: DataFrame, rounds: int = 3) -> DataFrame:
     """Weisfeiler-Lehman graph hash: degree start, ``rounds`` refinements, all label bags hashed; no shuffle."""
     rows = with_neighbours(lists).withColumn("labels", F.transform("near", lambda m: F.bit_count(m).cast("string")))
-    trail = [F.transform("labels", lambda l: _piece(F.concat(F.lit("0:"), l)))]
-    rows = rows.withColumn("trail", trail[0])
+    rows = rows.withColumn("trail", F.transform("labels", lambda l: _piece(F.concat(F.lit("0:"), l))))
+
+    def refined(near: Column, labels: Column, pieces: Column) -> Column:
+        def fresh(label: Column, v: Column) -> Column:
+            around = F.filter(pieces, lambda p, w: _at(near, v).bitwiseAND(_bit(w)) != 0)
+            return F.md5(F.concat(label, F.lit("|"), F.when(_at(near, v) == 0, F.lit("")).otherwise(_bag(around))))
+
+        return F.transform(labels, fresh)
+
     for step in range(1, rounds + 1):
-        rows = rows.withColumn("pieces", F.transform("labels", _piece))
-        rows = rows.withColumn("labels", F.transform("labels", lambda l, v: F.md5(F.concat(l, F.lit("|"), F.when(
-            _at(F.col("near"), v) == 0, F.lit("")).otherwise(_bag(F.filter(
-                "pieces", lambda p, w: _at(F.col("near"), v).bitwiseAND(_bit(w)) != 0)))))))
+        bound = F.struct(F.col("near").alias("m"), F.col("labels").alias("l"), F.transform("labels", _piece).alias("p"))
+        rows = rows.withColumn("labels", let(bound, lambda s: refined(s["m"], s["l"], s["p"])))
         rows = rows.withColumn("trail", F.concat("trail", F.transform("labels", lambda l: _piece(F.concat(F.lit(f"{step}:"), l)))))
     return rows.select("graph_id", F.md5(_bag(F.col("trail"))).alias("wl_hash"))
 
@@ -313,15 +319,15 @@ def canonical_forms(lists: DataFrame) -> DataFrame:
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             order, texts = [], []
-            for n, edges in zip(part["n"], part["edges"]):
-                pairs = [(int(e["u"]), int(e["v"])) for e in edges]
+            for n, us, vs in zip(part["n"], part["us"], part["vs"]):
+                pairs = list(zip(us.tolist(), vs.tolist()))
                 rank = _canonical_order(int(n), pairs)
                 order.append(rank)
                 texts.append(f"{n}|" + ",".join(f"{a}-{b}" for a, b in sorted(
                     tuple(sorted((rank[u], rank[v]))) for u, v in pairs)))
             yield pd.DataFrame({"topology_hash": part["topology_hash"], "canonical": texts, "vertex_rank": order})
 
-    return lists.select("topology_hash", "n", "edges").mapInPandas(
+    return lists.select("topology_hash", "n", F.col("edges.u").alias("us"), F.col("edges.v").alias("vs")).mapInPandas(
         batches, "topology_hash string, canonical string, vertex_rank array<bigint>")
 
 
@@ -405,14 +411,17 @@ def exact_max_cut(lists: DataFrame, chunk: int = 65536) -> DataFrame:
     tasks; each chunk yields its own best and a max per graph remains.
     """
     masks = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.greatest("n", F.lit(1)) - 1).cast("int"))
-    parts = lists.select("graph_id", "n", "edges", masks.alias("masks")).select(
-        "graph_id", "n", "edges", "masks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("masks") - 1) / chunk))).alias("part"))
+    work = lists.agg(F.sum(masks.cast("double") * (F.size("edges") + 1))).first()[0] or 0.0
+    spread = lists.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    tasks = int(min(100_000, max(int(spread), work // 2e9)))  # by work, not by bytes: rows are tiny, masks are many
+    parts = lists.select("graph_id", F.col("edges.u").alias("us"), F.col("edges.v").alias("vs"), masks.alias("masks")).select(
+        "graph_id", "us", "vs", "masks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("masks") - 1) / chunk))).alias("part")).repartition(tasks, "graph_id", "part")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             cuts, winners = [], []
-            for n, edges, masks, part in zip(batch["n"], batch["edges"], batch["masks"], batch["part"]):
+            for us, vs, masks, part in zip(batch["us"], batch["vs"], batch["masks"], batch["part"]):
                 span = (part * chunk, min((part + 1) * chunk, masks))
                 if span not in cache:
                     cache.clear()
@@ -420,8 +429,8 @@ def exact_max_cut(lists: DataFrame, chunk: int = 65536) -> DataFrame:
                     cache[span] = np.stack([(grid >> b & 1).astype(np.int8) for b in range(MAX_VERTICES)])
                 bits = cache[span]
                 score = np.zeros(span[1] - span[0], dtype=np.int16)
-                for e in edges:
-                    score += bits[e["u"]] ^ bits[e["v"]]
+                for u, v in zip(us.tolist(), vs.tolist()):
+                    score += bits[u] ^ bits[v]
                 top = int(score.argmax())
                 cuts.append(int(score[top]))
                 winners.append((span[0] + top) << 1)
@@ -442,9 +451,9 @@ def spectral_extremes(lists: DataFrame) -> DataFrame:
             for n, rows in batch.groupby("n"):
                 n = int(n)
                 adj = np.zeros((len(rows), n, n))
-                for k, edges in enumerate(rows["edges"]):
-                    for e in edges:
-                        adj[k, e["u"], e["v"]] = adj[k, e["v"], e["u"]] = 1.0
+                at = np.repeat(np.arange(len(rows)), rows["us"].map(len).to_numpy())
+                us, vs = (np.concatenate(rows[c].to_list()).astype(np.int64) for c in ("us", "vs"))
+                adj[at, us, vs] = adj[at, vs, us] = 1.0
                 deg = adj.sum(axis=2)
                 root = np.divide(1.0, np.sqrt(deg), out=np.zeros_like(deg), where=deg > 0)
                 eye = np.eye(n)
@@ -457,7 +466,7 @@ def spectral_extremes(lists: DataFrame) -> DataFrame:
                     "adjacency_gap": a[:, -1] - a[:, -2] if n > 1 else none, "laplacian_lambda2": lap[:, 1] if n > 1 else none,
                     "normalized_laplacian_lambda2": nor[:, 1] if n > 1 else none, "normalized_laplacian_max": nor[:, -1]})
 
-    solved = lists.select("graph_id", "n", "edges").mapInPandas(
+    solved = lists.select("graph_id", "n", F.col("edges.u").alias("us"), F.col("edges.v").alias("vs")).mapInPandas(
         solve, "graph_id bigint, " + ", ".join(f"{c} double" for c in SPECTRAL))
     return solved.select("graph_id", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in SPECTRAL])
 
@@ -575,22 +584,29 @@ def grid_search(types: DataFrame, gamma_points: int = 256, beta_points: int = 12
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for graph, kinds in zip(batch["graph_id"], batch["types"]):
-                a, b, t, k = (np.array([row[name] for row in kinds], dtype=np.int64) for name in ("a", "b", "t", "edges"))
+            for graph, a, b, t, k in zip(*(batch[name] for name in ("graph_id", "a", "b", "t", "edges"))):
                 found, spent = [], 0
                 for gamma, beta, powers, bends, waves in grids:
                     linear = np.sin(gamma) / 4 * (k @ (powers[a] + powers[b]))
                     bend = k @ (powers[a + b - 2 * t] * bends[t]) / 4
-                    values = (np.stack([linear, bend], axis=1) @ waves).ravel()
+                    # no beta beats the free optimum -bend/2 + hypot(linear, bend/2) of its gamma,
+                    # so rows whose bound stays below a value already seen cannot hold the maximum
+                    bound = np.hypot(linear, bend / 2) - bend / 2
+                    lead = bound.argmax()
+                    seen = (linear[lead] * waves[0] + bend[lead] * waves[1]).max()
+                    rows_left = np.flatnonzero(bound >= seen - 1e-9)
+                    values = np.multiply.outer(linear[rows_left], waves[0]) + np.multiply.outer(bend[rows_left], waves[1])
                     best = values.max()
-                    index = int((values >= best - 5e-10).argmax())  # first index within rounding of the maximum
-                    found.append((float(best) + k.sum() / 2, gamma[index // len(beta)], beta[index % len(beta)], spent + index + 1))
-                    spent += len(values)
+                    row, column = divmod(int((values.ravel() >= best - 5e-10).argmax()), len(beta))  # first within rounding
+                    index = int(rows_left[row]) * len(beta) + column
+                    found.append((float(best) + k.sum() / 2, gamma[rows_left[row]], beta[column], spent + index + 1))
+                    spent += len(gamma) * len(beta)
                 pick = found[0] if found[0][0] >= found[1][0] - 5e-10 else found[1]
                 rows.append((graph, found[0][0], found[1][0], *pick, spent))
             yield pd.DataFrame(rows, columns=["graph_id", "coarse", "fine", "c_ref", "gamma", "beta", "call_id", "evaluations"])
 
-    out = lists.mapInPandas(search, "graph_id bigint, coarse double, fine double, c_ref double, gamma double, beta double, "
+    flat = lists.select("graph_id", *[F.col(f"types.{c}").alias(c) for c in ("a", "b", "t", "edges")])
+    out = flat.mapInPandas(search, "graph_id bigint, coarse double, fine double, c_ref double, gamma double, beta double, "
                                     "call_id bigint, evaluations bigint")
     gap = F.abs(F.col("fine") - F.col("coarse"))
     return out.withColumns({"refinement_difference": gap, "refinement_passed": gap <= tolerance})

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from restartlab.functions.angles import let
+from restartlab.functions.binding import let
 from restartlab.functions.ranks import bucketed_row_number
 from restartlab.functions.scores import unit_uniform
 from restartlab.operators.graphs import isomorphism_classes
