@@ -35,6 +35,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     below a bracket are only counted, rows inside it are first reduced to
     distinct values with counts. No group is ever collected.
     """
+    if not keys:
+        return exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, accuracy).drop("__all")
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     margin = 4.0 / accuracy
@@ -50,7 +52,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                 .select(*keys, "__n", F.col("__w.prob").alias("prob"),
                         F.when(small | (F.col("__w.lo_p") <= 0), F.col("__min")).otherwise(F.col("__lo")[F.col("__i")]).alias("__lo"),
                         F.when(small | (F.col("__w.hi_p") >= 1), F.col("__max")).otherwise(F.col("__hi")[F.col("__i")]).alias("__hi")))
-    joined = data.join(brackets, keys) if keys else data.join(F.broadcast(brackets))
+    joined = data.join(brackets, keys)
     group = [*keys, "prob"]
     counted = (joined.where(F.col("__v") <= F.col("__hi"))
                .withColumn("__x", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))

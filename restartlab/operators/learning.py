@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from restartlab.functions import angles as A
 from restartlab.functions.ranks import bucketed_row_number, exact_quantiles
@@ -141,11 +141,11 @@ def success_loss(raw: Column, rate: Column) -> Column:
 def choose_model(losses: DataFrame, order: str, last: bool) -> DataFrame:
     """Mean out-of-fold loss per choice and the selected one: last or first within the tie width."""
     scores = losses.groupBy(order).agg(F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("graphs"))
-    least = scores.agg(F.min("mean_loss").alias("__least")).withColumn("__k", F.lit(1))
-    near = scores.withColumn("__k", F.lit(1)).join(least, "__k").withColumn("eligible", F.col("mean_loss") <= F.col("__least") + LOSS_TIE)
-    pick = F.max if last else F.min
-    chosen = near.where("eligible").groupBy("__k").agg(pick(order).alias("__pick"))
-    return near.join(chosen, "__k").select(order, "mean_loss", "graphs", "eligible", (F.col(order) == F.col("__pick")).alias("selected"))
+    whole = W.partitionBy(F.lit(1))  # one row per choice: eight penalties or six candidates
+    near = scores.withColumn("eligible", F.col("mean_loss") <= F.min("mean_loss").over(whole) + LOSS_TIE)
+    candidate = F.when(F.col("eligible"), F.col(order))
+    pick = F.max(candidate) if last else F.min(candidate)
+    return near.withColumn("selected", F.col(order) == pick.over(whole)).select(order, "mean_loss", "graphs", "eligible", "selected")
 
 
 def fold_anchors(points: DataFrame, p: int) -> DataFrame:

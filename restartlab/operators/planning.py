@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from restartlab.functions.ranks import bucketed_row_number
 from restartlab.functions.scores import content_id, seed_rank, unit_uniform
+from restartlab.session import cut_lineage
 
 
 def allocate_counts(capacities: DataFrame, total: int | Callable[[Column], Column], seed: int) -> DataFrame:
@@ -45,7 +46,8 @@ def stratified_sample(records: DataFrame, total: int | Callable[[Column], Column
 def assign_splits(records: DataFrame, tier2: int, training: int, seed: int) -> DataFrame:
     """Tier 2 by cell, then training inside it; a tier-2 shortfall keeps the requested ratio."""
     plain = records.drop("tier", "graph_split")
-    second = stratified_sample(plain, tier2, seed)
+    # read three more times below
+    second = cut_lineage(stratified_sample(plain, tier2, seed).select("graph_id", "cell"))
     train = stratified_sample(second, lambda size: F.floor((2 * size * training + tier2) / (2 * tier2)), seed + 1)
     marks = second.select("graph_id", F.lit(2).cast("bigint").alias("tier")).join(
         train.select("graph_id", F.lit("training").alias("graph_split")), "graph_id", "left")

@@ -47,6 +47,12 @@ def test_exact_quantiles(spark, accuracy):
         assert r["quantile"] == pytest.approx(np.quantile(data[r["k"]], r["prob"]), abs=1e-12)
 
 
+def test_quantile_without_keys(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 8)], "x double")
+    rows = {r["prob"]: r["quantile"] for r in exact_quantiles(df, [], "x", (0.025, 0.5, 0.975)).collect()}
+    assert rows == pytest.approx({0.025: 1.075, 0.5: 3.0, 0.975: 7.7})
+
+
 def test_hex_residue(spark):
     ids = ["ff" * 32, "0123456789abcdef" * 4, "00"]
     rows = spark.createDataFrame([(i,) for i in ids], "h string").select("h", hex_mod(F.col("h"), 97).alias("m")).collect()
