@@ -29,11 +29,14 @@ def build_session(cpus: str | int = "*", app: str = "restartlab") -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the cluster's spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is taken, and remembered in the session.
+    Only a session that names none and runs on one machine (local master, as in
+    tests) takes a temporary folder, remembered in the session; a cluster
+    without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="restartlab-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
