@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from restartlab.llm import decontaminate, language, near_dup, pieces, pseudonyms
+from restartlab.llm import ctw, decontaminate, fingerprint, htmltext, language, near_dup, pieces, pseudonyms, sharding, toxicity
 from restartlab.llm.common import held_out
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -21,10 +21,27 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.values_of(table(spark, sf_dir, "documents"), KEY)
 
 
+def op4_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.scores(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +55,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.scores(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -46,10 +69,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_main_text": op2_main_text,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_phrase_fingerprints": op4_phrase_fingerprints,
+    "op5_context_tree": op5_context_tree,
+    "op6_hilbert_shards": op6_hilbert_shards,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
 
