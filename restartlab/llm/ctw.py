@@ -256,7 +256,7 @@ def _summed(depth: int):
     return run
 
 
-def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_000_000) -> DataFrame:
+def scores(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 6_000_000) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows where ``train`` holds: its context counts and
