@@ -365,7 +365,7 @@ def class_families(classes: DataFrame, families: DataFrame) -> DataFrame:
             .withColumn("lofo_eligible", F.size("families") == 1))
 
 
-def components(edges: DataFrame, sizes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Smallest reachable vertex of every vertex: label propagation with pointer jumping.
 
     Stops when a round changes nothing; lineage is cut by checkpoints.
@@ -375,7 +375,7 @@ def components(edges: DataFrame, sizes: DataFrame, max_rounds: int = 64) -> Data
     arcs = edges.select("graph_id", F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")),
                                                       F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("e")).select(
         "graph_id", "e.x", "e.y")
-    for _ in range(max_rounds):
+    while True:
         near = (arcs.join(labels.select("graph_id", F.col("x").alias("y"), "label"), ["graph_id", "y"])
                 .groupBy("graph_id", "x").agg(F.min("label").alias("near")))
         moved = labels.join(near, ["graph_id", "x"], "left").select(
@@ -387,7 +387,6 @@ def components(edges: DataFrame, sizes: DataFrame, max_rounds: int = 64) -> Data
         labels = fresh.drop("old")
         if not changed:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def connectivity(edges: DataFrame, sizes: DataFrame) -> DataFrame:

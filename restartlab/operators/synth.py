@@ -96,7 +96,8 @@ def growing() -> Column:
 
     Stubs in hashed order with repeats dropped give exactly such a choice.
     """
-    m = F.when(F.col("k") == 3, F.lit(ATTACHMENTS[3])).otherwise(F.lit(ATTACHMENTS[5])).cast("bigint")
+    m = (F.when(F.col("k") == 3, F.lit(ATTACHMENTS[3])).when(F.col("k") == 5, F.lit(ATTACHMENTS[5]))
+         .otherwise(F.raise_error(F.concat(F.lit("no attachment number for degree "), F.col("k").cast("string"))).cast("int")).cast("bigint"))
     star = F.transform(F.sequence(F.lit(1).cast("bigint"), m), lambda v: _edge(F.lit(0).cast("bigint"), v))
 
     def join_vertex(edges: Column, v: Column) -> Column:

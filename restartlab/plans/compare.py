@@ -151,8 +151,8 @@ def family_rows(cat: Catalog) -> DataFrame:
 
 
 def _adjusted(cat: Catalog) -> DataFrame:
-    linear = C.adjusted_family(family_rows(cat), ["old_success", "quality"], draws=500).withColumn("model", F.lit("linear"))
-    quad = C.adjusted_family(family_rows(cat), ["old_success", "quality"], True, draws=500).withColumn("model", F.lit("quadratic"))
+    linear = C.adjusted_family(family_rows(cat), ["old_success", "quality"], draws=2000).withColumn("model", F.lit("linear"))
+    quad = C.adjusted_family(family_rows(cat), ["old_success", "quality"], True, draws=2000).withColumn("model", F.lit("quadratic"))
     return linear.unionByName(quad)
 
 
@@ -232,7 +232,7 @@ SELECT grp, metric, count(*) AS graphs, bool_and(complete) AS complete, CASE WHE
  CASE WHEN count(m) = count(*) THEN avg(m) END AS method_mean, CASE WHEN count(m - b) = count(*) THEN avg(m - b) END AS difference,
  CASE WHEN NOT bool_and(complete) THEN 'provisional' WHEN count(*) < 2 THEN 'fewer_than_two_graphs' WHEN count(m - b) < count(*) THEN 'metric_unavailable' ELSE 'available' END AS ci_status
 FROM ({_WARM_LONG}) GROUP BY 1, 2""", _FLOATS),
-    Query("cmp5_warm_bootstrap", lambda c: C.paired_bootstrap(_warm_pairs(c), ["grp"], WARM_NAMES, draws=500)),
+    Query("cmp5_warm_bootstrap", lambda c: C.paired_bootstrap(_warm_pairs(c), ["grp"], WARM_NAMES, draws=2000)),
     Query("cmp6_rule_start_summary", _rule_summary, f"""
 WITH l AS (SELECT x.*, r.r_name AS family, CASE baseline WHEN '5-LOW' THEN 'B1' WHEN '2-HIGH' THEN 'B2:medoid' ELSE 'B2:aligned_median' END AS base FROM {_LONG} x
  JOIN nation n ON n.n_nationkey = x.cell JOIN region r ON r.r_regionkey = n.n_regionkey WHERE method = '1-URGENT' AND baseline IN ('5-LOW', '2-HIGH', '3-MEDIUM'))

@@ -36,7 +36,7 @@ def _split_selection(cat: Catalog) -> DataFrame:
 def _target_scope(cat: Catalog) -> DataFrame:
     """Scope of every graph; edge counts stand in for sizes, training graphs for the seen library."""
     g = cat.graphs()
-    seen = g.where("graph_split = 'training' and graph_id % 2 = 0").select("m").distinct().withColumn("seen", F.lit(True))
+    seen = g.where("graph_split = 'training'").select("m").distinct().withColumn("seen", F.lit(True))
     new_family = F.col("family").isin("ASIA", "EUROPE")
     return g.join(seen, "m", "left").select("graph_id", F.when(new_family, "external_family_transfer").when(
         F.col("seen"), "independent_holdout").otherwise("external_size_transfer").alias("scope"))
@@ -288,7 +288,7 @@ UNION ALL SELECT graph_id, 'lofo', r_name, graph_split FROM fx_graphs CROSS JOIN
 WHERE tier = 2 AND graph_id%11 <> 0 AND ((graph_split = 'evaluation' AND family = r_name) OR (graph_split = 'training' AND family <> r_name))"""),
     Query("flt7_target_scope", _target_scope, """
 SELECT graph_id, CASE WHEN family IN ('ASIA', 'EUROPE') THEN 'external_family_transfer'
-  WHEN m IN (SELECT m FROM fx_graphs WHERE graph_split = 'training' AND graph_id%2 = 0) THEN 'independent_holdout' ELSE 'external_size_transfer' END AS scope FROM fx_graphs"""),
+  WHEN m IN (SELECT m FROM fx_graphs WHERE graph_split = 'training') THEN 'independent_holdout' ELSE 'external_size_transfer' END AS scope FROM fx_graphs"""),
     Query("flt8_attempt_validation", lambda c: Q.attempt_violations(claims(c), c.trace()), """
 SELECT task_id, attempt_number, 'over_budget' AS violation FROM fx_claims WHERE calls > 12
 UNION ALL SELECT task_id, attempt_number, 'objective_calls' FROM fx_claims WHERE objective_calls <> calls
