@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from restartlab.session import scratch_path
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BITS = 26  # a bit filter has 2 ** BITS bits: 8 MB, whatever goes in
 
 
 class WordHash(dict):
@@ -57,6 +59,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bits(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part of a bit filter, compressed."""
+    part = np.zeros(1 << (BITS - 6 - 3), np.uint8)
+    slot = (rows["slot"].to_numpy(np.int64) & ((1 << (BITS - 6)) - 1))
+    np.bitwise_or.at(part, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    return pd.DataFrame({"part": [int(rows["slot"].iloc[0]) >> (BITS - 6)], "bits": [zlib.compress(part.tobytes(), 1)]})
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """Bit filter of a column ``hash``: 64 parts are made on the executors; 2 ** BITS bits reach the driver at most."""
+    slots = hashes.select(F.shiftrightunsigned("hash", 64 - BITS).alias("slot")).distinct()
+    made = slots.groupBy(F.shiftright("slot", BITS - 6).alias("group")).applyInPandas(_bits, "part int, bits binary").collect()
+    whole = np.zeros((64, 1 << (BITS - 9)), np.uint8)
+    for row in made:
+        whole[row["part"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return whole.reshape(-1)
+
+
+def set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """1 where a hash may have gone into the filter, 0 where it surely has not."""
+    slot = hashes >> np.uint64(64 - BITS)
+    return bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+
+
+def perhaps_in(ids: DataFrame, doc_id: Column) -> Column:
+    """False where ``doc_id`` is surely not in the one column of ``ids``; the rest needs an exact join.
+
+    The filter spares the shuffle of most rows. Its size is fixed: more ids make
+    it less sharp, never wrong.
+    """
+    filled = ids.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("bigint")).alias("hash"))))
+
+    @F.pandas_udf("boolean")
+    def found(hashes: pd.Series) -> pd.Series:
+        return pd.Series(set_in(filled.value, hashes.to_numpy(np.int64).view(np.uint64)) == 1)
+
+    return found(F.xxhash64(doc_id.cast("bigint")))
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b): columns node, root.
 

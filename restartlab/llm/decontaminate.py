@@ -9,13 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from restartlab.llm.common import MIX, WordHash, mix64, parts, stored
+from restartlab.llm.common import MIX, WordHash, bit_filter, mix64, parts, set_in, stored
 
 WINDOW, ERRORS = 13, 3  # words that are compared, and how many of them may differ
 #: Whatever 3 of 13 neighbouring words differ, one of these masks lies on words that agree (a test tries all 286 cases).
 MASKS = ("111011", "110111", "1101000011")
 LEAST = 5  # shorter items cannot be told from chance
-BITS = 26  # the filter of benchmark seeds has 2 ** BITS bits: 8 MB, whatever the benchmark
 #: ASCII punctuation separates words like white space does.
 SPACES = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
@@ -53,24 +52,6 @@ def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["item_id", "n", "seed", "at"])
 
 
-def _bits(rows: pd.DataFrame) -> pd.DataFrame:
-    """One part of the seed filter, compressed."""
-    part = np.zeros(1 << (BITS - 6 - 3), np.uint8)
-    slot = (rows["slot"].to_numpy(np.int64) & ((1 << (BITS - 6)) - 1))
-    np.bitwise_or.at(part, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    return pd.DataFrame({"part": [int(rows["slot"].iloc[0]) >> (BITS - 6)], "bits": [zlib.compress(part.tobytes(), 1)]})
-
-
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """Bit filter of all seeds: 64 parts are made on the executors; 2 ** BITS bits reach the driver at most."""
-    slots = seeds.select(F.shiftrightunsigned("seed", 64 - BITS).alias("slot")).distinct()
-    made = slots.groupBy(F.shiftright("slot", BITS - 6).alias("group")).applyInPandas(_bits, "part int, bits binary").collect()
-    whole = np.zeros((64, 1 << (BITS - 9)), np.uint8)
-    for row in made:
-        whole[row["part"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return whole.reshape(-1)
-
-
 def _regions(filled, lengths: list[int]):
     masks = [*MASKS, *("1" * n for n in lengths)]
 
@@ -83,8 +64,7 @@ def _regions(filled, lengths: list[int]):
             spots, seeds = [], []
             for mask in masks:
                 s = seeds_of(every, mask)
-                slot = s >> np.uint64(64 - BITS)
-                at = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                at = np.flatnonzero(set_in(bits, s))
                 doc = np.searchsorted(ends, at, side="right")
                 at = at[at + len(mask) <= ends[doc]] if len(at) else at  # a mask must not cross into the next document
                 spots.append(at)
@@ -143,7 +123,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     seeds = stored(items.mapInPandas(_item_rows, "item_id bigint, n int, seed bigint, at int"), "seeds")
     lengths = sorted(r["n"] for r in seeds.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 8 values
-    filled = spark.sparkContext.broadcast(seed_filter(seeds))
+    filled = spark.sparkContext.broadcast(bit_filter(seeds.select(F.col("seed").alias("hash"))))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     regions = stored(texts.mapInPandas(_regions(filled, lengths), "doc_id bigint, start int, words array<bigint>, offsets array<int>, seeds array<bigint>")
                      .withColumn("region", F.xxhash64("doc_id", "start", "words")), "regions")

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from restartlab.llm.common import MIX, WordHash, components, mix64, parts, stored, words_of
+from restartlab.llm.common import MIX, WordHash, components, mix64, parts, perhaps_in, stored, words_of
 
 SLOTS = 5  # slots of a chunk; one of them may differ
 
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, block:
     digest = ["h1", "h2", "n_shingles"]
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*digest)
                      .agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")), "classes")
-    keyed = classes.select("node", F.explode("keys").alias("key"))
+    keyed = classes.select("node", F.explode("keys").alias("key")).repartition("key")  # one shuffle for heads and stars
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
     stars = keyed.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     families = components(stars)
@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, block:
     members = stored(families.join(classes.groupBy("node").agg(F.max("n_shingles").alias("n")), "node"), "families")
     plan = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_grams)).alias("blocks"))
     placed = members.join(plan, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("family"), "blocks")
-    sets = docs.select("doc_id", "text").join(placed, "doc_id").mapInPandas(_sets(shingle), "doc_id bigint, family bigint, blocks bigint, grams array<bigint>")
+    texts = docs.select("doc_id", "text").where(perhaps_in(members.select("node"), F.col("doc_id")))  # other texts are not shuffled
+    sets = texts.join(placed, "doc_id").mapInPandas(_sets(shingle), "doc_id bigint, family bigint, blocks bigint, grams array<bigint>")
     dealt = (sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "block", "grams"))
