@@ -98,6 +98,13 @@ def perhaps_in(ids: DataFrame, doc_id: Column) -> Column:
     return found(F.xxhash64(doc_id.cast("bigint")))
 
 
+def apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (as one struct ``__row``) whose doc_id is null or surely not in the first column of ``ids``, and the rest."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    held = F.col("__row.doc_id").isNotNull() & perhaps_in(ids, F.col("__row.doc_id"))
+    return named.where(~held), named.where(held)
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b): columns node, root.
 

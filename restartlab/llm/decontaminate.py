@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from restartlab.llm.common import MIX, WordHash, bit_filter, mix64, parts, set_in, stored
+from restartlab.llm.common import MIX, WordHash, apart, bit_filter, mix64, parts, set_in, stored
 
 WINDOW, ERRORS = 13, 3  # words that are compared, and how many of them may differ
 #: Whatever 3 of 13 neighbouring words differ, one of these masks lies on words that agree (a test tries all 286 cases).
@@ -143,5 +143,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id has no overlap with the benchmark; columns unchanged, rows with a null id kept."""
-    bad = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    bad = stored(overlaps(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "overlapping")
+    sure, rest = apart(docs, bad)
+    rest = rest.join(bad, F.col("__row.doc_id") == F.col("__id"), "left_anti")
+    return sure.unionByName(rest).select("__row.*")

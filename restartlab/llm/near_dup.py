@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from restartlab.llm.common import MIX, WordHash, components, mix64, parts, perhaps_in, stored, words_of
+from restartlab.llm.common import MIX, WordHash, apart, components, mix64, parts, perhaps_in, stored, words_of
 
 SLOTS = 5  # slots of a chunk; one of them may differ
 
@@ -181,13 +181,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs``, one of each group of near-duplicates: the smallest id; of rows that share it, the first by digest of the text.
 
     All columns of ``docs`` are returned unchanged. Rows with a null id are kept as they are.
+    Only rows whose id goes or repeats (and the few that a bit filter cannot tell from them) are shuffled.
     """
-    found = near_duplicates(docs, shingle, percent)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    whole = named.join(kept, F.col("__row.doc_id") == F.col("__kept_id"))
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("__kept_id").orderBy(F.xxhash64("__row.text"), F.col("__row.text")))
-    one = whole.withColumn("__first", first).where("__first = 1").select("__row.*")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    ids = near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id")
+    doubtful = stored(ids.agg(F.bool_or("kept").alias("__keep"), F.count(F.lit(1)).alias("n")).where("n > 1 or not __keep")
+                      .select(F.col("doc_id").alias("__id"), "__keep"), "doubtful")
+    sure, rest = apart(docs, doubtful)
+    rest = rest.withColumn("__id", F.col("__row.doc_id").cast("bigint")).join(doubtful, "__id", "left").where("coalesce(__keep, true)")
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__row.text"), F.col("__row.text")))
+    return sure.select("__row.*").unionByName(rest.withColumn("__first", first).where("__first = 1").select("__row.*"))
