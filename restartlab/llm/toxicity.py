@@ -10,8 +10,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SPAN, STEP, LEVEL = 64, 48, 9  # bytes of a window, bytes to the next one, compression level
-FEATURES = 4
+from restartlab.llm.common import stored
+
+SPAN, STEP = 72, 54  # bytes of a window, bytes to the next one
+BLANK = b"  "  # stands for white space: a dictionary entry at the beginning of a word matches longer than inside one
+LEAD = bytes(range(128, 144))  # begins every window and both dictionaries, which thus both pay for a first match
+STEPS = (3, 4, 5, 6, 8)  # savings in bytes, as thresholds of the features
+FEATURES = 4 + 2 * len(STEPS)
 
 
 @dataclass
@@ -27,22 +32,32 @@ class Model:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+    """The fast strategy leaves literals as they are, so lengths differ by matches alone."""
+    data = zstandard.ZstdCompressionDict(LEAD + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=15, chain_log=14, search_log=1, min_match=6, target_length=1, strategy=zstandard.STRATEGY_FAST,
+        write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
+
+
+def _plain(text: str | None) -> bytes:
+    """Lower case, white space of one form, also at both ends."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    return BLANK + BLANK.join(words) + BLANK
 
 
 def distances(toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor, text: str | None) -> np.ndarray:
     """Bytes that the toxic dictionary saves against the ordinary one, for every window of the whole text."""
-    data = b" " + (text or "").lower().encode("utf-8", "surrogatepass") + b" "
-    windows = [data[i:i + SPAN] for i in range(0, max(1, len(data) - SPAN + STEP), STEP)]
+    data = _plain(text)
+    windows = [LEAD + data[i:i + SPAN] for i in range(0, max(1, len(data) - SPAN + STEP), STEP)]
     return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows], np.float64)
 
 
 def features(d: np.ndarray) -> list[float]:
-    """Largest saving, mean of the three largest, share of windows that save 3 bytes or more, and their number on a log scale."""
-    top = np.sort(d)[::-1]
-    marked = float((d >= 3).sum())
-    return [float(top[0]), float(top[:3].mean()), marked / len(d), float(np.log1p(marked))]
+    """The three largest savings (10 at most), the number of windows, and how many and which share save 3, 4, 5, 6, 8 bytes or more; logarithms."""
+    top = np.minimum(np.sort(np.append(d, [0, 0]))[::-1][:3], 10)
+    marked = np.array([(d >= k).sum() for k in STEPS])
+    return [*map(float, top), float(np.log(len(d))), *np.log1p(marked).tolist(), *np.log((marked + 0.5) / (len(d) + 10)).tolist()]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -56,30 +71,38 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0)
     return w[:-1], float(w[-1])
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """word, before: every word with the word before it; A-Z in lower case."""
+def _beginnings(rows: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """start, hits: in how many different places (word and the word before it) a word begins with ``start``."""
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = rows.select(F.split(low, r"[\x20\x09-\x0D]+").alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.col("w")).alias("before"))
-    return cut.select(F.explode(pairs).alias("p")).select("p.word", "p.before").where("length(word) between 3 and 40")
+    places = cut.select(F.explode(pairs).alias("p")).select("p.word", "p.before").where(F.length("word") >= shortest).distinct()
+    sizes = F.sequence(F.lit(shortest), F.least(F.length("word"), F.lit(longest)))
+    starts = places.select("word", F.explode(sizes).alias("n")).select(F.expr("left(word, n)").alias("start"))
+    return starts.groupBy("start").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def contrast_words(toxic: DataFrame, ordinary: DataFrame, least: int = 5, ratio: float = 8.0, relative: float = 0.1, most: int = 400) -> list[str]:
-    """Words that mark toxic rows, strongest last.
+def contrast_stems(toxic: DataFrame, ordinary: DataFrame, least: int = 5, ratio: float = 8.0, relative: float = 0.1,
+                   most: int = 400, shortest: int = 3, longest: int = 12) -> list[str]:
+    """Beginnings of words that mark toxic rows, strongest last; whole words are beginnings too.
 
-    A word is weighed by the number of different words before it, so a text that
-    was copied a thousand times counts once. Words far weaker than the strongest are
-    chance and go. Counts cover all given rows; at most
-    ``most`` words are returned, and 5,000 candidates are broadcast.
+    A beginning is weighed by the number of different places it has, so a text that
+    was copied a thousand times counts once, and inflected forms count together. Of
+    beginnings that contain each other the one with the most weight stays, the
+    longest on a tie. Those far weaker than the strongest are chance and go. At most
+    5,000 rows, the heaviest, reach the driver and at most ``most`` are returned.
     """
-    seen = _words(toxic).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
-    seen = seen.orderBy(F.desc("hits"), "word").limit(5000)
-    other = _words(ordinary).join(F.broadcast(seen.select("word")), "word").groupBy("word").agg(F.approx_count_distinct("before", 0.05).alias("others"))
+    seen = _beginnings(toxic, shortest, longest).where(F.col("hits") >= least)
+    other = _beginnings(ordinary, shortest, longest).withColumnRenamed("hits", "others")
     size = lambda rows: rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double")).first()[0] or 1.0
-    share = size(toxic) / size(ordinary)
-    odds = F.col("hits") / ((F.coalesce("others", F.lit(0)) + 1) * F.lit(share))
-    rows = seen.join(other, "word", "left").where(odds >= ratio).select("word", (F.log(odds) * F.col("hits")).alias("w")).orderBy(F.desc("w"), "word").limit(most).collect()
-    return [r["word"] for r in reversed(rows) if r["w"] >= relative * rows[0]["w"]]
+    odds = F.col("hits") / ((F.coalesce("others", F.lit(0)) + 1) * F.lit(size(toxic) / size(ordinary)))
+    rows = (seen.join(other, "start", "left").where(odds >= ratio).select("start", (F.log(odds) * F.col("hits")).alias("w"))
+            .orderBy(F.desc("w"), F.desc(F.length("start")), "start").limit(5000).collect())
+    kept: list[str] = []
+    for r in rows:
+        if r["w"] >= relative * rows[0]["w"] and len(kept) < most and not any(r["start"].startswith(k) or k.startswith(r["start"]) for k in kept):
+            kept.append(r["start"])
+    return kept[::-1]
 
 
 def _sample(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -88,31 +111,35 @@ def _sample(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= size)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 1000, base: int = 8192) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 1000, base: int = 2048, reading: int = 5000) -> Model | None:
     """Dictionaries and thresholds from labelled rows; null if one label is missing.
 
     Half of the labelled texts (by hash) gives the dictionaries: the ordinary one
-    is trained on snippets of at most ``sample`` rows; the toxic one is the same
-    content and the words that mark toxic rows, so both know the languages and
-    differ in what is toxic only. At most ``sample`` rows per label of the other
-    half calibrate the score. Word counts cover all labelled rows of the first half.
+    is trained on snippets of at most ``sample`` rows, without the beginnings of
+    words that mark toxic rows; the toxic one is the same content and those
+    beginnings, so both know the languages and differ in what is toxic only. The
+    beginnings are taken from at most ``reading`` whole texts per label. At most
+    ``sample`` rows per label of the other half calibrate the score.
     """
     texts = docs.select("doc_id", "text").where("text is not null")
     texts = texts.where(allowed) if allowed is not None else texts
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = texts.join(marked, "doc_id").withColumn("__half", F.pmod(F.xxhash64("text"), F.lit(2)))
     first, second = rows.where("__half = 0"), rows.where("__half = 1")
-    toxic, ordinary = first.where("toxic = 1"), first.where("toxic = 0")
-    words = contrast_words(toxic, ordinary)
+    ordinary = first.where("toxic = 0")
+    read = stored(_sample(first.select("doc_id", "text", "toxic"), ["toxic"], reading), "labelled")
+    stems = contrast_stems(read.where("toxic = 1"), read.where("toxic = 0"))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 400, F.lit(0)) + 1) + 1
     snippets = _sample(ordinary.select("doc_id", "text", "toxic", F.substring("text", start.cast("int"), F.lit(400)).alias("part")).drop("text").withColumnRenamed("part", "text"), ["toxic"], sample)
-    parts = sorted(r["text"].lower().encode("utf-8", "surrogatepass") for r in snippets.select("text").collect())
+    parts = sorted(_plain(r["text"]) for r in snippets.select("text").collect())
     try:
         content = zstandard.train_dictionary(base, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
         content = b"\n".join(parts)[-base:]
-    marks = (" " + " ".join(words) + " ").encode("utf-8", "surrogatepass")
-    filler = (b" ".join(parts) + b" " * len(marks))[:len(marks)]  # both dictionaries have one length: matches cost the same
+    marks = _plain(" ".join(stems))
+    for stem in stems:
+        content = content.replace(stem.encode("utf-8", "surrogatepass"), b"")
+    filler = content[:len(marks)].ljust(len(marks))  # both dictionaries have one length: matches cost the same
     model = Model(content + marks, content + filler, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
     found = _sample(second, ["toxic"], sample).select("toxic", _features(model)(F.col("text")).alias("f"))
     got = found.collect()
