@@ -105,10 +105,12 @@ def contrast_stems(toxic: DataFrame, ordinary: DataFrame, least: int = 5, ratio:
     return kept[::-1]
 
 
-def _sample(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    turn = F.xxhash64("doc_id", "text")
-    w = Window.partitionBy(*keys).orderBy(turn, "doc_id")
-    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= size)
+def _first(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``size`` rows of each group by the order of ``turn``, doc_id; first within 256 parts of a group, then among those."""
+    parts = [*keys, F.pmod("turn", F.lit(256))]
+    for by in (parts, keys):
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("turn", "doc_id"))).where(F.col("n") <= size)
+    return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 1000, base: int = 2048, reading: int = 5000) -> Model | None:
@@ -122,16 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     ``sample`` rows per label of the other half calibrate the score.
     """
     texts = docs.select("doc_id", "text").where("text is not null")
-    texts = texts.where(allowed) if allowed is not None else texts
+    texts = (texts.where(allowed) if allowed is not None else texts).withColumn("turn", F.xxhash64("text"))
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = texts.join(marked, "doc_id").withColumn("__half", F.pmod(F.xxhash64("text"), F.lit(2)))
-    first, second = rows.where("__half = 0"), rows.where("__half = 1")
-    ordinary = first.where("toxic = 0")
-    read = stored(_sample(first.select("doc_id", "text", "toxic"), ["toxic"], reading), "labelled")
-    stems = contrast_stems(read.where("toxic = 1"), read.where("toxic = 0"))
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 400, F.lit(0)) + 1) + 1
-    snippets = _sample(ordinary.select("doc_id", "text", "toxic", F.substring("text", start.cast("int"), F.lit(400)).alias("part")).drop("text").withColumnRenamed("part", "text"), ["toxic"], sample)
-    parts = sorted(_plain(r["text"]) for r in snippets.select("text").collect())
+    keys = texts.select("doc_id", "turn").distinct().join(marked, "doc_id")  # texts themselves are not shuffled
+    keys = stored(keys.withColumn("half", F.pmod("turn", F.lit(2))), "labels")
+    chosen = _first(keys, ["toxic", "half"], max(reading, sample)).where(F.expr("half = 0") | (F.col("n") <= sample))
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "turn"])  # at most 2 * (reading + sample) keys
+    rows = stored(rows.select("doc_id", "text", "turn", "toxic", "half", "n"), "labelled")
+    first, second = rows.where("half = 0"), rows.where("half = 1")
+    stems = contrast_stems(first.where(F.col("toxic") == 1), first.where(F.col("toxic") == 0))
+    start = F.pmod("turn", F.greatest(F.length("text") - 400, F.lit(0)) + 1) + 1
+    snippets = first.where((F.col("toxic") == 0) & (F.col("n") <= sample)).select(F.substring("text", start.cast("int"), F.lit(400)).alias("text"))
+    parts = sorted(_plain(r["text"]) for r in snippets.collect())
     try:
         content = zstandard.train_dictionary(base, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
@@ -141,14 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
         content = content.replace(stem.encode("utf-8", "surrogatepass"), b"")
     filler = content[:len(marks)].ljust(len(marks))  # both dictionaries have one length: matches cost the same
     model = Model(content + marks, content + filler, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    found = _sample(second, ["toxic"], sample).select("toxic", _features(model)(F.col("text")).alias("f"))
-    got = found.collect()
+    got = second.select("toxic", _features(model)(F.col("text")).alias("f")).collect()
     x, y = np.array([r["f"] for r in got]).reshape(len(got), FEATURES), np.array([r["toxic"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return None
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     model.weight, model.bias = logistic((x - model.mean) / model.scale, y)
-    share = second.agg(F.avg("toxic")).first()[0]  # the sample is drawn per label: put the odds back
+    share = keys.where("half = 1").agg(F.avg("toxic")).first()[0]  # the sample is drawn per label: put the odds back
     model.bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
 
@@ -178,7 +181,7 @@ def scores(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> Data
         toxic, ordinary = _compressor(model.toxic), _compressor(model.ordinary)
         for texts in batches:
             x = np.array([features(distances(toxic, ordinary, t)) for t in texts]).reshape(len(texts), FEATURES)
-            z = ((x - model.mean) / model.scale) @ model.weight + model.bias
+            z = (((x - model.mean) / model.scale) * model.weight).sum(axis=1) + model.bias  # a product would round by the batch's shape
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     found = docs.select("doc_id", scored(F.col("text")).alias("score"))
