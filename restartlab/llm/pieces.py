@@ -106,12 +106,13 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.result[at], -1)
 
-    def segment_many(self, symbols: np.ndarray, dropout: float, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def segment_many(self, symbols: np.ndarray, dropout: float, seeds: np.ndarray, path: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``segment`` for many short units at once: in every round each unit takes the head of its agenda.
 
         ``symbols`` (units, width) has the ids of the characters, -2 - code point
         for those without a piece, -1 beyond a unit's end. Gives all ids in one
-        array, and how many each unit has.
+        array, and how many each unit has. ``path`` takes (unit, place, piece) of
+        the merges of every round.
         """
         count, wide = symbols.shape
         width = wide + 2  # a column before and one after, without merges
@@ -132,6 +133,8 @@ class Vocabulary:
                 skip = chance(seeds[rows], at - 1, coming[rows, at]) < bound
                 order[rows[skip], at[skip]] = np.inf
                 r, a = rows[~skip], at[~skip]
+            if path is not None:
+                path.append((r, a - 1, coming[r, a]))
             new, gone = coming[r, a], after[r, a]
             follow, ahead = after[r, gone], before[r, a]
             grid[r, a], grid[r, gone], order[r, gone] = new, -1, np.inf
@@ -199,25 +202,30 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; the segmentation of a unit under one of ``variants`` seeds is remembered while the cache is small."""
+    """Encodes texts; every place of every document has its own seed.
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, short: int = 64, cached: int = 1_000_000):
+    Remembered while the cache is small is only what no seed changes: the ids of
+    a unit without dropout, and the merges that lead there. A place whose seed
+    skips none of these merges has those ids; all others are segmented anew.
+    """
+
+    def __init__(self, path: str, dropout: float, seed: int, cached: int = 1_000_000, short: int = 64):
         self.words, self.dropout, self.seed, self.short, self.cached = vocabulary(path), dropout, seed, short, cached
-        self.variants = variants if dropout > 0 else 1
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.place, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # merges of all units
+        self.first, self.steps = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _segment(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the given units of ``codes`` in one array, how many each has, and where they begin."""
-        seeds = (np.uint64(self.seed * 1_000_003 & 0xFFFFFFFF) + variant) & np.uint64(0xFFFFFFFF)
-        runs, counts, place = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    def _segment(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, dropout: float, seeds: np.ndarray, merges: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the given units of ``codes`` in one array, how many each has, and where they begin; ``merges`` takes (unit, place, piece)."""
+        runs, counts, place = [np.zeros(0, np.int32)], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         done = 0
         for i in np.flatnonzero(sizes > self.short):
             unit = codes[starts[i]:starts[i] + sizes[i]].tobytes().decode("utf-32-le", "surrogatepass")
-            runs.append(np.array(self.words.segment(unit, self.dropout, int(seeds[i])), np.int32))
+            runs.append(np.array(self.words.segment(unit, dropout, int(seeds[i])), np.int32))
             counts[i], place[i] = len(runs[-1]), done
             done += len(runs[-1])
         rest = np.flatnonzero(sizes <= self.short)
@@ -229,14 +237,43 @@ class Encoder:
             ids = self.words.code[part]
             ids = np.where(ids < 0, -2 - part.astype(np.int32), ids)
             ids[np.arange(wide)[None, :] >= sizes[pick][:, None]] = -1
-            flat, many = self.words.segment_many(ids, self.dropout, seeds[pick])
+            path = None if merges is None else []
+            flat, many = self.words.segment_many(ids, dropout, seeds[pick], path)
+            if path:
+                merges += [(pick[r], a, made) for r, a, made in path]
             counts[pick], place[pick] = many, done + np.cumsum(many) - many
             runs.append(flat)
             done += len(flat)
         return np.concatenate(runs), counts, place
 
+    def _learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
+        """Put units into the cache."""
+        merges = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        ids, counts, place = self._segment(codes, starts, sizes, 0.0, np.zeros(len(starts), np.uint64), merges)
+        unit, spot, piece = (np.concatenate(m) for m in zip(*merges))
+        by_unit = np.argsort(unit, kind="stable")
+        steps = np.bincount(unit, minlength=len(starts))
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every)
+        self.starts = np.concatenate([self.starts, len(self.flat) + place])[order]
+        self.sizes = np.concatenate([self.sizes, counts])[order]
+        self.first = np.concatenate([self.first, len(self.place) + np.cumsum(steps) - steps])[order]
+        self.steps = np.concatenate([self.steps, steps])[order]
+        self.keys, self.flat = every[order], np.concatenate([self.flat, ids])
+        self.place = np.concatenate([self.place, spot[by_unit].astype(np.int32)])
+        self.piece = np.concatenate([self.piece, piece[by_unit]])
+
+    def _skips(self, at: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """Whether a seed skips any of the merges of a cached unit."""
+        out = np.zeros(len(at), bool)
+        steps = self.steps[at]
+        spots = ragged(self.first[at], steps)
+        hit = chance(np.repeat(seeds, steps), self.place[spots], self.piece[spots]) < int(self.dropout * 2**32)
+        out[np.repeat(np.arange(len(at)), steps)[hit]] = True
+        return out
+
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has; ``keys`` (of the documents) and the place of a unit choose its seed."""
+        """Ids of all texts one after the other, and how many each has; ``keys`` (of the documents) and the place of a unit are its seed."""
         total = np.zeros(len(texts), np.int64)
         codes = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(codes):
@@ -252,33 +289,35 @@ class Encoder:
         sizes = np.diff(starts, append=len(codes))
         doc = np.searchsorted(begin, starts, side="right") - 1
         nth = (np.arange(len(starts)) - np.searchsorted(starts, begin)[doc]).astype(np.uint64)
-        key = (np.array([keys[i] for i in full], np.uint64) ^ np.uint64(self.seed & (2**64 - 1)))[doc]
-        variant = mix64(nth * MIX + key) % np.uint64(self.variants)
+        key = (np.array([keys[i] for i in full], np.uint64) ^ mix64(np.array([self.seed & (2**64 - 1)], np.uint64) * MIX))[doc]
+        seeds = mix64(nth * MIX + key)
         inner = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.uint64)
         unit = np.add.reduceat(mix64((inner << np.uint64(21)) + codes), starts)
-        unit = mix64(unit + variant * MIX + (sizes.astype(np.uint64) << np.uint64(40)))
-        wanted, where, back = np.unique(unit, return_index=True, return_inverse=True)
+        unit = mix64(unit + (sizes.astype(np.uint64) << np.uint64(40)))
+        plain = np.ones(len(starts), bool) if self.dropout <= 0 else sizes <= self.short  # a long unit almost surely skips a merge
+        wanted, where, back = np.unique(unit[plain], return_index=True, return_inverse=True)
+        where = np.flatnonzero(plain)[where]
         if len(self.keys) > self.cached:
             self._forget()
         at = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
         new = where if not len(self.keys) else where[self.keys[at] != wanted]
         if len(new):
-            ids, counts, place = self._segment(codes, starts[new], sizes[new], variant[new])
-            every = np.concatenate([self.keys, unit[new]])
-            order = np.argsort(every)
-            self.starts = np.concatenate([self.starts, len(self.flat) + place])[order]
-            self.sizes = np.concatenate([self.sizes, counts])[order]
-            self.keys, self.flat = every[order], np.concatenate([self.flat, ids])
-            at = np.searchsorted(self.keys, wanted)
-        at = at[back]
-        size = self.sizes[at]
+            self._learn(codes, starts[new], sizes[new], unit[new])
+        at = np.searchsorted(self.keys, wanted)[back]
+        anew = ~plain
+        if self.dropout > 0:
+            anew[plain] = self._skips(at, seeds[plain])
+        begins, size = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begins[plain], size[plain] = self.starts[at], self.sizes[at]
+        ids, size[anew], place = self._segment(codes, starts[anew], sizes[anew], self.dropout, seeds[anew])
+        begins[anew] = len(self.flat) + place
         total[full] = np.add.reduceat(size, np.searchsorted(doc, np.arange(len(full))))
-        return self.flat[ragged(self.starts[at], size)], total
+        return np.concatenate([self.flat, ids])[ragged(begins, size)], total
 
 
-def _encoded(path: str, dropout: float, seed: int, variants: int):
+def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, dropout, seed, variants)
+        encoder = Encoder(path, dropout, seed)
         for part in parts(batches, "text"):
             texts = [t or "" for t in part["text"].tolist()]
             ids, counts = encoder.encode(texts, [xxhash.xxh3_64_intdigest(str(d)) for d in part["doc_id"].tolist()])
@@ -288,17 +327,17 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, pieces, n_pieces, lossless for every row of ``docs`` (doc_id, text).
 
     Each candidate merge of a word is skipped with chance ``dropout`` by a keyed
-    hash. The seed of a word is one of ``variants`` seeds, chosen by document and
-    place, so one word is cut in several ways over a corpus and every run repeats
-    them. ``lossless`` says that the decoded pieces give the text back. Null and
+    hash. The seed of a word is a hash of its document and place, so every
+    occurrence of a word is cut on its own and every run repeats it.
+    ``lossless`` says that the decoded pieces give the text back. Null and
     empty texts have no pieces. Whole texts are encoded; nothing is shuffled.
     """
     return docs.select("doc_id", "text").mapInPandas(
-        _encoded(model, dropout, seed, variants), "doc_id bigint, pieces array<int>, n_pieces bigint, lossless boolean")
+        _encoded(model, dropout, seed), "doc_id bigint, pieces array<int>, n_pieces bigint, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

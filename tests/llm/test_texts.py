@@ -166,6 +166,27 @@ def test_pieces_equal_the_library_and_decode(spark):
     assert [r.text for r in again] == [*texts, ""]
 
 
+def test_every_occurrence_has_its_own_cut():
+    encoder = pieces.Encoder(TOKENIZER, 0.1, 1)
+    ids, counts = encoder.encode([" ".join(["international"] * 3000)] * 2, [5, 6])
+    words = encoder.words
+    cuts = Counter()
+    for part in np.split(ids, np.cumsum(counts)[:-1]):
+        one = []
+        for i in part.tolist():
+            if one and words.bytes_of[i].startswith(b" "):
+                cuts[tuple(one)] += 1
+                one = []
+            one.append(i)
+        cuts[tuple(one)] += 1
+    plain = pieces.Encoder(TOKENIZER, 0.0, 1)
+    whole, _ = plain.encode(["international"], [5])
+    merges = int(plain.steps[0])
+    share = cuts[tuple(whole.tolist())] / cuts.total()
+    # plain at least when no merge on the way is skipped; a skipped one may lead there by another way
+    assert cuts.total() == 6000 and len(cuts) > 10 and share > 0.9**merges - 0.03 and share < 0.9
+
+
 def test_language_learns_and_rejects(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(90001, None, "en"), (90002, "", "en"), (90003, "123 !!", None)], "doc_id bigint, text string, lang string")
