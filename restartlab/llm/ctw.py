@@ -1,9 +1,9 @@
 """Language model scores by context-tree weighting over bytes, counted and looked up on Spark.
 
 Texts are dealt into blocks. A block sends its distinct byte windows (context and
-next byte) and words, with training counts, to buckets of contexts and words; a
-bucket adds the counts of all blocks, weighs its part of the context tree, and
-answers every block for just the windows that it asked for.
+next byte) and words, with training counts, to buckets of contexts and words once;
+a bucket adds the counts of all blocks and keeps which of its windows each block
+asked for. Then it weighs its part of the context tree and answers every block.
 """
 
 from __future__ import annotations
@@ -35,6 +35,15 @@ def unpack(data: bytes, sorted_: bool = False) -> np.ndarray:
     return np.cumsum(v, dtype=np.uint64) if sorted_ else v
 
 
+def pack_floats(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.float32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_floats(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view(np.float32)
+
+
 def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
@@ -104,6 +113,16 @@ def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": [key[0]], "bucket": [key[1]], "keys": [pack(keys, True)], "counts": [pack(counts.astype(np.uint64))]})
 
 
+def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the blocks of one salt and bucket added up, and the places of each block's keys among all."""
+    lists = [unpack(k, True) for k in rows["keys"]]
+    keys, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    counts = np.bincount(inverse, weights=np.concatenate([unpack(c) for c in rows["counts"]]).astype(np.float64), minlength=len(keys))
+    places = [pack(p, True) for p in np.split(inverse, np.cumsum([len(k) for k in lists])[:-1])]
+    return pd.DataFrame({"kind": [key[0]], "bucket": [key[1]], "salt": [key[2]], "keys": [pack(keys, True)], "counts": [pack(counts.astype(np.uint64))],
+                         "blocks": [rows["block"].tolist()], "places": [places]})
+
+
 def log_gamma_half(n: np.ndarray) -> np.ndarray:
     """log of gamma(n + 1/2) / gamma(1/2)."""
     x = n + 0.5
@@ -122,18 +141,29 @@ def log_gamma(n: np.ndarray) -> np.ndarray:
     return big - np.log(shift)
 
 
+SMALL = np.arange(4096.0)
+HALF_OF, WHOLE_OF = log_gamma_half(SMALL), log_gamma(SMALL)
+
+
 def krichevsky_trofimov(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log probability of a sequence of n0 zeros and n1 ones."""
-    return log_gamma_half(n0) + log_gamma_half(n1) - log_gamma(n0 + n1)
+    """Log probability of a sequence of n0 zeros and n1 ones; small counts are looked up."""
+    both = n0 + n1
+    a, b, c = (np.minimum(n, len(SMALL) - 1).astype(np.int64) for n in (n0, n1, both))
+    out = HALF_OF[a] + HALF_OF[b] - WHOLE_OF[c]
+    big = np.flatnonzero(both >= len(SMALL))
+    out[big] = log_gamma_half(n0[big]) + log_gamma_half(n1[big]) - log_gamma(both[big])
+    return out
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, root: dict | None = None):
+def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: list[np.ndarray] | None = None):
     """Context-tree weighting of windows whose contexts share bucket-mates.
 
-    The tree branches at the two nearest bytes together, then byte by byte up to
-    ``depth``; every byte is coded as eight bits, each with its own tree. Without
-    ``root`` it returns, per bit node (1 to 255), zeros, ones and the log weight
-    of all two-byte contexts; with it, the log probability of each window's byte.
+    It holds the contexts of two bytes and, byte by byte, up to ``depth``; every
+    byte is coded as eight bits, each with its own tree. Without ``top`` it
+    returns, per nearest byte and bit node (1 to 255), zeros, ones and the log
+    weight of all two-byte contexts; with it, the log probability of each window's
+    byte. ``top`` has the levels above, root first: zeros, ones and the share of
+    the own estimate of every nearest byte (the root repeats itself) and bit node.
     A context without training counts takes the estimate of the context above it.
     """
     levels = list(range(depth, 1, -1))
@@ -146,7 +176,7 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, root: dict | None
         one, inverse = np.unique(joined, return_inverse=True)
         tables.append((one >> np.uint64(8), (one & np.uint64(255)).astype(np.int64), np.bincount(inverse, weights=n, minlength=len(one))))
         up.append(inverse)
-    totals = np.zeros((256, 3))
+    totals = np.zeros((256 * 256, 3))
     logp = np.zeros(len(keys))
     for k in range(8):
         child = below = guess = None
@@ -170,22 +200,22 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, root: dict | None
             child, below = weighted, start
         prefix = (tables[-1][1] >> (8 - k)) + (1 << k)  # bit node of each top-level row
         first = np.flatnonzero(below)
-        node_of = prefix[first]
-        if root is None:
+        if top is None:
             _, _, ones, both = path[-1]
-            np.add.at(totals, (node_of, 0), both - ones)
-            np.add.at(totals, (node_of, 1), ones)
-            np.add.at(totals, (node_of, 2), child)
+            spot = ((tables[-1][0][first] >> np.uint64(8)) << np.uint64(8)).astype(np.int64) | prefix[first]
+            for i, x in enumerate((both - ones, ones, child)):
+                totals[:, i] += np.bincount(spot, weights=x, minlength=len(totals))
             continue
-        zeros_r, ones_r, share_r = (np.array([root.get(i, (0.0, 0.0, 1.0))[c] for i in range(256)]) for c in range(3))
-        top = tables[-1]
-        estimate = (ones_r[prefix] + 0.5) / (zeros_r[prefix] + ones_r[prefix] + 1)
-        group, local, ones, both = path[-1]
-        chance, weight = estimate, share_r[prefix]  # of a one, from the root; weight: of levels above
-        total = estimate * share_r[prefix]
-        left = 1 - share_r[prefix]
+        spot = ((tables[-1][0] >> np.uint64(8)) << np.uint64(8)).astype(np.int64) | prefix
+        total, left, last = np.zeros(len(spot)), np.ones(len(spot)), np.full(len(spot), 0.5)
+        for table in top:
+            zeros, ones, share = table.reshape(-1, 3)[spot].T
+            seen = zeros + ones > 0
+            here = np.where(seen, (ones + 0.5) / (zeros + ones + 1), last)
+            share = np.where(seen, share, 1.0)
+            total = total + left * share * here
+            left, last = left * (1 - share), here
         # walk down: 'total' gathers weighted estimates, 'left' the weight that goes on to deeper contexts
-        last = estimate
         for level in range(len(tables) - 1, -1, -1):
             group, local, ones, both = path[level]
             if level < len(tables) - 1:
@@ -199,30 +229,62 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, root: dict | None
             last = here
         bit = (symbol >> (7 - k)) & 1
         logp += np.log(np.clip(np.where(bit == 1, total, 1 - total), 1e-300, 1))
-    return totals if root is None else logp
+    return totals.reshape(256, 256, 3) if top is None else logp
+
 
+def upper_levels(totals: np.ndarray, one_byte: bool) -> list[np.ndarray]:
+    """The levels above two bytes for ``subtree`` from its totals summed over all buckets."""
+    def shared(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = krichevsky_trofimov(t[..., 0].ravel(), t[..., 1].ravel()).reshape(t.shape[:-1])
+        weighted = np.logaddexp(own, t[..., 2]) - math.log(2)
+        return weighted, np.stack([t[..., 0], t[..., 1], np.exp(np.minimum(own - math.log(2) - weighted, 0))], -1)
 
-def _root_parts(depth: int):
+    near, levels = totals, []
+    if one_byte:
+        weighted, level = shared(totals)
+        levels.append(level)
+        near = np.concatenate([totals[..., :2], weighted[..., None]], -1)
+    return [np.broadcast_to(shared(near.sum(0))[1], (256, 256, 3)).copy(), *levels]
+
+
+def _top_parts(depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for keys, counts in zip(batch["keys"], batch["counts"]):
-                t = subtree(unpack(keys, True), unpack(counts), depth)
-                yield pd.DataFrame({"node": np.arange(1, 256), "zeros": t[1:, 0], "ones": t[1:, 1], "inner": t[1:, 2]})
+                t = subtree(unpack(keys, True), unpack(counts), depth).reshape(-1, 3)
+                spot = np.flatnonzero(t[:, 0] + t[:, 1])
+                yield pd.DataFrame({"spot": spot, "zeros": t[spot, 0], "ones": t[spot, 1], "inner": t[spot, 2]})
+
+    return run
+
+
+def _said(kind: int, bucket: int, values: np.ndarray, blocks, places) -> pd.DataFrame:
+    out = [pack_floats(values[unpack(p, True)]) if kind == 0 else pack(values[unpack(p, True)]) for p in places]
+    return pd.DataFrame({"block": list(blocks), "kind": kind, "bucket": bucket, "values": out})
+
+
+def _valued(kind: int, keys: np.ndarray, counts: np.ndarray, depth: int, top: list[np.ndarray]) -> np.ndarray:
+    return subtree(keys, counts, depth, top).astype(np.float32) if kind == 0 else counts
+
+
+def _answers(depth: int, top: list[np.ndarray]):
+    """Of buckets with a single salt: model and asked places are in one row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                yield _said(r.kind, r.bucket, _valued(r.kind, unpack(r.keys, True), unpack(r.counts), depth, top), r.blocks, r.places)
 
     return run
 
 
-def _answers(depth: int, root: dict):
+def _salted_answers(depth: int, top: list[np.ndarray]):
     def run(key: tuple, model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({"block": [], "kind": [], "bucket": [], "values": []})
-        keys, counts = unpack(model["keys"].iloc[0], True), unpack(model["counts"].iloc[0])
-        values = subtree(keys, counts, depth, root).astype(np.float32) if key[0] == 0 else counts
-        out = []
-        for wanted in asked["keys"]:
-            got = values[np.searchsorted(keys, unpack(wanted, True))]
-            out.append(got.tobytes() if key[0] == 0 else pack(got))
-        return pd.DataFrame({"block": asked["block"], "kind": asked["kind"], "bucket": asked["bucket"], "values": out})
+        keys = unpack(model["keys"].iloc[0], True)
+        values = _valued(key[0], keys, unpack(model["counts"].iloc[0]), depth, top)
+        one = asked.iloc[0]
+        return _said(key[0], key[1], values[np.searchsorted(keys, unpack(one["keys"], True))], one["blocks"], one["places"])
 
     return run
 
@@ -242,7 +304,7 @@ def _summed(depth: int):
                 pick = order[edges[b]:edges[b + 1]]
                 if len(pick):
                     data = said[kind, b]
-                    table[pick] = np.frombuffer(data, np.float32) if kind == 0 else unpack(data)
+                    table[pick] = unpack_floats(data) if kind == 0 else unpack(data)
             return table[inverse]
 
         sizes = np.array([len(t) + 1 for t in texts])
@@ -256,7 +318,7 @@ def _summed(depth: int):
     return run
 
 
-def scores(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 6_000_000) -> DataFrame:
+def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_000_000, one_byte: bool = False) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows where ``train`` holds: its context counts and
@@ -264,7 +326,8 @@ def scores(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 6_
     lower-cased bytes and the end of a text, ``bits_per_byte`` the code length;
     ``base_score`` that of a word model with additive smoothing. Null texts are
     empty; an empty text has its end only. Without training rows every bit has
-    probability one half. Work and shuffled tables grow with the texts; a bucket
+    probability one half. Contexts of 0 and of 2 to ``depth`` bytes are mixed, with
+    ``one_byte`` also those of one. Work and shuffled tables grow with the texts; a bucket
     holds distinct windows, whose counts reach it pre-added per salt.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
@@ -273,15 +336,16 @@ def scores(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 6_
     salts = max(1, -(-blocks // 64))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
     shape = "kind int, bucket int, keys binary, counts binary"
-    asked = stored(dealt.groupBy("block").applyInPandas(_asked(depth, salts), "kind int, bucket int, salt int, block bigint, keys binary, counts binary"), "windows")
-    part = asked.groupBy("kind", "bucket", "salt").applyInPandas(_added, shape)
-    model = stored((part.groupBy("kind", "bucket").applyInPandas(_added, shape)) if salts > 1 else part, "counts")
-    nodes = (model.where("kind = 0").mapInPandas(_root_parts(depth), "node int, zeros double, ones double, inner double")
-             .groupBy("node").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("inner").alias("s")).collect())  # 255 rows
-    root = {}
-    for r in nodes:
-        own = float(krichevsky_trofimov(np.array([r["z"]]), np.array([r["o"]]))[0])
-        root[r["node"]] = (r["z"], r["o"], 1 / (1 + math.exp(min(700.0, max(-700.0, r["s"] - own)))))
+    asked = dealt.groupBy("block").applyInPandas(_asked(depth, salts), "kind int, bucket int, salt int, block bigint, keys binary, counts binary")
+    part = stored(asked.groupBy("kind", "bucket", "salt").applyInPandas(
+        _merged, "kind int, bucket int, salt int, keys binary, counts binary, blocks array<bigint>, places array<binary>"), "windows")
+    counted = part.select("kind", "bucket", "keys", "counts")
+    model = stored(counted.groupBy("kind", "bucket").applyInPandas(_added, shape), "counts") if salts > 1 else counted
+    sums = (model.where("kind = 0").mapInPandas(_top_parts(depth), "spot int, zeros double, ones double, inner double")
+            .groupBy("spot").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("inner").alias("s")).toPandas())  # 256 x 255 rows at most
+    totals = np.zeros((256 * 256, 3))
+    totals[sums["spot"].to_numpy(np.int64)] = sums[["z", "o", "s"]].to_numpy(float)
+    top = upper_levels(totals.reshape(256, 256, 3), one_byte)
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -290,9 +354,13 @@ def scores(docs: DataFrame, train: Column, depth: int = 5, block_bytes: int = 6_
                 yield pd.DataFrame({"n": [int(c.sum())], "v": [int((c > 0).sum())]})
 
     total = model.where("kind = 1").mapInPandas(known, "n bigint, v bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    said = (spread.groupBy("kind", "bucket", "salt").cogroup(asked.drop("counts").groupBy("kind", "bucket", "salt"))
-            .applyInPandas(_answers(depth, root), "block bigint, kind int, bucket int, values binary"))
+    form = "block bigint, kind int, bucket int, values binary"
+    if salts > 1:
+        spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        said = (spread.groupBy("kind", "bucket", "salt").cogroup(part.drop("counts").groupBy("kind", "bucket", "salt"))
+                .applyInPandas(_salted_answers(depth, top), form))
+    else:
+        said = part.mapInPandas(_answers(depth, top), form)
     found = dealt.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(
         _summed(depth), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, n_bytes bigint, word_part double, score double")
     smooth = math.log10(total["n"] + 0.1 * (total["v"] + 1))

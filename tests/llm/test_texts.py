@@ -316,6 +316,59 @@ def test_context_tree_equals_plain_trees(spark):
     assert math.isclose(blank.score, 8 * 8 * math.log10(0.5), rel_tol=1e-6) and blank.n_known == 0
 
 
+def test_context_tree_mixes_every_depth(spark):
+    """The registered model: contexts of 0 to 6 bytes, one byte included; also with blocks of several salts."""
+    texts = ["abab abac", "the cat", "abab abab abad", "The bat", "", None, "zebra the", *[f"row {i} of the bat" for i in range(70)]]
+    train = [(t or "").lower().encode() for t in texts if t != "zebra the"]
+    for size in (10**6, 10):
+        rows = {r.doc_id: r.score for r in ctw.scores(frame(spark, texts), F.col("doc_id") != 6, block_bytes=size, one_byte=True).collect()}
+        assert len(rows) == len(texts)
+        for i in (0, 2, 4, 5, 6, 40):
+            assert math.isclose(rows[i], all_depths(train, (texts[i] or "").lower().encode(), 6), rel_tol=1e-5)
+
+
+def all_depths(train, text, depth):
+    """Plain recursion over contexts of every length: no byte, one byte and so on."""
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+    counts, below = {}, {}
+
+    def bits(data, i):
+        return [((1 << k) | (data[i] >> (8 - k)), (data[i] >> (7 - k)) & 1) for k in range(8)]
+
+    pad = bytes([255]) * depth
+    for t in train:
+        data = pad + t + bytes([255])
+        for i in range(depth, len(data)):
+            for node, bit in bits(data, i):
+                for d in range(depth + 1):
+                    counts.setdefault((data[i - d:i], node), [0, 0])[bit] += 1
+                    if d:
+                        below.setdefault((data[i - d + 1:i], node), set()).add((data[i - d:i], node))
+    weights = {}
+
+    def weight(c):
+        if c not in weights:
+            own = kt(*counts[c])
+            weights[c] = own if len(c[0]) == depth else float(np.logaddexp(own, sum(map(weight, below[c])))) - math.log(2)
+        return weights[c]
+
+    def chance(data, i, node, d):
+        pair = counts[data[i - d:i], node]
+        mine = (pair[1] + 0.5) / (sum(pair) + 1)
+        if d == depth:
+            return mine
+        share = math.exp(kt(*pair) - math.log(2) - weight((data[i - d:i], node)))
+        deeper = chance(data, i, node, d + 1) if (data[i - d - 1:i], node) in counts else mine
+        return share * mine + (1 - share) * deeper
+
+    data, total = pad + text + bytes([255]), 0.0
+    for i in range(depth, len(data)):
+        for node, bit in bits(data, i):
+            p = chance(data, i, node, 0) if (b"", node) in counts else 0.5
+            total += math.log(p if bit else 1 - p)
+    return total / math.log(10)
+
+
 def test_curve_and_shards(spark):
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     index = sharding.hilbert(points, 3)
