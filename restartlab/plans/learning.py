@@ -111,13 +111,11 @@ def _ridge_angles(cat: Catalog) -> DataFrame:
     return L.choose_model(losses, "choice", last=True)
 
 
-def _boosted(cat: Catalog) -> DataFrame:
-    """Two-fold development grid of the boosted success head."""
-    rows = learning_rows(cat).withColumn("fold", F.concat(F.lit("random-"), (F.substring("fold", 8, 1).cast("int") % 2).cast("string")))
-    markers = ("random-0", "random-1")
-    prep = cut_lineage(L.preprocessing(L.training_copies(rows, markers), NAMES))
-    losses = L.boosted_cv(rows, prep, NAMES, markers, ((1, 3), (2, 3)))
-    return L.choose_model(losses, "choice", last=False)
+def _boosted(cat: Catalog, rows: DataFrame | None = None) -> DataFrame:
+    """Five folds and six candidates of the boosted success head."""
+    rows = learning_rows(cat) if rows is None else rows
+    prep = cut_lineage(L.preprocessing(L.training_copies(rows, FOLDS), NAMES))
+    return L.choose_model(L.boosted_cv(rows, prep, NAMES, FOLDS, L.BOOSTED_GRID), "choice", last=False)
 
 
 def _selection(cat: Catalog) -> DataFrame:
@@ -155,13 +153,14 @@ def _linear_attr(cat: Catalog) -> DataFrame:
 
 
 def _tree_attr(cat: Catalog) -> DataFrame:
-    """Path attributions of a boosted model, with the additivity error per graph."""
+    """Path attributions of the selected boosted model, with the additivity error per graph."""
     rows = learning_rows(cat)
+    depth, rounds = divmod(_boosted(cat, rows).where("selected").first()["choice"], 1000)
     prep = cut_lineage(L.preprocessing(L.training_copies(rows, ()), NAMES))
     data = cut_lineage(L.standardised(rows.withColumn("fit", F.lit(L.FINAL)), prep, NAMES).select("graph_id", "label", "z"))
-    model, base = L.boosted_model(data, 2, 5)
+    model, base = L.boosted_model(data, depth, rounds)
     nodes = L.node_table(model, cat.spark, scratch_path(cat.spark, "trees"))
-    attr = L.tree_attributions(data, nodes, len(model.treeWeights), 2, base)
+    attr = L.tree_attributions(data, nodes, len(model.treeWeights), depth, base)
     sums = attr.groupBy("graph_id").agg((F.sum("contribution") + F.max("bias")).alias("explained"), F.count(F.lit(1)).alias("features_used"))
     raw = L.boosted_predictions(data, model, base).select("graph_id", "raw")
     return sums.join(raw, "graph_id").select("graph_id", "raw", "explained", "features_used", (F.abs(F.col("raw") - F.col("explained")) <= 1e-5).alias("additive"))
@@ -202,7 +201,10 @@ def _fit_batch(cat: Catalog) -> DataFrame:
 
 
 def _run_missing(cat: Catalog) -> DataFrame:
-    """Fit both heads' missing success models of two feature groups and predict the evaluation graphs."""
+    """Success models of groups L and U at penalty 1 on all training graphs, and predictions of the evaluation graphs.
+
+    Not the whole batch of ``missing_fits``: no folds, other penalties, angle head, families, other groups or shuffles.
+    """
     rows = learning_rows(cat)
     targets = evaluation(cat).select("graph_id").join(features(cat), "graph_id").withColumn("fit", F.lit(L.FINAL))
     parts = None
