@@ -101,6 +101,41 @@ def _with(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _first_valid(m: Column, kept: str, marks: str, least: int, good, inside: bool) -> Column:
+    """struct(a, n): where the first reading of m that is ``good`` begins and how long it is, or null.
+
+    Readings end at the end or before a separator; ``inside``, they may also begin
+    after one. Early ones come first, and of these the longest.
+    """
+    size, mark = F.length(m), lambda i: F.instr(F.lit(marks), F.substr(m, i, F.lit(1))) > 0
+    ends = F.reverse(F.filter(F.sequence(F.lit(2), size + 1), lambda i: (i > size) | mark(i)))
+    starts = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | mark(i - 1)) if inside else F.array(F.lit(1))
+    pairs = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda e: e > a), lambda e: F.struct(a.alias("a"), (e - a).alias("n")))))
+    fits = lambda d: (F.length(d) >= least) & good(d)
+    return F.get(F.filter(pairs, lambda p: _with(_only(F.substr(m, p["a"], p["n"]), kept), fits)), F.lit(0))
+
+
+TURNS = 64
+
+
+def _inside(m: Column, first, one) -> Column:
+    """m with its first valid reading replaced; the rest stays.
+
+    The reading is permuted again until it is the first valid one of the result
+    too, so that the way back finds it (one turn in most cases).
+    """
+    def walked(p: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            v, after = acc["v"], p["a"] + p["n"]
+            new = F.concat(F.substr(v, F.lit(1), p["a"] - 1), one(F.substr(v, p["a"], p["n"])), F.substr(v, after))
+            judged = lambda x: F.struct(x.alias("v"), F.coalesce(first(x) == p, F.lit(False)).alias("done"))
+            return F.when(acc["done"], acc).otherwise(_with(new, judged))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), F.struct(m.alias("v"), F.lit(False).alias("done")), step, lambda acc: acc["v"])
+
+    return _with(first(m), lambda p: F.when(p.isNull(), m).otherwise(walked(p)))
+
+
 def _card(m: Column, key: str, inverse: bool) -> Column:
     """Luhn-valid numbers: first digit and grouping stay, the check digit is made anew."""
     def changed(d: Column) -> Column:
@@ -136,6 +171,19 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
     return _with(_only(m, "A-Z0-9"), changed)
 
 
+def _cards(m: Column, key: str, inverse: bool) -> Column:
+    """The card number that a match is or holds between separators, as before an expiry date or a security code."""
+    first = lambda x: _first_valid(x, "0-9", " -", 13, lambda d: _luhn(d) == 0, True)
+    return F.when(_luhn(_only(m, "0-9")) == 0, _card(m, key, inverse)).otherwise(_inside(m, first, lambda v: _card(v, key, inverse)))
+
+
+def _ibans(m: Column, key: str, inverse: bool) -> Column:
+    """The IBAN that a match is or begins with; capitals or digits may follow after a space."""
+    good = lambda x: _rest97(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4)))) == 1
+    first = lambda x: _first_valid(x, "A-Z0-9", " ", 15, good, False)
+    return F.when(good(_only(m, "A-Z0-9")), _iban(m, key, inverse)).otherwise(_inside(m, first, lambda v: _iban(v, key, inverse)))
+
+
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
     part = lambda at, n: F.substr(m, F.lit(at), F.lit(n)).cast("int")
     area, group, serial = part(1, 3), part(5, 2), part(8, 4)
@@ -205,8 +253,8 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
             .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), _ipv4(m, key, inverse))
             .when(whole(r"\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4}"), _date(m, key, inverse))
             .when(m.rlike(r"^[+(]") | whole(r"\d{3}[.-]\d{3}[.-]\d{4}"), _phone(m, key, inverse))
-            .when(m.rlike("^[A-Z]"), _iban(m, key, inverse))
-            .otherwise(_card(m, key, inverse)))
+            .when(m.rlike("^[A-Z]"), _ibans(m, key, inverse))
+            .otherwise(_cards(m, key, inverse)))
 
 
 def _line(line: Column, key: str, inverse: bool) -> Column:
