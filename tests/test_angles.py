@@ -77,6 +77,16 @@ def test_clusters_small_and_large_paths_match_brute_force(spark, threshold):
         assert all(key == min(g) for key, g in groups.items())
 
 
+def test_clusters_with_ties_and_distances_at_the_threshold(spark):
+    """Points on a line in steps of a tenth: equal distances, some at the threshold, and the same result on both sides of ``small``."""
+    order = np.random.default_rng(4).permutation(31)
+    values = [[k / 10, 0.0, 0.0, 0.0] for k in order]
+    for threshold in (0.1, 0.3):
+        found = [{r["item"]: r["cluster_id"] for r in O.endpoint_clusters(points(spark, values), ["pool"], "item", 2, threshold, small=small).collect()}
+                 for small in (len(values), len(values) - 1)]
+        assert found[0] == found[1] and len(found[0]) == len(values)
+
+
 def test_label_tie_rule(spark):
     """Anchor zero, even parity: opposite lifts tie; the smaller coordinate wins."""
     df = points(spark, [[math.pi / 2, 0.0, 0.1, 0.0], [0.0, 0.0, 0.2, 0.0]])
