@@ -105,6 +105,19 @@ def apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where(~held), named.where(held)
 
 
+def split_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, share: int = 1000) -> DataFrame:
+    """Inner join with a table of distinct keys whose column ``rows`` says how many rows of ``left`` have the key.
+
+    Keys with more than 1 / ``share`` of all these rows are fewer than ``share``:
+    they are broadcast, so no hot key is shuffled into one task. ``left`` is read
+    twice and should be a written table; ``rows`` is dropped.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    heavy = F.broadcast(right.where(F.col(rows) > total // share).drop(rows))
+    light = right.where(F.col(rows) <= total // share).drop(rows)
+    return left.join(heavy, on).unionByName(left.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b): columns node, root.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from restartlab.llm import ctw, decontaminate, fim, fingerprint, htmltext, language, near_dup, pieces, pseudonyms, sharding, toxicity
+from restartlab.llm import ctw, decontaminate, fim, fingerprint, htmltext, language, near_dup, pieces, prefix_trie, pseudonyms, sharding, toxicity
 from restartlab.llm.common import held_out
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,6 +61,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.borrowed(F.col("conv_id")), block=4)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transform(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20).drop("output")
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
@@ -111,6 +116,33 @@ FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
+PREFIX_TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'r': r, 't': t} ORDER BY turn NULLS FIRST) AS l FROM turns GROUP BY c),
+crc AS (
+  SELECT c, l, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 6 AS h
+  FROM own),
+built AS (
+  SELECT a.c, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS l
+  FROM crc a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+prefixes AS (
+  SELECT c, len(l) AS size, d, l[1:d] AS k FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(k[d].t)) END AS saved
+  FROM prefixes GROUP BY k, d),
+children AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (k, d)),
+below AS (
+  SELECT k[1:e] AS k, e AS d, sum(saved) AS saved, sum((n_children = 0)::INT) AS leaves
+  FROM (SELECT k, saved, n_children, unnest(range(0, d + 1)) AS e FROM full_nodes) GROUP BY ALL)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+  b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM full_nodes x JOIN below b USING (k, d) LEFT JOIN nodes p ON x.d > 0 AND p.d = x.d - 1 AND p.k = x.k[1:x.d - 1]
+"""
+
 FILL_IN_MIDDLE_SQL = r"""
 WITH units AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
@@ -132,4 +164,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM pieces
 """
 
-ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
