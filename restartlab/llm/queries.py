@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from restartlab.llm import ctw, decontaminate, fim, fingerprint, htmltext, language, near_dup, pieces, prefix_trie, pseudonyms, sharding, toxicity
+from restartlab.llm import ctw, decontaminate, fim, fingerprint, htmltext, language, near_dup, pieces, prefix_trie, pseudonyms, sharding, toxicity, warc
 from restartlab.llm.common import held_out
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,6 +61,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op11_capture_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place", "capture")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), prefix_trie.borrowed(F.col("conv_id")), block=4)
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
+    "op11_capture_histories": op11_capture_histories,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
@@ -116,6 +122,20 @@ FROM documents d LEFT JOIN sizes s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
+CAPTURE_HISTORIES_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS p, regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://|#.*$', '', 'g') AS u FROM pages),
+keyed AS (
+  SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, sha1(p) AS payload_digest, max(page_id) OVER (PARTITION BY p) AS top,
+    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www\d*\.|:(80|443)$', '', 'g'), '.')), ',') || ')'
+      || CASE WHEN regexp_replace(u, '^[^/?]*', '') = '' THEN '/' ELSE regexp_replace(u, '^[^/?]*', '') END AS url_key
+  FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to, url_key,
+  row_number() OVER (ORDER BY url_key, page_id) - 1 AS place, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture
+FROM keyed
+"""
+
 PREFIX_TRIE_SQL = r"""
 WITH turns AS (
   SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
@@ -164,4 +184,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM pieces
 """
 
-ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL, "op11_capture_histories": CAPTURE_HISTORIES_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
