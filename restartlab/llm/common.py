@@ -20,7 +20,7 @@ class WordHash(dict):
     """64-bit hashes of words; a cache that is emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -28,7 +28,11 @@ class WordHash(dict):
 
 def words_of(text: str | None) -> list[bytes]:
     """Words split at ASCII white space, A-Z in lower case (bytes.lower and bytes.split do just that)."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return lowered(text).split()
+
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,7 +41,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def parts(batches: Iterator[pd.DataFrame], text: str, limit: int = 3_000_000) -> Iterator[pd.DataFrame]:
+#: A value for each place of a word (64 of them, then again with other factors) and byte; white space has none.
+SPELL = mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * MIX)
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, split at ASCII white space, and how many each text has.
+
+    No word becomes an object: a word's hash is the mixed sum of what its bytes
+    stand for at their places.
+    """
+    whole = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inner = ~BLANK[whole]
+    first = inner.copy()
+    first[1:] &= ~inner[:-1]
+    starts = np.flatnonzero(first)
+    counts = np.zeros(len(texts), np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    place = np.arange(len(whole), dtype=np.int32)
+    place[starts[0]:] -= np.repeat(place[starts], np.diff(starts, append=len(whole)))
+    place[:starts[0]] = 0
+    value = SPELL[((place & 63) << 8) | whole]
+    far = np.flatnonzero(place > 63)
+    value[far] *= (place[far].astype(np.uint64) >> np.uint64(6)) * np.uint64(2) + np.uint64(1)
+    value[~inner] = 0
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    np.add.at(counts, np.searchsorted(ends, starts, side="right"), 1)
+    return mix64(np.add.reduceat(value, starts)), counts
+
+
+def parts(batches: Iterator[pd.DataFrame], text: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:
     """Cut batches into runs of rows with about ``limit`` characters, so that memory does not follow row counts."""
     for batch in batches:
         if len(batch):

@@ -149,7 +149,7 @@ def positions(net: Network, windows: np.ndarray) -> np.ndarray:
     return total
 
 
-def document_probabilities(net: Network, texts: list, run: int = 2_000_000) -> np.ndarray:
+def document_probabilities(net: Network, texts: list, run: int = 500_000) -> np.ndarray:
     """Mean label probability over all byte positions of each whole text; zeros for an empty one."""
     pooled = np.zeros((len(texts), len(net.labels)))
     held, rows, size = [], [], 0

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from restartlab.llm.common import MIX, WordHash, apart, components, mix64, parts, perhaps_in, stored, words_of
+from restartlab.llm.common import MIX, apart, components, hashed_words, lowered, mix64, parts, perhaps_in, stored
 
 SLOTS = 5  # slots of a chunk; one of them may differ
 
@@ -21,12 +21,11 @@ def chunks_for(percent: int, miss: float = 1e-6) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(bad))) if bad > 0 else 1
 
 
-def shingle_sets(texts: list, k: int, memo: WordHash) -> list[np.ndarray]:
+def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of k-word shingles; fewer words: the whole sequence; none: empty."""
     out = []
-    for text in texts:
-        words = words_of(text)
-        w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    words, counts = hashed_words([lowered(t) for t in texts])
+    for w in np.split(words, np.cumsum(counts)[:-1]):
         size = min(k, len(w))
         if not size:
             out.append(w)
@@ -44,9 +43,8 @@ def _signed(k: int, chunks: int):
     tags = np.arange(1, slots + 1, dtype=np.uint64) * MIX
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHash()
         for part in parts(batches, "text"):
-            sets = shingle_sets(part["text"].tolist(), k, memo)
+            sets = shingle_sets(part["text"].tolist(), k)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             keys = [np.zeros(0, np.int64)] * len(sets)
@@ -56,7 +54,10 @@ def _signed(k: int, chunks: int):
                 starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 one[full] = np.add.reduceat(mix64(every), starts)
                 two[full] = np.add.reduceat(mix64(every ^ MIX), starts)
-                low = np.stack([np.minimum.reduceat(every * t, starts) for t in turns], axis=1)
+                low = np.empty((len(full), slots), np.uint64)
+                turned = np.empty_like(every)
+                for slot, t in enumerate(turns):
+                    low[:, slot] = np.minimum.reduceat(np.multiply(every, t, out=turned), starts)
                 bits = (mix64(low) >> np.uint64(48)).reshape(len(full), chunks, SLOTS)
                 found = np.empty((len(full), chunks, SLOTS), np.uint64)
                 for gone in range(SLOTS):
@@ -86,9 +87,8 @@ def signatures(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFram
 
 def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHash()
         for part in parts(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), k, memo)]
+            sets = [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), k)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "family": part["family"], "blocks": part["blocks"], "grams": sets})
 
     return run

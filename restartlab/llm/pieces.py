@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -196,11 +195,6 @@ def _chance_of(seed: int, place: int, piece: int) -> int:
     return mix((mix((seed * int(MIX) + place) & full) + piece) & full) >> 32
 
 
-@cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class Encoder:
     """Encodes texts; every place of every document has its own seed.
 
@@ -209,8 +203,8 @@ class Encoder:
     skips none of these merges has those ids; all others are segmented anew.
     """
 
-    def __init__(self, path: str, dropout: float, seed: int, cached: int = 1_000_000, short: int = 64):
-        self.words, self.dropout, self.seed, self.short, self.cached = vocabulary(path), dropout, seed, short, cached
+    def __init__(self, path: str, dropout: float, seed: int, cached: int = 200_000, short: int = 64):
+        self.words, self.dropout, self.seed, self.short, self.cached = Vocabulary(path), dropout, seed, short, cached
         self._forget()
 
     def _forget(self) -> None:
@@ -344,7 +338,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, text of rows (doc_id, pieces); null pieces give a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(model)
+        words = Vocabulary(model)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if p is None else words.decode(p) for p in batch["pieces"]]})
 
