@@ -16,11 +16,11 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from restartlab.llm.common import MIX, WordHash, mix64, stored
+from restartlab.llm.common import MIX, hashed_words, mix64, stored
 
 END = 255  # no byte of UTF-8: fills the first contexts and ends every text
 END_WORD = np.uint64(0xE0D0E0D0E0D0E0D1)
-BUCKETS = 64
+BUCKETS = 64  # at least
 
 
 def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
@@ -52,54 +52,68 @@ def windows(texts: list[bytes], depth: int) -> np.ndarray:
     """One key per byte and text end: the context, nearest byte first, then the byte that follows it."""
     pad = bytes([END]) * depth
     whole = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
-    keep = np.ones(len(whole), bool)
+    key = np.zeros(len(whole) - depth, np.uint64)
+    for back in range(1, depth + 1):
+        key <<= np.uint64(8)
+        key |= whole[depth - back:len(whole) - back]
+    key <<= np.uint64(8)
+    key |= whole[depth:]
+    keep = np.ones(len(key) + depth, bool)
     sizes = np.array([len(t) + 1 + depth for t in texts])
     starts = np.cumsum(sizes) - sizes
     for i in range(depth):
         keep[starts + i] = False
-    spots = np.flatnonzero(keep)
-    key = np.zeros(len(spots), np.uint64)
-    for back in range(1, depth + 1):
-        key = (key << np.uint64(8)) | whole[spots - back]
-    return (key << np.uint64(8)) | whole[spots]
+    return key[keep[depth:]]
 
 
-def words_and_ends(texts: list[bytes], memo: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each text's followed by the end; and how many tokens each has."""
-    out, counts = [], []
-    for t in texts:
-        w = t.split()
-        out.append(np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)))
-        out.append(END_WORD.reshape(1))
-        counts.append(len(w) + 1)
-    return np.concatenate(out), np.array(counts)
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts (words, then one end for each text) and the text that each stands in."""
+    words, counts = hashed_words(texts)
+    every = np.arange(len(texts))
+    return np.concatenate([words, np.full(len(texts), END_WORD)]), np.concatenate([np.repeat(every, counts), every])
 
 
-def bucket_of(keys: np.ndarray, depth: int) -> np.ndarray:
+def bucket_of(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     """Bucket of a window by its two nearest context bytes, so the subtrees of a bucket are whole."""
-    return (mix64((keys >> np.uint64(8 * depth - 8)) * MIX) % np.uint64(BUCKETS)).astype(np.int64)
+    return (mix64((keys >> np.uint64(8 * depth - 8)) * MIX) % np.uint64(buckets)).astype(np.int64)
+
+
+def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(words) % np.uint64(buckets)).astype(np.int64)
+
 
+def firsts(rising: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted array stands for the first time."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(rising)), bool), rising[1:] != rising[:-1]]))
 
-def _asked(depth: int, salts: int):
+
+def distinct(values: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each stands where ``learned`` holds; plain sorts need no order of places."""
+    rising = np.sort(values)
+    one = rising[firsts(rising)]
+    trained = np.sort(values[learned])
+    at = firsts(trained)
+    counts = np.zeros(len(one), np.int64)
+    counts[np.searchsorted(one, trained[at])] = np.diff(at, append=len(trained))
+    return one, counts
+
+
+def _asked(depth: int, buckets: int, salts: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         block = int(rows["block"].iloc[0])
         texts = [text_bytes(t) for t in rows["text"]]
         train = rows["train"].to_numpy(bool)
         found = []
-        keys = windows(texts, depth)
-        one, inverse = np.unique(keys, return_inverse=True)
-        learned = np.repeat(train, [len(t) + 1 for t in texts])
-        counts = np.bincount(inverse[learned], minlength=len(one))
-        words, many = words_and_ends(texts, WordHash())
-        other, inverse = np.unique(words, return_inverse=True)
-        for kind, values, times, bucket in ((0, one, counts, bucket_of(one, depth)),
-                                            (1, other, np.bincount(inverse[np.repeat(train, many)], minlength=len(other)), (mix64(other) % np.uint64(BUCKETS)).astype(np.int64))):
+        one, counts = distinct(windows(texts, depth), np.repeat(train, [len(t) + 1 for t in texts]))
+        tokens, owner = tokens_of(texts)
+        words, times = distinct(tokens, train[owner])
+        for kind, values, many, bucket in ((0, one, counts, bucket_of(one, depth, buckets)), (1, words, times, word_bucket(words, buckets))):
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            for b in range(BUCKETS):
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
                 pick = order[edges[b]:edges[b + 1]]
                 if len(pick):
-                    found.append((kind, b, block % salts, block, pack(values[pick], True), pack(times[pick])))
+                    found.append((kind, b, block % salts, block, pack(values[pick], True), pack(many[pick])))
         return pd.DataFrame(found, columns=["kind", "bucket", "salt", "block", "keys", "counts"])
 
     return run
@@ -232,19 +246,16 @@ def subtree(keys: np.ndarray, counts: np.ndarray, depth: int, top: list[np.ndarr
     return totals.reshape(256, 256, 3) if top is None else logp
 
 
-def upper_levels(totals: np.ndarray, one_byte: bool) -> list[np.ndarray]:
+def upper_levels(totals: np.ndarray) -> list[np.ndarray]:
     """The levels above two bytes for ``subtree`` from its totals summed over all buckets."""
     def shared(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = krichevsky_trofimov(t[..., 0].ravel(), t[..., 1].ravel()).reshape(t.shape[:-1])
         weighted = np.logaddexp(own, t[..., 2]) - math.log(2)
         return weighted, np.stack([t[..., 0], t[..., 1], np.exp(np.minimum(own - math.log(2) - weighted, 0))], -1)
 
-    near, levels = totals, []
-    if one_byte:
-        weighted, level = shared(totals)
-        levels.append(level)
-        near = np.concatenate([totals[..., :2], weighted[..., None]], -1)
-    return [np.broadcast_to(shared(near.sum(0))[1], (256, 256, 3)).copy(), *levels]
+    weighted, level = shared(totals)  # contexts of one byte
+    near = np.concatenate([totals[..., :2], weighted[..., None]], -1)
+    return [np.broadcast_to(shared(near.sum(0))[1], (256, 256, 3)).copy(), level]
 
 
 def _top_parts(depth: int):
@@ -289,36 +300,58 @@ def _salted_answers(depth: int, top: list[np.ndarray]):
     return run
 
 
-def _summed(depth: int):
+def answered(one: np.ndarray, bucket: np.ndarray, said: dict, kind: int, buckets: int) -> np.ndarray:
+    """A block's answers in the order of its sorted distinct values ``one``."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    table = np.zeros(len(one))
+    for b in range(buckets):
+        pick = order[edges[b]:edges[b + 1]]
+        if len(pick):
+            data = said[kind, b]
+            table[pick] = unpack_floats(data) if kind == 0 else unpack(data)
+    return table
+
+
+def text_sums(keys: np.ndarray, sizes: np.ndarray, one: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of ``table`` over the windows of each text (``sizes`` of them each).
+
+    Windows leave the lowest byte of a word free once shifted: 256 texts at a time
+    carry their number there, so that one plain sort brings equal windows
+    together and still tells whose they are.
+    """
+    sums, ends = np.zeros(len(sizes)), np.cumsum(sizes)
+    for at in range(0, len(sizes), 256):
+        own = sizes[at:at + 256]
+        lo, hi = ends[at] - own[0], ends[at + len(own) - 1]
+        mixed = np.sort((keys[lo:hi] << np.uint64(8)) | np.repeat(np.arange(len(own), dtype=np.uint64), own))
+        value, owner = mixed >> np.uint64(8), (mixed & np.uint64(255)).astype(np.int64)
+        first = firsts(value)
+        worth = np.repeat(table[np.searchsorted(one, value[first])], np.diff(first, append=len(value)))
+        sums[at:at + len(own)] = np.bincount(owner, weights=worth, minlength=len(own))
+    return sums
+
+
+def _summed(depth: int, buckets: int):
     def run(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts = [text_bytes(t) for t in rows["text"]]
         said = {(k, b): v for k, b, v in zip(answers["kind"], answers["bucket"], answers["values"])}
-
-        def lookup(keys: np.ndarray, kind: int, buckets) -> np.ndarray:
-            one, inverse = np.unique(keys, return_inverse=True)
-            bucket = buckets(one)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            table = np.zeros(len(one))
-            for b in range(BUCKETS):
-                pick = order[edges[b]:edges[b + 1]]
-                if len(pick):
-                    data = said[kind, b]
-                    table[pick] = unpack_floats(data) if kind == 0 else unpack(data)
-            return table[inverse]
-
         sizes = np.array([len(t) + 1 for t in texts])
-        logp = np.add.reduceat(lookup(windows(texts, depth), 0, lambda o: bucket_of(o, depth)), np.cumsum(sizes) - sizes)
-        words, many = words_and_ends(texts, WordHash())
-        c = lookup(words, 1, lambda o: (mix64(o) % np.uint64(BUCKETS)).astype(np.int64))
-        at = np.cumsum(many) - many
-        return pd.DataFrame({"doc_id": rows["doc_id"], "train": rows["train"], "n_tokens": many, "n_known": np.add.reduceat((c > 0).astype(np.int64), at),
-                             "n_bytes": sizes - 1, "word_part": np.add.reduceat(np.log10(c + 0.1), at), "score": logp / math.log(10)})
+        keys = windows(texts, depth)
+        rising = np.sort(keys)
+        one = rising[firsts(rising)]
+        logp = text_sums(keys, sizes, one, answered(one, bucket_of(one, depth, buckets), said, 0, buckets))
+        tokens, owner = tokens_of(texts)
+        words, back = np.unique(tokens, return_inverse=True)
+        c = answered(words, word_bucket(words, buckets), said, 1, buckets)[back]
+        total = lambda w: np.bincount(owner, weights=w, minlength=len(texts))
+        return pd.DataFrame({"doc_id": rows["doc_id"], "train": rows["train"], "n_tokens": np.bincount(owner, minlength=len(texts)),
+                             "n_known": total(c > 0).astype(np.int64), "n_bytes": sizes - 1, "word_part": total(np.log10(c + 0.1)), "score": logp / math.log(10)})
 
     return run
 
 
-def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_000_000, one_byte: bool = False) -> DataFrame:
+def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_000_000, bucket_bytes: int = 64_000_000) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row of ``docs`` (doc_id, text).
 
     The model learns from the rows where ``train`` holds: its context counts and
@@ -326,17 +359,22 @@ def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_
     lower-cased bytes and the end of a text, ``bits_per_byte`` the code length;
     ``base_score`` that of a word model with additive smoothing. Null texts are
     empty; an empty text has its end only. Without training rows every bit has
-    probability one half. Contexts of 0 and of 2 to ``depth`` bytes are mixed, with
-    ``one_byte`` also those of one. Work and shuffled tables grow with the texts; a bucket
-    holds distinct windows, whose counts reach it pre-added per salt.
+    probability one half. Contexts of 0 to ``depth`` bytes (2 to 6) are mixed. Repeated
+    rows and ids are scored as rows of their own; other columns are not read.
+    Work and shuffled tables grow with the texts; a bucket holds distinct windows,
+    whose counts reach it pre-added per salt, and there is one more bucket for
+    every ``bucket_bytes`` of text beyond 64 times that.
     """
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
+    buckets = max(BUCKETS, -(-size // bucket_bytes))
     salts = max(1, -(-blocks // 64))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
     shape = "kind int, bucket int, keys binary, counts binary"
-    asked = dealt.groupBy("block").applyInPandas(_asked(depth, salts), "kind int, bucket int, salt int, block bigint, keys binary, counts binary")
+    asked = dealt.groupBy("block").applyInPandas(_asked(depth, buckets, salts), "kind int, bucket int, salt int, block bigint, keys binary, counts binary")
     part = stored(asked.groupBy("kind", "bucket", "salt").applyInPandas(
         _merged, "kind int, bucket int, salt int, keys binary, counts binary, blocks array<bigint>, places array<binary>"), "windows")
     counted = part.select("kind", "bucket", "keys", "counts")
@@ -345,7 +383,7 @@ def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_
             .groupBy("spot").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("inner").alias("s")).toPandas())  # 256 x 255 rows at most
     totals = np.zeros((256 * 256, 3))
     totals[sums["spot"].to_numpy(np.int64)] = sums[["z", "o", "s"]].to_numpy(float)
-    top = upper_levels(totals.reshape(256, 256, 3), one_byte)
+    top = upper_levels(totals.reshape(256, 256, 3))
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -362,7 +400,7 @@ def scores(docs: DataFrame, train: Column, depth: int = 6, block_bytes: int = 6_
     else:
         said = part.mapInPandas(_answers(depth, top), form)
     found = dealt.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(
-        _summed(depth), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, n_bytes bigint, word_part double, score double")
+        _summed(depth, buckets), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, n_bytes bigint, word_part double, score double")
     smooth = math.log10(total["n"] + 0.1 * (total["v"] + 1))
     return found.select("doc_id", "train", "n_tokens", "n_known", F.lit(total["n"]).cast("bigint").alias("train_tokens"),
                         (F.col("word_part") - F.col("n_tokens") * smooth).alias("base_score"), "score",

@@ -34,7 +34,7 @@ def op4_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ctw.scores(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0), depth=6, one_byte=True)
+    found = ctw.scores(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0), depth=6)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 

@@ -286,46 +286,6 @@ def test_phrases_and_edits(spark):
     assert fingerprint.with_edits(frame(spark, ["a", None, "b"], [None, None, 3]), 1).count() == 3
 
 
-def ctw_brute(train, text, depth):
-    """Plain context trees of dictionaries."""
-    levels = [0, *range(2, depth + 1)]
-    counts = {}
-
-    def steps(t):
-        data = bytes([255]) * depth + t + bytes([255])
-        for i in range(depth, len(data)):
-            for k in range(8):
-                yield [data[i - d:i] for d in levels], (1 << k) | (data[i] >> (8 - k)), (data[i] >> (7 - k)) & 1
-
-    for t in train:
-        for contexts, node, bit in steps(t):
-            for c in contexts:
-                counts.setdefault((c, node), [0, 0])[bit] += 1
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
-    own, weighted = {}, {}
-    children = {}
-    for c, node in counts:
-        if len(c):
-            up = c[1:] if len(c) > 2 else b""
-            children.setdefault((up, node), []).append((c, node))
-    for key in sorted(counts, key=lambda k: -len(k[0])):
-        own[key] = kt(*counts[key])
-        weighted[key] = own[key] if len(key[0]) == depth else np.logaddexp(own[key], sum(weighted[c] for c in children[key])) - math.log(2)
-    total = 0.0
-    for contexts, node, bit in steps(text):
-        p, left, last = 0.0, 1.0, 0.5
-        for d, c in enumerate(contexts):
-            pair = counts.get((c, node), [0, 0])
-            seen = sum(pair) > 0
-            here = (pair[1] + 0.5) / (sum(pair) + 1) if seen or d == 0 else last
-            share = 1.0 if d == len(contexts) - 1 or not seen else math.exp(min(0, own[c, node] - math.log(2) - weighted[c, node]))
-            if d == 0 and not seen:
-                share = 1.0
-            p, left, last = p + left * share * here, left * (1 - share), here
-        total += math.log(p if bit else 1 - p)
-    return total / math.log(10)
-
-
 def test_context_tree_equals_plain_trees(spark):
     texts = ["abab abac", "the cat", "abab abab abad", "The bat", "", None, "zebra the"]
     df = frame(spark, texts)
@@ -336,7 +296,7 @@ def test_context_tree_equals_plain_trees(spark):
     for i, t in enumerate(texts):
         data = (t or "").lower().encode()
         tokens = [*data.split(), "end"]
-        assert math.isclose(rows[i].score, ctw_brute(train, data, 4), rel_tol=1e-5)
+        assert math.isclose(rows[i].score, all_depths(train, data, 4), rel_tol=1e-5)
         assert math.isclose(rows[i].base_score, sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
         assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (len(tokens), sum(words[w] > 0 for w in tokens), n)
     assert ctw.scores(df.where("false"), F.lit(True)).count() == 0
@@ -349,12 +309,29 @@ def test_context_tree_mixes_every_depth(spark):
     texts = ["abab abac", "the cat", "abab abab abad", "The bat", "", None, "zebra the", *[f"row {i} of the bat" for i in range(70)]]
     train = [(t or "").lower().encode() for t in texts if t != "zebra the"]
     for size in (10**6, 10):
-        rows = {r.doc_id: r.score for r in ctw.scores(frame(spark, texts), F.col("doc_id") != 6, block_bytes=size, one_byte=True).collect()}
+        rows = {r.doc_id: r.score for r in ctw.scores(frame(spark, texts), F.col("doc_id") != 6, block_bytes=size).collect()}
         assert len(rows) == len(texts)
         for i in (0, 2, 4, 5, 6, 40):
             assert math.isclose(rows[i], all_depths(train, (texts[i] or "").lower().encode(), 6), rel_tol=1e-5)
 
 
+def test_sums_of_windows_by_text():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abc \xc3\xa9") for _ in range(rng.choice([0, 1, 40]))) for _ in range(700)]
+    keys, sizes = ctw.windows(texts, 6), np.array([len(t) + 1 for t in texts])
+    plain = [int.from_bytes(((b"\xff" * 6 + t + b"\xff")[i:i + 6])[::-1] + (t + b"\xff")[i:i + 1], "big") for t in texts for i in range(len(t) + 1)]
+    assert keys.tolist() == plain
+    learned = np.repeat(np.arange(len(texts)) % 3 > 0, sizes)
+    one, counts = ctw.distinct(keys, learned)
+    want = Counter(k for k, ok in zip(plain, learned) if ok)
+    assert one.tolist() == sorted(set(plain)) and counts.tolist() == [want[k] for k in one.tolist()]
+    table = np.arange(len(one)) * 0.5
+    place = {k: i for i, k in enumerate(one.tolist())}
+    sums = ctw.text_sums(keys, sizes, one, table)
+    at = np.cumsum(sizes) - sizes
+    assert np.allclose(sums, [sum(0.5 * place[k] for k in plain[a:a + n]) for a, n in zip(at, sizes)])
+
+
 def all_depths(train, text, depth):
     """Plain recursion over contexts of every length: no byte, one byte and so on."""
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
