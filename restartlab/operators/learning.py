@@ -17,12 +17,10 @@ from restartlab.functions import angles as A
 from restartlab.functions.ranks import bucketed_row_number, exact_quantiles
 from restartlab.functions.scores import seed_rank
 
-# fixed values: penalties, tie width, boosted grid and rate
+# fixed values: penalties, tie width, boosted grid
 LAMBDAS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0)
 LOSS_TIE = 1e-12
 BOOSTED_GRID = tuple((depth, rounds) for depth in (1, 2, 3) for rounds in (100, 300))
-BOOSTED_RATE = 0.05
-BOOSTED_MIN_ROWS = 5
 FINAL = "final-fit"
 IMPUTED = "degree_assortativity"
 
@@ -161,75 +159,6 @@ def angle_targets(points: DataFrame, anchors: DataFrame, p: int) -> DataFrame:
     return j.withColumn("y", A.encode(A.align_label(F.col("theta"), F.col("anchor"), F.col("parity"), p)["lift"], p))
 
 
-def boosted_model(train: DataFrame, depth: int, rounds: int, seed: int = 20260927):
-    """Gradient-boosted trees on label minus training mean; returns the model and the mean."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
-    base = train.agg(F.avg("label").alias("m")).first()["m"]
-    data = train.select(array_to_vector("z").alias("features"), (F.col("label") - base).alias("label"))
-    trees = GBTRegressor(maxDepth=depth, maxIter=rounds, stepSize=BOOSTED_RATE, minInstancesPerNode=BOOSTED_MIN_ROWS, maxBins=256, seed=seed)
-    return trees.fit(data), base
-
-
-def boosted_predictions(rows: DataFrame, model, base: float) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    scored = model.transform(rows.withColumn("features", array_to_vector("z")))
-    return scored.withColumn("raw", F.col("prediction") + base).drop("features", "prediction")
-
-
-def boosted_cv(rows: DataFrame, prep: DataFrame, names: Sequence[str], markers: Sequence[str],
-               grid: Sequence[tuple[int, int]]) -> DataFrame:
-    """Out-of-fold losses of every (depth, rounds) candidate; fits run one after another, each one distributed."""
-    parts = None
-    for marker in markers:
-        fit = rows.withColumn("fit", F.lit(marker))
-        data = standardised(fit, prep, names).select("graph_id", "fold", "label", "z").persist()
-        for depth, rounds in grid:
-            model, base = boosted_model(data.where(F.col("fold") != marker), depth, rounds)
-            out = boosted_predictions(data.where(F.col("fold") == marker), model, base)
-            out = out.select("graph_id", F.lit(depth * 1000 + rounds).alias("choice"), success_loss(F.col("raw"), F.col("label")).alias("loss"))
-            parts = out if parts is None else parts.unionByName(out)
-    return parts
-
-
-def node_table(model, spark, path: str) -> DataFrame:
-    """Nodes of all trees of a fitted ensemble, from its saved form."""
-    model.write().save(path)
-    data = spark.read.parquet(f"{path}/data")
-    n = F.col("nodeData")
-    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.treeWeights)], "tree int, weight double")
-    nodes = data.select(F.col("treeID").cast("int").alias("tree"), n["id"].alias("node"), n["prediction"].alias("value"), n["leftChild"].alias("left"),
-                        n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
-                        F.element_at(n["split"]["leftCategoriesOrThreshold"], 1).alias("threshold"))
-    return nodes.join(F.broadcast(weights), "tree")
-
-
-def tree_attributions(rows: DataFrame, nodes: DataFrame, trees: int, depth: int, base: float) -> DataFrame:
-    """Additive path attribution: value steps along each path, summed per feature.
-
-    All rows walk all trees together, one join per level. The node table has
-    rounds x 2^(depth+1) rows at most and is broadcast.
-    """
-    table = F.broadcast(nodes)
-    here = (rows.select("graph_id", "z", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).alias("node"))
-            .join(table, ["tree", "node"]))
-    bias = nodes.where("node = 0").agg((F.sum(F.col("value") * F.col("weight")) + base).alias("bias")).withColumn("k", F.lit(1))
-    steps = None
-    for _ in range(depth):
-        inner = here.where("left >= 0")
-        goes_left = F.element_at("z", (F.col("feature") + 1).cast("int")) <= F.col("threshold")
-        moved = inner.select("graph_id", "z", "tree", F.when(goes_left, F.col("left")).otherwise(F.col("right")).alias("node"),
-                             F.col("feature").alias("used"), F.col("value").alias("old"))
-        here = moved.join(table, ["tree", "node"])
-        step = here.select("graph_id", F.col("used").alias("feature"), ((F.col("value") - F.col("old")) * F.col("weight")).alias("x"))
-        steps = step if steps is None else steps.unionByName(step)
-        here = here.drop("used", "old")
-    sums = steps.groupBy("graph_id", "feature").agg(F.sum("x").alias("contribution"))
-    return sums.withColumn("k", F.lit(1)).join(F.broadcast(bias), "k").drop("k")
-
-
 def linear_attributions(rows: DataFrame, models: DataFrame, output: int = 0) -> DataFrame:
     """Exact additive contributions of a linear model: coefficient times standardised value."""
     j = rows.join(F.broadcast(models), "fit")

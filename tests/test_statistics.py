@@ -171,27 +171,3 @@ def test_attempt_choice_ignores_scores(spark):
     rows = [(1, 1, "numerical_error", 9.0, 1), (1, 2, "converged", 1.0, 2), (1, 3, "converged", 8.0, 3), (2, 2, "numerical_error", 5.0, 2), (2, 1, "program_error", 1.0, 1)]
     df = spark.createDataFrame(rows, "task_id bigint, attempt_number bigint, stop_reason string, best_seen double, started bigint")
     assert {r["task_id"]: r["attempt_number"] for r in S.select_attempts(df).collect()} == {1: 2, 2: 1}
-
-
-def test_boosted_queries_run_the_adopted_grid(monkeypatch):
-    from types import SimpleNamespace
-
-    from restartlab.plans import learning as P
-
-    class Fitted(Exception):
-        pass
-
-    def fit(data, depth, rounds):
-        raise Fitted((depth, rounds))
-
-    frame = SimpleNamespace(where=lambda c: SimpleNamespace(first=lambda: {"choice": 3300}), withColumn=lambda *a: None)
-    for name, value in (("learning_rows", lambda cat: frame), ("cut_lineage", lambda df: df), ("F", SimpleNamespace(lit=lambda x: x))):
-        monkeypatch.setattr(P, name, value)
-    for name, value in (("training_copies", lambda rows, markers: None), ("preprocessing", lambda copies, names: None), ("boosted_model", fit),
-                        ("standardised", lambda rows, prep, names: SimpleNamespace(select=lambda *c: None)),
-                        ("boosted_cv", lambda rows, prep, names, markers, grid: (markers, grid)), ("choose_model", lambda losses, order, last: losses)):
-        monkeypatch.setattr(P.L, name, value)
-    assert P._boosted(None) == (tuple(f"random-{i}" for i in range(5)), tuple((d, r) for d in (1, 2, 3) for r in (100, 300)))
-    monkeypatch.setattr(P.L, "choose_model", lambda losses, order, last: frame)
-    with pytest.raises(Fitted, match=r"\(3, 300\)"):
-        P._tree_attr(None)
