@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -72,14 +74,25 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(value, starts)), counts
 
 
+def let_go() -> None:
+    """Give freed memory back to the machine: Python workers outlive their tasks, and those of many stages stand side by side."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def parts(batches: Iterator[pd.DataFrame], text: str, limit: int = 500_000) -> Iterator[pd.DataFrame]:
-    """Cut batches into runs of rows with about ``limit`` characters, so that memory does not follow row counts."""
+    """Cut batches into runs of rows with about ``limit`` characters, so that memory does not follow row counts; let go of memory at the end."""
     for batch in batches:
         if len(batch):
             sizes = batch[text].str.len().fillna(0).to_numpy(dtype=np.int64)
             run = np.cumsum(sizes + 64) // limit
             for _, part in batch.groupby(run, sort=True):
                 yield part
+    batch = part = None
+    let_go()
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from restartlab.llm.common import let_go
+
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 GATES = 3  # update, reset, candidate
@@ -211,6 +213,8 @@ def language_of(net: Network, text: Column) -> Column:
                 continue
             p = document_probabilities(net, texts.tolist())
             yield pd.DataFrame({"lang": names[p.argmax(1)], "score": np.clip(p.max(1), 0, 1)})
+        texts = None
+        let_go()
 
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     return F.when(F.coalesce(text.rlike(LETTER), F.lit(False)), predicted(text)).otherwise(none)
