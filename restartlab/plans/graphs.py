@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from restartlab.operators import graphs as G
+from restartlab.operators import fits as FB, graphs as G
 from restartlab.plans.fixtures import Catalog
 from restartlab.plans.query import Query
 
@@ -140,6 +140,24 @@ def _long(group: str) -> str:
         f"SELECT graph_id, '{group}' AS feature_group, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM fx_features" for c in names)
 
 
+def _joint_group(cat: Catalog, group: str) -> DataFrame:
+    """Sparse form of a joint feature group: the columns of a graph that are not zero."""
+    rows = FB.sparse_rows(features(cat, group.endswith("S")) if group.endswith("S") else _without_spectrum(cat), types(cat))
+    long = rows.select("graph_id", F.explode(F.arrays_zip("at", "x")).alias("e")).select("graph_id", F.col("e.at").cast("bigint").alias("place"), F.col("e.x").alias("value"))
+    scalars = F.col("place").isin(*[int(p) for p in FB.group_columns(group) if p < len(FB.BASE)])
+    return long.where(scalars | F.col("place").between(len(FB.BASE), FB.ONE - 1)).where("abs(value) > 1e-9")
+
+
+def _without_spectrum(cat: Catalog) -> DataFrame:
+    return features(cat).withColumns({c: F.lit(None).cast("double") for c in G.SPECTRAL})
+
+
+_JOINT_SQL = " UNION ALL ".join([
+    *[f"SELECT graph_id, {FB.BASE.index(c)} AS place, CAST({c} AS DOUBLE) AS value FROM fx_features WHERE abs({c}) > 1e-9" for c in (*G.GROUPS["U"], G.MISSING_FLAG)],
+    f"""SELECT graph_id, {len(FB.BASE)} + (SELECT CAST(coalesce(sum((23-k)*(k+1)), 0) AS BIGINT) FROM range(23) r(k) WHERE k < a) + (b-a)*(a+1) + t AS place,
+count(*)/sum(count(*)) OVER (PARTITION BY graph_id)::DOUBLE AS value FROM fx_types GROUP BY graph_id, a, b, t"""])
+
+
 QUERIES = [
     Query("flt1_graph_contract", lambda c: G.contract_violations(raw_edges(c)), """
 SELECT graph_id, CAST(sum(CASE WHEN u = v THEN k ELSE 0 END) AS BIGINT) AS self_loops,
@@ -191,6 +209,8 @@ SELECT graph_id, CASE WHEN max(d%2) = 0 THEN 'even' WHEN min(d%2) = 1 AND count(
 FROM fx_deg GROUP BY 1"""),
     Query("gr12_feature_groups", lambda c: G.feature_group(features(c), "L").unionByName(G.feature_group(features(c), "U")),
           f"{_long('L')} UNION ALL {_long('U')}", "value"),
+    Query("gr12_feature_group_joint", lambda c: _joint_group(c, "J+U"), _JOINT_SQL, "value"),
+    Query("gr12_feature_group_joint_spectral", lambda c: _joint_group(c, "J+U+S")),
     Query("gr12_feature_group_full", lambda c: G.feature_group(features(c, True), "F")),
     Query("gr12_joint_frequencies", lambda c: G.joint_frequencies(types(c)), """
 SELECT graph_id, concat_ws('_', 'joint_edge_frequency', a, b, t) AS feature,

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from restartlab.functions import angles as A
 from restartlab.functions.scores import finite
-from restartlab.operators import boosting as B, graphs as G, learning as L, quality as Q, scoring as S
-from restartlab.operators.models import ModelStore, content_id
+from restartlab.operators import boosting as B, fits as FB, graphs as G, learning as L, quality as Q, scoring as S
+from restartlab.operators.models import ModelStore, content_id, stored_table
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
 from restartlab.plans.graphs import features, sizes, types
 from restartlab.plans.planning import model_grid
@@ -223,23 +223,67 @@ def _fit_batch(cat: Catalog) -> DataFrame:
     return L.missing_fits(specs, saved, ["regime", "fold", "feature_group", "shuffle_seed", "p", "head"])
 
 
-def _run_missing(cat: Catalog) -> DataFrame:
-    """Success models of groups L and U at penalty 1 on all training graphs, and predictions of the evaluation graphs.
+def batch_rows(cat: Catalog) -> DataFrame:
+    """Training graphs as the fit batch reads them: sparse features, success rate and reference angles of both depths."""
+    lab = cat.labels().select("graph_id", (F.col("successes") / F.col("trials")).alias("label"))
+    full = features(cat, True)
+    points = G.rule_starts(types(cat), sizes(cat), (1, 2)).join(lab, "graph_id")
+    moved = points.select("graph_id", "p", F.transform("theta", lambda x, i: x + F.col("label") * (i + 1) * 0.2).alias("theta"))
+    # a rule start needs mean degree above one; graphs without a finite point cannot be labels
+    both = moved.where(F.forall("theta", finite)).groupBy("graph_id").agg(*[F.max(F.when(F.col("p") == p, F.col("theta"))).alias(f"theta_{p}") for p in (1, 2)])
+    rows = L.random_folds(training(cat).select("graph_id", "cell", "family"), 5, 20260921).drop("cell").join(lab, "graph_id").join(both.dropna(), "graph_id")
+    rows = rows.join(full.select("graph_id", F.col("degree_parity").alias("parity")), "graph_id").join(FB.sparse_rows(full, types(cat)), "graph_id")
+    return stored_table(rows, "training")
 
-    Not the whole batch of ``missing_fits``: no folds, other penalties, angle head, families, other groups or shuffles.
-    """
+
+def _specs(cat: Catalog) -> DataFrame:
+    return model_grid(cat.table("region").select(F.col("r_name").alias("family")))
+
+
+def batch_models(cat: Catalog) -> DataFrame:
+    """Models of the whole grid, fitted where the store has none."""
+    return FB.run_batch(batch_rows(cat), _specs(cat), FOLDS, ModelStore(cat.spark))[0]
+
+
+def _run_missing(cat: Catalog) -> DataFrame:
+    """Predictions of the evaluation graphs by every model of the grid; what the store has not is fitted first."""
+    targets = evaluation(cat).select("graph_id", "family").join(FB.sparse_rows(features(cat, True), types(cat)), "graph_id")
+    out = FB.predict(targets, batch_models(cat))
+    return out.withColumn("theta", F.transform("theta", lambda x: F.round(x, 6)))
+
+
+def _batch_audit(cat: Catalog) -> DataFrame:
+    """The grid against the stored models: missing, twice, not finite, of the wrong shape, or not from every training graph held out once."""
+    rows = batch_rows(cat)
+    specs = _specs(cat)
+    models = FB.run_batch(rows, specs, FOLDS, ModelStore(cat.spark))[0]
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in FB.SPEC])
+    per = models.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    plan = specs.select(key.alias("key")).join(per, "key", "full")
+    planned = specs.agg(F.count(F.lit(1)).alias("planned"))
+    outputs = F.when(F.col("head") == "success", 1).otherwise(4 * F.col("p"))
+    bad_shape = (F.size("intercept") != outputs) | (F.size("coef") != outputs) | F.exists("coef", lambda c: F.size(c) != F.size("features"))
+    broken = F.exists("coef", lambda c: F.exists(c, lambda x: ~finite(x))) | F.exists("intercept", lambda x: ~finite(x))
+    learned = rows.agg(F.count(F.lit(1)).alias("n"))
+    families = rows.groupBy("family").agg(F.count(F.lit(1)).alias("own"))
+    due = models.crossJoin(F.broadcast(learned)).join(F.broadcast(families), F.col("fold") == F.col("family"), "left")  # one row per family
+    uncovered = F.col("graphs") != F.col("n") - F.coalesce("own", F.lit(0))
+    shape = due.agg(F.count_if(bad_shape).alias("bad_shape"), F.count_if(broken).alias("not_finite"), F.count_if(uncovered).alias("not_covered"),
+                    F.count_if(~F.col("choice").isin(*L.LAMBDAS)).alias("off_grid"))
+    cover = plan.agg(F.count_if(F.col("k").isNull()).alias("missing"), F.count_if(F.col("k") > 1).alias("repeated"))
+    return planned.crossJoin(cover).crossJoin(shape)  # single rows
+
+
+def _normal_equations(cat: Catalog) -> DataFrame:
+    """What is left of the normal equations of every final success fit of group U: mean of z * residual minus penalty * weight."""
     rows = learning_rows(cat)
-    targets = evaluation(cat).select("graph_id").join(features(cat), "graph_id").withColumn("fit", F.lit(L.FINAL))
-    parts = None
-    for group in ("L", "U"):
-        names = (*G.GROUPS[group], G.MISSING_FLAG)
-        copies = L.training_copies(rows, ())
-        prep = cut_lineage(L.preprocessing(copies, names))
-        models = cut_lineage(L.ridge_models(L.standardised(copies, prep, names).withColumn("y", F.array("label")), len(names), 1, (1.0,)))
-        out = L.linear_predictions(L.standardised(targets, prep, names), models).select(
-            "graph_id", F.lit(group).alias("feature_group"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw")[0])).alias("success_probability"))
-        parts = out if parts is None else parts.unionByName(out)
-    return parts
+    models, _, prep = ridge_success(cat, rows)
+    final = L.standardised(rows.withColumn("fit", F.lit(L.FINAL)), prep, NAMES)
+    out = L.linear_predictions(final, models.where(F.col("fit") == L.FINAL)).join(
+        F.broadcast(models.where(F.col("fit") == L.FINAL).select("choice", F.col("coef")[0].alias("w"))), "choice")
+    rest = F.col("label") - F.col("raw")[0]
+    return (out.select("choice", rest.alias("rest"), F.posexplode(F.arrays_zip("z", "w")).alias("i", "s")).groupBy("choice", F.col("i").cast("bigint").alias("i"))
+            .agg(F.count(F.lit(1)).alias("rows"), (F.avg(F.col("s.z") * F.col("rest")) - F.col("choice") * F.max("s.w")).alias("gradient"), F.avg("rest").alias("mean_residual")))
 
 
 def _compact(cat: Catalog) -> DataFrame:
@@ -285,6 +329,9 @@ SELECT a.graph_id, b.donor_id FROM a JOIN b ON b.k = a.k"""),
     Query("lrn5_random_folds", _folds, "SELECT graph_id, fold FROM fx_folds"),
     Query("lrn5_family_folds", _family_folds, "SELECT family AS fold, count(*) AS graphs FROM fx_graphs WHERE tier = 2 AND graph_split = 'training' GROUP BY 1"),
     Query("lrn6_ridge_selection", _ridge),
+    Query("lrn6_normal_equations", _normal_equations, f"""
+SELECT c.c AS choice, i.i, (SELECT count(*) FROM fx_folds f JOIN fx_features x ON x.graph_id = f.graph_id JOIN fx_labels l ON l.graph_id = f.graph_id) AS rows, 0.0 AS gradient, 0.0 AS mean_residual
+FROM (VALUES (1e-4), (1e-3), (1e-2), (1e-1), (1.0), (10.0), (100.0), (1000.0)) c(c) CROSS JOIN range(0, {len(NAMES)}) i(i)""", "choice gradient mean_residual"),
     Query("lrn6_ridge_coefficients", _ridge_models),
     Query("lrn6_ridge_angle_head", _ridge_angles),
     Query("lrn7_boosted_selection", _boosted),
@@ -319,6 +366,8 @@ WITH s AS (SELECT regime, fold, g AS feature_group, s AS shuffle_seed, p.p, h.h
  CROSS JOIN range(1, 3) p(p) CROSS JOIN (VALUES ('angles'), ('success')) h(h))
 SELECT * FROM s WHERE NOT (head = 'angles' AND (fold IS NULL OR fold < 'B') AND p = 1)"""),
     Query("lrn13_fit_and_predict_batch", _run_missing),
+    Query("lrn12_model_table_audit", _batch_audit, """
+SELECT 4*(5*count(*) + 8) AS planned, 0 AS missing, 0 AS repeated, 0 AS bad_shape, 0 AS not_finite, 0 AS not_covered, 0 AS off_grid FROM region"""),
     Query("lrn14_compact_model_view", _compact, """
 SELECT regime, fold, p.p, g AS feature_group, s AS shuffle_seed FROM (
   SELECT 'lofo' AS regime, r_name AS fold, g.g, NULL::BIGINT AS s FROM region CROSS JOIN (VALUES ('L'), ('U'), ('F'), ('J+U'), ('J+U+S')) g(g)
