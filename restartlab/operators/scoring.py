@@ -29,27 +29,49 @@ def select_attempts(attempts: DataFrame) -> DataFrame:
     return picked.select("task_id", "pick.*")
 
 
-def freeze_references(tasks: DataFrame, selected: DataFrame, role: str = "reference") -> DataFrame:
-    """Best valid reference candidate per graph; equal scores go to the lowest restart."""
-    runs = selected.select("task_id", "attempt_number", "best_seen", "stop_reason")
+def pool_keys(tasks: DataFrame) -> list[str]:
+    """Graph and depth name a pool; plans of a single depth may leave the depth out."""
+    return ["graph_id", "p"] if "p" in tasks.columns else ["graph_id"]
+
+
+def _candidates(tasks: DataFrame, selected: DataFrame, role: str) -> DataFrame:
+    """Planned tasks of a role with their runs: the candidate score, and whether the run counts as valid.
+
+    From depth two on a candidate is the best score seen. At depth one it is the
+    grid's maximum; it is a candidate without, but valid only with, a passed
+    refinement.
+    """
+    deep = "p" in tasks.columns
+    grid = ["grid_c", "refinement_passed"] if deep and "grid_c" in selected.columns else []
+    runs = selected.select("task_id", "attempt_number", "best_seen", "stop_reason", *grid)
     pool = tasks.where(F.col("experiment_role") == role).join(runs, "task_id", "left")
-    good = F.col("stop_reason").isNotNull() & ~is_fault(F.col("stop_reason")) & finite(F.col("best_seen"))
+    ran = F.col("stop_reason").isNotNull() & ~is_fault(F.col("stop_reason"))
+    score, ok = F.col("best_seen"), F.lit(True)
+    if grid:
+        one = F.col("p") == 1
+        score, ok = F.when(one, F.col("grid_c")).otherwise(F.col("best_seen")), ~one | F.coalesce(F.col("refinement_passed"), F.lit(False))
+    elif deep:  # without grids a depth-one run is no candidate
+        score = F.when(F.col("p") > 1, F.col("best_seen"))
+    candidate = F.coalesce(ran & finite(score), F.lit(False))
+    return pool.withColumns({"__score": F.when(candidate, score), "__candidate": candidate, "__valid": candidate & ok})
+
+
+def freeze_references(tasks: DataFrame, selected: DataFrame, role: str = "reference") -> DataFrame:
+    """Best reference candidate per graph and depth; equal scores go to the lowest restart."""
+    keys, pool = pool_keys(tasks), _candidates(tasks, selected, role)
     best = F.max_by(F.struct("task_id", "restart_id", "attempt_number"),
-                    F.when(good, F.struct(F.col("best_seen"), (-F.col("restart_id")).alias("r"))))
-    return (pool.groupBy("graph_id")
-            .agg(F.count(F.lit(1)).alias("planned"), F.count_if(good).alias("valid"),
-                 F.max(F.when(good, F.col("best_seen"))).alias("c_ref"), best.alias("source"))
-            .select("graph_id", "planned", "valid", (F.col("valid") == F.col("planned")).alias("complete"), "c_ref",
+                    F.when(F.col("__candidate"), F.struct(F.col("__score"), (-F.col("restart_id")).alias("r"))))
+    return (pool.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("planned"), F.count_if("__valid").alias("valid"),
+                 F.max("__score").alias("c_ref"), best.alias("source"))
+            .select(*keys, "planned", "valid", (F.col("valid") == F.col("planned")).alias("complete"), "c_ref",
                     F.col("source.task_id").alias("source_task_id"),
                     F.col("source.attempt_number").alias("source_attempt")))
 
 
 def reference_members(tasks: DataFrame, selected: DataFrame, role: str = "reference") -> DataFrame:
     """Planned and valid task ids of every reference, one row each."""
-    runs = selected.select("task_id", "attempt_number", "best_seen", "stop_reason")
-    good = F.col("stop_reason").isNotNull() & ~is_fault(F.col("stop_reason")) & finite(F.col("best_seen"))
-    return (tasks.where(F.col("experiment_role") == role).join(runs, "task_id", "left")
-            .select("graph_id", "task_id", "attempt_number", good.alias("is_valid")))
+    return _candidates(tasks, selected, role).select(*pool_keys(tasks), "task_id", "attempt_number", F.col("__valid").alias("is_valid"))
 
 
 def with_metrics(df: DataFrame, metrics: Sequence[tuple[str, float]]) -> DataFrame:
@@ -61,7 +83,7 @@ def with_metrics(df: DataFrame, metrics: Sequence[tuple[str, float]]) -> DataFra
 
 def plan_left_outcome(tasks: DataFrame, selected: DataFrame) -> DataFrame:
     """Every planned task keeps a row; no attempt means missing."""
-    runs = selected.drop("graph_id", "restart_id").withColumn("__run", F.lit(True))
+    runs = selected.drop("graph_id", "restart_id", "p").withColumn("__run", F.lit(True))
     valid = F.col("__run").isNotNull() & ~is_fault(F.col("stop_reason")) & finite(F.col("c_final"))
     return (tasks.join(runs, "task_id", "left")
             .withColumns({"missing": F.col("__run").isNull(),
@@ -71,10 +93,17 @@ def plan_left_outcome(tasks: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def attach_reference(outcomes: DataFrame, references: DataFrame, cstar: DataFrame) -> DataFrame:
-    """Equi joins on graph; an incomplete reference leaves its score null."""
+    """Equi joins on graph and depth; an incomplete reference leaves its score null.
+
+    References and outcomes name their depth alike: if only one side has it, scores
+    of different depths would meet, and the join is refused.
+    """
+    if ("p" in outcomes.columns) != ("p" in references.columns):
+        raise ValueError("outcomes and references must both have a depth p, or neither")
+    keys = pool_keys(outcomes)
     ready = F.coalesce(F.col("complete") & finite(F.col("c_ref")), F.lit(False))
-    refs = references.select("graph_id", "complete", "c_ref")
-    return (outcomes.join(refs, "graph_id", "left").join(cstar, "graph_id", "left")
+    refs = references.select(*keys, "complete", "c_ref")
+    return (outcomes.join(refs, keys, "left").join(cstar, "graph_id", "left")
             .withColumns({"reference_complete": ready, "c_ref": F.when(ready, F.col("c_ref"))}).drop("complete"))
 
 

@@ -82,6 +82,26 @@ class Catalog:
                         (F.col("graph_id") * 10 + F.col("r")).cast("bigint").alias("task_id"),
                         F.when(F.col("r") < 2, "reference").otherwise("evaluation").alias("experiment_role")))
 
+    def deep_tasks(self) -> DataFrame:
+        """The plan at three depths: restarts at depths two and three, one grid task per graph at depth one."""
+        tasks = self.tasks()
+        grid = tasks.where("restart_id = 0").withColumns({"experiment_role": F.lit("reference"), "task_id": F.col("task_id") + 2_000_000_000})
+        return (tasks.withColumn("p", F.lit(2)).unionByName(tasks.withColumns({"p": F.lit(3), "task_id": F.col("task_id") + 1_000_000_000}))
+                .unionByName(grid.withColumn("p", F.lit(1))).withColumn("p", F.col("p").cast("bigint")))
+
+    @staticmethod
+    def deepened(rows: DataFrame, scores: tuple[str, ...]) -> DataFrame:
+        """Runs or calls of depth two, and those of depth three: other scores, and a seventh of the tasks never ran."""
+        more = rows.where("task_id % 7 <> 0").withColumns({"task_id": F.col("task_id") + 1_000_000_000, **{c: F.col(c) * 1.25 - 10 for c in scores}})
+        return rows.unionByName(more)
+
+    def deep_selected(self, selected: DataFrame) -> DataFrame:
+        """Selected runs at three depths; a depth-one run has a grid maximum and says whether its refinement passed."""
+        runs = self.deepened(selected, ("best_seen", "c_final")).withColumns({"grid_c": F.lit(None).cast("double"), "refinement_passed": F.lit(None).cast("boolean")})
+        grid = selected.where("restart_id = 0").withColumns({
+            "task_id": F.col("task_id") + 2_000_000_000, "grid_c": F.col("best_seen") * 0.9, "refinement_passed": F.col("objective_calls") % 4 != 0})
+        return runs.unionByName(grid)
+
     def cstar(self) -> DataFrame:
         return (self.table("events").groupBy(F.col("user_id").alias("graph_id"))
                 .agg((F.max("value") * 1.05).alias("c_star")))
@@ -189,6 +209,36 @@ LEFT JOIN (SELECT x.task_id, x.attempt_number,
                   max(CASE WHEN x.call_id = 1 THEN x.c END) AS c_initial
            FROM fx_trace x JOIN fx_cstar c2 ON c2.graph_id = x.graph_id LEFT JOIN fx_refs r2 ON r2.graph_id = x.graph_id
            GROUP BY 1, 2) h ON h.task_id = s.task_id AND h.attempt_number = s.attempt_number
+WHERE t.experiment_role = 'evaluation'""",
+    # the same plan, runs and calls at three depths
+    "fx_deep_tasks": """
+SELECT graph_id, restart_id, task_id, experiment_role, 2 AS p FROM fx_tasks
+UNION ALL SELECT graph_id, restart_id, task_id + 1000000000, experiment_role, 3 FROM fx_tasks
+UNION ALL SELECT graph_id, restart_id, task_id + 2000000000, 'reference', 1 FROM fx_tasks WHERE restart_id = 0""",
+    "fx_deep_selected": """
+SELECT task_id, attempt_number, best_seen, c_final, stop_reason, NULL::DOUBLE AS grid_c, NULL::BOOLEAN AS passed FROM fx_selected
+UNION ALL SELECT task_id + 1000000000, attempt_number, best_seen*1.25 - 10, c_final*1.25 - 10, stop_reason, NULL, NULL FROM fx_selected WHERE task_id%7 <> 0
+UNION ALL SELECT task_id + 2000000000, attempt_number, best_seen, c_final, stop_reason, best_seen*0.9, objective_calls%4 <> 0 FROM fx_selected WHERE restart_id = 0""",
+    "fx_deep_trace": """
+SELECT task_id, attempt_number, call_id, c FROM fx_trace
+UNION ALL SELECT task_id + 1000000000, attempt_number, call_id, c*1.25 - 10 FROM fx_trace WHERE task_id%7 <> 0""",
+    "fx_deep_refs": """
+SELECT graph_id, p, count(*) AS planned, count(*) FILTER (x IS NOT NULL AND ok) AS valid, max(x) AS c_ref,
+       count(*) FILTER (x IS NOT NULL AND ok) = count(*) AS complete, arg_min(task_id, (-x, restart_id)) FILTER (x IS NOT NULL) AS source_task_id
+FROM (SELECT t.*, CASE WHEN s.stop_reason <> 'numerical_error' THEN CASE WHEN t.p = 1 THEN s.grid_c ELSE s.best_seen END END AS x, t.p > 1 OR coalesce(s.passed, false) AS ok
+      FROM fx_deep_tasks t LEFT JOIN fx_deep_selected s ON s.task_id = t.task_id WHERE t.experiment_role = 'reference')
+GROUP BY 1, 2""",
+    "fx_deep_scored": """
+SELECT t.graph_id, t.p, t.task_id, t.restart_id, s.task_id IS NULL AS missing, s.best_seen, c.c_star, r.complete AS reference_complete,
+       CASE WHEN r.complete THEN r.c_ref END AS c_ref, coalesce(s.stop_reason = 'converged' AND s.c_final IS NOT NULL, false) AS execution_valid,
+       s.task_id IS NOT NULL AND NOT coalesce(s.stop_reason = 'converged' AND s.c_final IS NOT NULL, false) AS execution_fault,
+       CASE WHEN r.complete AND s.task_id IS NOT NULL THEN coalesce(s.stop_reason = 'converged' AND s.c_final >= r.c_ref - 0.3::DOUBLE*c.c_star, false) END AS terminal_success,
+       h.first_hit, h.top
+FROM fx_deep_tasks t JOIN fx_cstar c ON c.graph_id = t.graph_id
+LEFT JOIN fx_deep_selected s ON s.task_id = t.task_id LEFT JOIN fx_deep_refs r ON r.graph_id = t.graph_id AND r.p = t.p
+LEFT JOIN (SELECT x.task_id, x.attempt_number, min(x.call_id) FILTER (x.c >= r2.c_ref - 0.3::DOUBLE*c2.c_star AND r2.complete) AS first_hit, max(x.c) AS top
+           FROM fx_deep_trace x JOIN fx_deep_tasks t2 ON t2.task_id = x.task_id JOIN fx_cstar c2 ON c2.graph_id = t2.graph_id
+           LEFT JOIN fx_deep_refs r2 ON r2.graph_id = t2.graph_id AND r2.p = t2.p GROUP BY 1, 2) h ON h.task_id = s.task_id AND h.attempt_number = s.attempt_number
 WHERE t.experiment_role = 'evaluation'""",
     # degree of every vertex, and common neighbours of every edge
     "fx_deg": """

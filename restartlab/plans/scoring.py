@@ -34,6 +34,33 @@ def flagship(cat: Catalog) -> DataFrame:
                         "successes", "fixed_budget_success_fraction", "wilson_low", "wilson_high", "provisional")
 
 
+def deep_references(cat: Catalog) -> DataFrame:
+    return S.freeze_references(cat.deep_tasks(), cat.deep_selected(selected(cat)))
+
+
+def deep_scored(cat: Catalog) -> DataFrame:
+    """Evaluation restarts of depths two and three against the reference of their own depth."""
+    picks = cat.deep_selected(selected(cat))
+    refs = S.freeze_references(cat.deep_tasks(), picks)
+    plan = cat.deep_tasks().where("experiment_role = 'evaluation'")
+    return S.score_restarts(plan, picks, refs, cat.cstar(), cat.deepened(cat.trace(), ("c",)), (GAP,))
+
+
+def _deep_flagship(cat: Catalog) -> DataFrame:
+    """Reference-relative success by graph and depth."""
+    pools = S.pool_statistics(deep_scored(cat), ["graph_id", "p"], expected=4)
+    return pools.select("graph_id", "p", "planned", "valid", "execution_faults", "missing", "reference_complete", "successes", "fixed_budget_success_fraction")
+
+
+def _deep_prefixes(cat: Catalog) -> DataFrame:
+    """Best score of the first restarts and of the halves, per graph and depth."""
+    runs = cat.deep_tasks().where("p > 1").join(cat.deep_selected(selected(cat)).select("task_id", "best_seen", "stop_reason"), "task_id", "left")
+    score = F.when(~is_fault(F.col("stop_reason")), F.col("best_seen"))
+    aggs = [F.max(F.when(F.col("restart_id") < n, score)).alias(f"best_{n}") for n in (1, 2, 4, 6)]
+    halves = [F.max(F.when(F.col("restart_id") < 3, score)).alias("half_1"), F.max(F.when(F.col("restart_id") >= 3, score)).alias("half_2")]
+    return runs.groupBy("graph_id", "p").agg(*aggs, *halves)
+
+
 def _fault_flag(cat: Catalog) -> DataFrame:
     return cat.attempts().select("task_id", "attempt_number", "stop_reason", is_fault(F.col("stop_reason")).alias("fault"))
 
@@ -163,6 +190,32 @@ SELECT r.graph_id, r.planned, r.valid, r.complete, r.c_ref,
         WHERE t.graph_id = r.graph_id AND t.experiment_role = 'reference' AND s.stop_reason = 'converged'
           AND s.best_seen = r.c_ref) AS source_task_id
 FROM fx_refs r""", "c_ref"),
+    Query("flagship_success_by_graph_and_depth", _deep_flagship, """
+SELECT graph_id, p, count(*) AS planned, count(*) FILTER (execution_valid) AS valid, count(*) FILTER (execution_fault) AS execution_faults, count(*) FILTER (missing) AS missing,
+ bool_and(coalesce(reference_complete, false)) AS reference_complete,
+ CASE WHEN bool_and(coalesce(reference_complete, false)) THEN count(*) FILTER (terminal_success) END AS successes,
+ CASE WHEN bool_and(coalesce(reference_complete, false)) THEN count(*) FILTER (terminal_success)/count(*)::DOUBLE END AS fixed_budget_success_fraction
+FROM fx_deep_scored GROUP BY 1, 2""", "fixed_budget_success_fraction"),
+    Query("agg2_freeze_reference_by_depth", lambda c: deep_references(c).select("graph_id", "p", "planned", "valid", "complete", "c_ref", "source_task_id"),
+          "SELECT graph_id, p, planned, valid, complete, c_ref, source_task_id FROM fx_deep_refs", "c_ref"),
+    Query("agg2_reference_members_by_depth", lambda c: S.reference_members(c.deep_tasks(), c.deep_selected(selected(c))).select("graph_id", "p", "task_id", "is_valid"), """
+SELECT t.graph_id, t.p, t.task_id, coalesce(s.stop_reason = 'converged' AND CASE WHEN t.p = 1 THEN s.grid_c IS NOT NULL AND s.passed ELSE s.best_seen IS NOT NULL END, false) AS is_valid
+FROM fx_deep_tasks t LEFT JOIN fx_deep_selected s ON s.task_id = t.task_id WHERE t.experiment_role = 'reference'"""),
+    Query("agg3_trace_score_by_depth", lambda c: deep_scored(c).select("task_id", "p", "first_hit", "terminal_success", "reference_exceeded"), """
+SELECT task_id, p, first_hit, terminal_success, CASE WHEN reference_complete AND NOT missing THEN coalesce(top > c_ref, false) END AS reference_exceeded FROM fx_deep_scored"""),
+    Query("agg10_best_and_bias_by_depth", lambda c: S.best_and_bias(deep_scored(c), ["graph_id", "p"]), """
+SELECT graph_id, p, count(*) AS planned, count(best_seen) FILTER (execution_valid) AS valid, max(best_seen) FILTER (execution_valid) AS best_seen,
+ arg_min(task_id, (-best_seen, task_id)) FILTER (execution_valid AND best_seen IS NOT NULL) AS source_task_id,
+ max(c_ref) - max(best_seen) FILTER (execution_valid) AS bias, max(best_seen) FILTER (execution_valid)/max(c_star) AS ratio_exact
+FROM fx_deep_scored GROUP BY 1, 2""", "best_seen bias ratio_exact"),
+    Query("jn2_outcome_reference_by_depth", lambda c: S.attach_reference(
+        S.plan_left_outcome(c.deep_tasks(), c.deep_selected(selected(c))), deep_references(c), c.cstar()).select("task_id", "p", "reference_complete", "c_ref", "c_star"), """
+SELECT t.task_id, t.p, r.complete AS reference_complete, CASE WHEN r.complete THEN r.c_ref END AS c_ref, c.c_star
+FROM fx_deep_tasks t LEFT JOIN fx_deep_refs r ON r.graph_id = t.graph_id AND r.p = t.p LEFT JOIN fx_cstar c ON c.graph_id = t.graph_id""", "c_ref c_star"),
+    Query("win3_prefix_best_by_depth", _deep_prefixes, f"""
+SELECT t.graph_id, t.p, {', '.join(f"max(s.best_seen) FILTER (t.restart_id < {n} AND NOT ({FAULT})) AS best_{n}" for n in (1, 2, 4, 6))},
+ max(s.best_seen) FILTER (t.restart_id < 3 AND NOT ({FAULT})) AS half_1, max(s.best_seen) FILTER (t.restart_id >= 3 AND NOT ({FAULT})) AS half_2
+FROM fx_deep_tasks t LEFT JOIN fx_deep_selected s ON s.task_id = t.task_id WHERE t.p > 1 GROUP BY 1, 2""", "best_1 best_2 best_4 best_6 half_1 half_2"),
     Query("agg2_reference_members", lambda c: S.reference_members(c.tasks(), selected(c)).select(
         "graph_id", "task_id", "is_valid"), """
 SELECT t.graph_id, t.task_id, coalesce(s.stop_reason = 'converged' AND s.best_seen IS NOT NULL, false) AS is_valid

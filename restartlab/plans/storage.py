@@ -11,7 +11,7 @@ from restartlab.operators import scoring as S
 from restartlab.plans.fixtures import Catalog
 from restartlab.plans.graphs import edge_lists
 from restartlab.plans.query import Query
-from restartlab.plans.scoring import references, selected
+from restartlab.plans.scoring import deep_references, references, selected
 from restartlab.session import scratch_path
 from restartlab.sources import library as B
 
@@ -144,6 +144,22 @@ def _reference_set(cat: Catalog) -> DataFrame:
     return cat.spark.read.schema(schemas.REFERENCE).parquet(path).select("graph_id", "planned", "valid", "complete", "c_ref")
 
 
+def _deep_reference_set(cat: Catalog) -> DataFrame:
+    """References of all depths in one set; a second version of a graph at one depth is refused."""
+    path = scratch_path(cat.spark, "references")
+    B.write_references(deep_references(cat), path)
+    twice = deep_references(cat).where("p = 2").limit(1)
+    try:
+        B.write_references(deep_references(cat).unionByName(twice), scratch_path(cat.spark, "references"))
+        refused = False
+    except Exception as error:  # the guard's own message, whatever wraps it
+        if "several reference versions" not in str(error):
+            raise
+        refused = True
+    back = cat.spark.read.schema(schemas.DEEP_REFERENCE).parquet(path)
+    return back.select("graph_id", "p", "planned", "valid", "complete", "c_ref", F.lit(refused).alias("second_version_refused"))
+
+
 def _reference_set_id(cat: Catalog) -> DataFrame:
     ids = references(cat).where("complete").select("graph_id", content_id("graph_id", "planned", "source_task_id", "valid").alias("reference_id"))
     return B.set_digest(ids, "graph_id", "reference_id")
@@ -191,6 +207,7 @@ SELECT r.graph_id, '{"planned":' || planned || ',"valid":' || valid || '}' AS po
  lpad(('0x' || substr(sha256(r.graph_id::VARCHAR), 1, 15))::BIGINT::VARCHAR, 20, '0') AS seed FROM fx_refs r"""),
     Query("snk4_partitioned_summary", _partitioned_summary, "SELECT count(*) AS rows, count(*) AS graphs FROM fx_refs"),
     Query("snk5_reference_set", _reference_set, "SELECT graph_id, planned, valid, complete, c_ref FROM fx_refs", "c_ref"),
+    Query("snk5_reference_set_by_depth", _deep_reference_set, "SELECT graph_id, p, planned, valid, complete, c_ref, true AS second_version_refused FROM fx_deep_refs", "c_ref"),
     Query("snk5_reference_set_id", _reference_set_id, _set_digest_sql("""
 SELECT r.graph_id::VARCHAR AS name, sha256('{"graph_id":' || r.graph_id || ',"planned":' || planned || ',"source_task_id":' || x.t || ',"valid":' || valid || '}') AS digest
 FROM fx_refs r JOIN (SELECT t.graph_id, arg_min(s.task_id, (-s.best_seen, t.restart_id)) AS t FROM fx_selected s JOIN fx_tasks t ON t.task_id = s.task_id

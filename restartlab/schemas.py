@@ -11,4 +11,5 @@ TASK = ("task_id bigint, graph_id bigint, restart_id bigint, experiment_role str
 ATTEMPT = ("task_id bigint, attempt_number bigint, graph_id bigint, restart_id bigint, started string, objective_calls bigint, "
            "best_seen double, c_final double, stop_reason string")
 REFERENCE = "graph_id bigint, planned bigint, valid bigint, complete boolean, c_ref double, source_task_id bigint, source_attempt bigint"
+DEEP_REFERENCE = REFERENCE.replace("graph_id bigint,", "graph_id bigint, p bigint,")
 CALL = "struct<call_id:bigint,c:double,accepted:boolean,valid:boolean>"

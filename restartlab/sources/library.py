@@ -150,8 +150,9 @@ def write_summary(rows: DataFrame, path: str, buckets: int = 8) -> None:
 
 
 def write_references(refs: DataFrame, path: str) -> None:
-    """Reference set; a second version of a graph stops the write."""
-    guard = refs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("versions"))
-    checked = refs.join(guard, "graph_id").withColumn("graph_id", F.when(F.col("versions") == 1, F.col("graph_id")).otherwise(
-        F.raise_error(F.lit("several reference versions for one graph")).cast("bigint"))).drop("versions")
+    """Reference set; a second version of a graph at one depth stops the write."""
+    keys = ["graph_id", "p"] if "p" in refs.columns else ["graph_id"]
+    guard = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("versions"))
+    checked = refs.join(guard, keys).withColumn("graph_id", F.when(F.col("versions") == 1, F.col("graph_id")).otherwise(
+        F.raise_error(F.lit("several reference versions for one graph and depth")).cast("bigint"))).drop("versions")
     write_once(checked, path)
