@@ -1,13 +1,14 @@
 """Bootstrap over graphs without a row per draw and graph.
 
 A resample of n graphs with replacement gives each graph a multinomial count.
-Graphs are packed into blocks; a first multinomial shares the n draws over the
-blocks, a second one, inside the block's task, over its graphs. Tasks emit one
-row of weighted sums per block and draw, so data are shuffled once and only
-draws x blocks partial sums move, whatever the number of graphs. The joint
-distribution is exactly that of n independent picks, and every metric of a
-comparison sees the same draws. Seeds are hashes of (seed, keys, block), so a
-recomputed task repeats its numbers.
+The counts come from a tree: a group's n picks are shared over super-blocks by
+one multinomial, a super-block's over its blocks by the next, a block's over its
+graphs by the last, inside the block's task. No row holds more than one level of
+one branch. Tasks emit one row of weighted sums per block and draw, so data are
+shuffled once and only draws x blocks partial sums move, whatever the number of
+graphs. The joint distribution is exactly that of n independent picks, and every
+metric of a comparison sees the same draws. Seeds are hashes of (seed, keys,
+place in the tree), so a recomputed task repeats its numbers.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 16384
+FAN = 512  # blocks of a super-block
 CHUNK = 64
 
 
@@ -41,25 +43,34 @@ def draw_sums(rows: DataFrame, group: Sequence[str], stratum: Sequence[str], ite
     sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     placed = rows.select(*keys, item, *metrics).join(sized, keys)
     placed = placed.withColumn("__block", F.pmod(F.xxhash64(item), F.greatest(F.lit(1), F.ceil(F.col("__n") / block))).cast("int"))
-    held = placed.groupBy(*keys, "__n", "__block").agg(F.count(F.lit(1)).alias("__k"))
-    table = held.groupBy(*keys, "__n").agg(F.array_sort(F.collect_list(F.struct("__block", "__k"))).alias("__blocks"))
-    chunks = table.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // CHUNK))))
-
-    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                weight = np.array([b["__k"] for b in row["__blocks"]], dtype=float)
-                rng = _generator(seed, "blocks", *[row[k] for k in keys], row["__chunk"])
-                width = min(CHUNK, draws - row["__chunk"] * CHUNK)
-                counts = rng.multinomial(row["__n"], weight / weight.sum(), size=width)
-                out = pd.DataFrame({"__block": [b["__block"] for b in row["__blocks"]], "__picks": counts.T.tolist()})
-                for k in (*keys, "__chunk"):
-                    out[k] = row[k]
-                yield out[[*keys, "__block", "__chunk", "__picks"]]
-
+    over = F.floor(F.col("__block") / FAN).cast("int").alias("__super")
+    blocks = (placed.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__k")).groupBy(*keys, over)
+              .agg(F.sum("__k").alias("__n"), F.array_sort(F.collect_list(F.struct("__block", "__k"))).alias("__parts")))
+    supers = blocks.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.array_sort(F.collect_list(F.struct(F.col("__super").alias("__block"), F.col("__n").alias("__k")))).alias("__parts"))
     types = dict(rows.select(*keys).dtypes)
     shape = "".join(f"{k} {types[k]}, " for k in keys)
-    shares = chunks.mapInPandas(share, f"{shape}__block int, __chunk int, __picks array<bigint>")
+
+    def share(level: str, above: Sequence[str], below: str):
+        """Picks of one branch shared over its parts, CHUNK draws at a time."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    weight = np.array([b["__k"] for b in row["__parts"]], dtype=float)
+                    rng = _generator(seed, level, *[row[k] for k in (*keys, *above)], row["__chunk"])
+                    counts = rng.multinomial(np.asarray(row["__picks"], dtype=np.int64), weight / weight.sum())
+                    out = pd.DataFrame({below: [b["__block"] for b in row["__parts"]], "__picks": counts.T.tolist()})
+                    for k in (*keys, "__chunk"):
+                        out[k] = row[k]
+                    yield out[[*keys, below, "__chunk", "__picks"]]
+
+        return run
+
+    numbers = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // CHUNK)))
+    width = F.least(F.lit(CHUNK), F.lit(draws) - F.col("__chunk") * CHUNK)
+    first = supers.withColumn("__chunk", numbers).withColumn("__picks", F.transform(F.sequence(F.lit(1), width), lambda _: F.col("__n"))).drop("__n")
+    given = first.mapInPandas(share("supers", (), "__super"), f"{shape}__super int, __chunk int, __picks array<bigint>")
+    second = given.join(blocks.drop("__n"), [*keys, "__super"])
+    shares = second.mapInPandas(share("blocks", ("__super",), "__block"), f"{shape}__block int, __chunk int, __picks array<bigint>")
 
     def resample(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(item, kind="stable")

@@ -47,6 +47,33 @@ def paired_bootstrap(pairs: DataFrame, keys: Sequence[str], metrics: Sequence[st
         {"ci_low": F.when(ok, F.col("ci_low")), "ci_high": F.when(ok, F.col("ci_high"))})
 
 
+def pick_sums(pairs: DataFrame, keys: Sequence[str], draws: int = 2000, seed: int = 20260912) -> DataFrame:
+    """What the draws of each comparison add up to: how many draws, and the fewest and most picks of one."""
+    ones = draw_sums(pairs.select(*keys, "graph_id").withColumn("one", F.lit(1.0)), keys, [], "graph_id", ["one"], draws, seed)
+    return ones.groupBy(*keys, F.col("size").alias("graphs")).agg(
+        F.count(F.lit(1)).alias("draws"), F.min("sum_one").cast("bigint").alias("fewest_picks"), F.max("sum_one").cast("bigint").alias("most_picks"))
+
+
+def with_intervals(pairs: DataFrame, keys: Sequence[str], metrics: Sequence[str], draws: int = 2000, seed: int = 20260912) -> DataFrame:
+    """``paired_bootstrap`` for comparisons whose keys may be null: a null key names a comparison like any other."""
+    named = [f"__{k}" for k in keys]
+    safe = pairs.withColumns({f"__{k}": F.concat(F.when(F.col(k).isNull(), "0").otherwise("1"), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys})
+    out = paired_bootstrap(safe, named, metrics, draws, seed)
+    types = dict(pairs.select(*keys).dtypes)
+    back = [F.when(F.substring(f"__{k}", 1, 1) == "1", F.substring(f"__{k}", F.lit(2), F.length(f"__{k}"))).cast(types[k]).alias(k) for k in keys]
+    return out.select(*back, *[c for c in out.columns if c not in named])
+
+
+def success_with_intervals(pairs: DataFrame, keys: Sequence[str], draws: int = 2000, seed: int = 20260912) -> DataFrame:
+    """``success_intervals`` for comparisons whose keys may be null."""
+    named = [f"__{k}" for k in keys]
+    safe = pairs.withColumns({f"__{k}": F.concat(F.when(F.col(k).isNull(), "0").otherwise("1"), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys})
+    out = success_intervals(safe, named, draws, seed)
+    types = dict(pairs.select(*keys).dtypes)
+    back = [F.when(F.substring(f"__{k}", 1, 1) == "1", F.substring(f"__{k}", F.lit(2), F.length(f"__{k}"))).cast(types[k]).alias(k) for k in keys]
+    return out.select(*back, *[c for c in out.columns if c not in named])
+
+
 def stratified_means(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Graph-equal and cell-equal mean differences."""
     deltas = metric_rows(pairs, ["graph_id", "cell"], metrics).withColumn("x", F.col("method_value") - F.col("baseline_value"))

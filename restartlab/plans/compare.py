@@ -69,12 +69,34 @@ _WARM_LONG = " UNION ALL ".join(
     for n in WARM_NAMES)
 
 
-def _rule_summary(cat: Catalog) -> DataFrame:
+def rule_pairs(cat: Catalog) -> DataFrame:
+    """Rule starts against the three baselines, in the random scope and every hold-out scope."""
     parts = []
     for name, arm in (("B1", "5-LOW"), ("B2:medoid", "2-HIGH"), ("B2:aligned_median", "3-MEDIUM")):
         parts.append(scoped(pairs(cat, "1-URGENT", arm), cat).withColumn("baseline", F.lit(name)))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return C.paired_means(rows, ["regime", "fold", "baseline"], METRICS)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+RULE_KEYS = ["regime", "fold", "baseline"]
+LEARNED_KEYS = ["regime", "fold", "baseline_method", "variant"]
+
+
+def _rule_summary(cat: Catalog) -> DataFrame:
+    return C.paired_means(rule_pairs(cat), RULE_KEYS, METRICS)
+
+
+def binary(pairs_: DataFrame) -> DataFrame:
+    """One start per graph on the method side: success is 0 or 1."""
+    return pairs_.withColumn("method_success", F.when(F.col("method_success") >= 0.5, 1.0).otherwise(0.0))
+
+
+def checked(out: DataFrame, keys: list[str]) -> DataFrame:
+    """An interval where, and only where, the comparison supports one, with the mean difference between its ends or within one width of them."""
+    wide = F.col("ci_high") - F.col("ci_low")
+    near = (F.col("difference") >= F.col("ci_low") - wide) & (F.col("difference") <= F.col("ci_high") + wide)
+    ready = F.col("ci_status") == "available"
+    return out.select(*keys, "metric", "graphs", "complete", "baseline_mean", "method_mean", "difference", "ci_status",
+                      F.when(ready, (F.col("ci_low") <= F.col("ci_high")) & near).otherwise(F.col("ci_low").isNull() & F.col("ci_high").isNull()).alias("interval_fits"))
 
 
 def predictions(cat: Catalog) -> DataFrame:
@@ -89,15 +111,19 @@ SELECT graph_id, cell%5 AS grp, cell, CASE WHEN graph_id%300 <> 7 THEN bs END AS
 WHERE method = '4-NOT SPECIFIED' AND baseline = '5-LOW'"""
 
 
-def learned_comparisons(cat: Catalog) -> DataFrame:
-    """Learned method against every baseline and control arm; the random-scope F case is primary."""
+def learned_pairs(cat: Catalog) -> DataFrame:
+    """Learned method against every baseline and control arm, in all scopes."""
     specs = [("B1", None, "5-LOW"), ("B2", "medoid", "2-HIGH"), ("B2", "aligned_median", "3-MEDIUM"), ("B3", None, "1-URGENT")]
     rows = None
     for method, variant, arm in specs:
         part = scoped(pairs(cat, "4-NOT SPECIFIED", arm), cat).withColumns({"baseline_method": F.lit(method), "variant": F.lit(variant).cast("string")})
         rows = part if rows is None else rows.unionByName(part)
-    out = C.paired_means(rows, ["regime", "fold", "baseline_method", "variant"], METRICS)
-    return out.withColumn("primary", F.col("regime") == "random")
+    return rows
+
+
+def learned_comparisons(cat: Catalog) -> DataFrame:
+    """The random-scope F case is primary."""
+    return C.paired_means(learned_pairs(cat), LEARNED_KEYS, METRICS).withColumn("primary", F.col("regime") == "random")
 
 
 def _feature_controls(cat: Catalog) -> DataFrame:
@@ -204,6 +230,35 @@ def _batches(cat: Catalog) -> DataFrame:
     return out.join(total, "batch")
 
 
+def _interval_queries() -> list[Query]:
+    """The five summaries with their intervals; each twin has the points and statuses, and that every interval fits them."""
+    def twin(sql: str, more: str = "") -> str:
+        return f"SELECT *{more}, true AS interval_fits FROM ({sql}) AS points"
+
+    points = {q.key: q.sql for q in _SUMMARIES}
+    strata = lambda dims: lambda c: checked(C.with_intervals(C.with_strata(family_pairs(c), dims), ["dimension", "value"], ["success"]), ["dimension", "value"])
+    boosted = lambda c: checked(C.paired_bootstrap(pairs(c, "3-MEDIUM", "4-NOT SPECIFIED"), [], METRICS), [])
+    return [
+        Query("cmp6_rule_start_intervals", lambda c: checked(C.with_intervals(rule_pairs(c), RULE_KEYS, METRICS), RULE_KEYS), twin(points["cmp6_rule_start_summary"]), _FLOATS, 4),
+        Query("cmp6_rule_start_success", lambda c: C.success_with_intervals(binary(rule_pairs(c)), RULE_KEYS).select(
+            *RULE_KEYS, "graphs", "complete", F.round("method_fraction", 4).alias("method_fraction"),
+            (F.coalesce((F.col("baseline_low") <= F.col("baseline_fraction")) & (F.col("baseline_fraction") <= F.col("baseline_high")), ~F.col("complete"))
+             & F.coalesce((F.col("method_low") <= F.col("method_fraction")) & (F.col("method_fraction") <= F.col("method_high")), ~F.col("complete"))).alias("interval_fits")), """
+WITH l AS (SELECT x.*, r.r_name AS family, CASE baseline WHEN '5-LOW' THEN 'B1' WHEN '2-HIGH' THEN 'B2:medoid' ELSE 'B2:aligned_median' END AS base FROM fx_pairs x
+ JOIN nation n ON n.n_nationkey = x.cell JOIN region r ON r.r_regionkey = n.n_regionkey WHERE method = '1-URGENT' AND baseline IN ('5-LOW', '2-HIGH', '3-MEDIUM'))
+SELECT 'random' AS regime, NULL AS fold, base AS baseline, count(*) AS graphs, bool_and(complete) AS complete, avg(CASE WHEN ms >= 0.5 THEN 1.0 ELSE 0.0 END) AS method_fraction, true AS interval_fits FROM l GROUP BY base
+UNION ALL SELECT 'lofo', family, base, count(*), bool_and(complete), avg(CASE WHEN ms >= 0.5 THEN 1.0 ELSE 0.0 END), true FROM l GROUP BY family, base""", "method_fraction", 4),
+        Query("cmp7_learned_intervals", lambda c: checked(C.with_intervals(learned_pairs(c), LEARNED_KEYS, METRICS), LEARNED_KEYS),
+              twin(f"SELECT * EXCLUDE (\"primary\") FROM ({points['cmp7_learned_summary']})"), _FLOATS, 4),
+        Query("cmp8_boosted_intervals", boosted, twin(f"SELECT * EXCLUDE (explained, clipped) FROM ({points['cmp8_boosted_summary']})"), _FLOATS, 4),
+        Query("cmp9_stratified_intervals", strata(["n_band", "degree_band", "family"]),
+              twin(f"SELECT * EXCLUDE (mean_actual_degree) FROM ({points['cmp9_stratified_descriptive']})"), _FLOATS),
+        Query("cmp10_transfer_intervals", strata(["family", "n", "degree_band", "cell", "tier"]),
+              twin(f"SELECT * EXCLUDE (mean_actual_degree) FROM ({points['cmp10_transfer_summary']})"), _FLOATS),
+    ]
+
+
+_SUMMARIES: list[Query] = []  # filled from QUERIES below
 QUERIES = [
     Query("cmp1_paired_means", lambda c: C.paired_means(_grouped(c), ["grp"], METRICS),
           f"SELECT cell%5 AS grp, metric, {_POINTS} FROM {_LONG} WHERE {_UL} GROUP BY 1, 2", _FLOATS, 4),
@@ -255,6 +310,11 @@ FROM {_LONG} WHERE method = '3-MEDIUM' AND baseline = '4-NOT SPECIFIED' GROUP BY
           _strata_sql({"n_band": "n_band::VARCHAR", "degree_band": "degree_band::VARCHAR", "family": "family"}), f"{_FLOATS} mean_actual_degree"),
     Query("cmp10_transfer_summary", lambda c: _strata(c, ["family", "n", "degree_band", "cell", "tier"]),
           _strata_sql({"family": "family", "n": "n::VARCHAR", "degree_band": "degree_band::VARCHAR", "cell": "cell", "tier": "tier::VARCHAR"}), f"{_FLOATS} mean_actual_degree"),
+    Query("cmp1_pick_sums", lambda c: C.pick_sums(rule_pairs(c).withColumn("fold", F.coalesce("fold", F.lit(""))), RULE_KEYS), """
+WITH l AS (SELECT r.r_name AS family, CASE baseline WHEN '5-LOW' THEN 'B1' WHEN '2-HIGH' THEN 'B2:medoid' ELSE 'B2:aligned_median' END AS base FROM fx_pairs x
+ JOIN nation n ON n.n_nationkey = x.cell JOIN region r ON r.r_regionkey = n.n_regionkey WHERE method = '1-URGENT' AND baseline IN ('5-LOW', '2-HIGH', '3-MEDIUM')),
+s AS (SELECT 'random' AS regime, '' AS fold, base AS baseline, count(*) AS graphs FROM l GROUP BY 3 UNION ALL SELECT 'lofo', family, base, count(*) FROM l GROUP BY 2, 3)
+SELECT *, 2000 AS draws, graphs AS fewest_picks, graphs AS most_picks FROM s"""),
     Query("cmp11_adjusted_family", _adjusted),
     Query("cmp12_batch_summary", batch_summary, """
 SELECT s.graph_id, count(*) AS planned, count(*) FILTER (execution_valid) AS valid,
@@ -288,3 +348,5 @@ g AS (SELECT graph_id, max(b) FILTER (restart_id < 3) AS h1, max(b) FILTER (rest
 f AS (SELECT count(*) AS graphs, count(*) FILTER (greatest(abs(h1 - h2), b6 - b4)/c_star > 0.1) AS flags FROM g JOIN fx_cstar c ON c.graph_id = g.graph_id)
 SELECT f.graphs, f.flags, t.metric, {_TOTALS} FROM fx_terms t CROSS JOIN f WHERE metric IN ('objective_calls', 'elapsed_seconds', 'device_vjps') GROUP BY 1, 2, 3""", "total known_subtotal"),
 ]
+_SUMMARIES += QUERIES
+QUERIES += _interval_queries()
