@@ -1,12 +1,14 @@
-"""Toxicity by compression distance: windows compressed with a toxic and an ordinary zstandard dictionary."""
+"""Toxicity by compression distance: windows compressed with a zstandard dictionary trained on toxic and one trained on ordinary text."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,7 +18,12 @@ SPAN, STEP = 72, 54  # bytes of a window, bytes to the next one
 BLANK = b"  "  # stands for white space: a dictionary entry at the beginning of a word matches longer than inside one
 LEAD = bytes(range(128, 144))  # begins every window and both dictionaries, which thus both pay for a first match
 STEPS = (3, 4, 5, 6, 8)  # savings in bytes, as thresholds of the features
+WORD = re.compile(rb"[^ ]+")
 FEATURES = 4 + 2 * len(STEPS)
+TABLES = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # ends the header of a trained dictionary: the format's three start offsets
+#: Segment lengths of the trainer, and bytes that a sample has behind the beginning of a word: the pair that calibrates best is kept.
+TRAINED = tuple((k, tail) for tail in (1, 2) for k in (9, 10, 11, 12, 14))
+AGAIN = 64  # samples of each marked beginning
 
 
 @dataclass
@@ -35,7 +42,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     """The fast strategy leaves literals as they are, so lengths differ by matches alone."""
     data = zstandard.ZstdCompressionDict(LEAD + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     how = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=15, chain_log=14, search_log=1, min_match=6, target_length=1, strategy=zstandard.STRATEGY_FAST,
+        window_log=17, hash_log=15, chain_log=14, search_log=1, min_match=7, target_length=1, strategy=zstandard.STRATEGY_FAST,
         write_content_size=False, write_checksum=False, write_dict_id=False)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
@@ -113,15 +120,62 @@ def _first(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows
 
 
+def _samples(stems: list[bytes]):
+    """Samples for the trainer, one per word: which beginning it has (-1: none is asked for), a turn, and the word's beginning with what stands around it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                data = _plain(text)
+                for word in WORD.finditer(data):
+                    at, own = word.start(), word.group()
+                    near = xxhash.xxh3_64_intdigest(data[max(0, at - 24):at + 24]) >> 1
+                    if not stems:
+                        if len(own) >= 5 and near % 20 == 0:
+                            found.append((-1, near, data[at - 2:at + 6 + 2]))
+                        continue
+                    for i, stem in enumerate(stems):
+                        if own.startswith(stem):
+                            found.append((i, near, data[at - 2:at + max(len(stem), 6) + 2]))
+            yield pd.DataFrame(found, columns=["mark", "near", "part"])
+
+    return run
+
+
+def samples(rows: DataFrame, stems: list[str], most: int) -> list[bytes]:
+    """Samples of texts: AGAIN of every marked beginning (fewer are repeated), or ``most`` of any words; picked by the hash of where they stand."""
+    found = rows.select("text").mapInPandas(_samples([s.encode("utf-8", "surrogatepass") for s in stems]), "mark int, near bigint, part binary").distinct()
+    if not stems:
+        return [bytes(r["part"]) for r in found.orderBy("near", "part").limit(most).collect()]
+    first = F.row_number().over(Window.partitionBy("mark").orderBy("near", "part"))
+    kept = found.withColumn("n", first).where(F.col("n") <= AGAIN).orderBy("mark", "near", "part").collect()
+    out: list[bytes] = []
+    for mark in range(len(stems)):
+        own = [bytes(r["part"]) for r in kept if r["mark"] == mark]
+        out += (own * (AGAIN // max(1, len(own)) + 1))[:AGAIN] if own else []
+    return out
+
+
+def trained(parts: list[bytes], segment: int, tail: int, size: int) -> bytes:
+    """Content of a dictionary that zstandard trains on samples; of too few samples, the samples themselves."""
+    cut = [p[:len(p) - 2 + tail] for p in parts]
+    try:
+        return zstandard.train_dictionary(size, cut, k=segment, d=6).as_bytes().split(TABLES, 1)[-1]
+    except zstandard.ZstdError:
+        return b"".join(sorted(set(cut)))[-size:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 1000, base: int = 2048, reading: int = 5000) -> Model | None:
     """Dictionaries and thresholds from labelled rows; null if one label is missing.
 
-    Half of the labelled texts (by hash) gives the dictionaries: the ordinary one
-    is trained on snippets of at most ``sample`` rows, without the beginnings of
-    words that mark toxic rows; the toxic one is the same content and those
-    beginnings, so both know the languages and differ in what is toxic only. The
-    beginnings are taken from at most ``reading`` whole texts per label. At most
-    ``sample`` rows per label of the other half calibrate the score.
+    Half of the labelled texts (by hash) gives the dictionaries, from at most
+    ``reading`` whole texts per label. Both are trained on beginnings of words with
+    what stands around them. Samples of ordinary text are spread evenly; samples of
+    toxic text are weighted by contrast: those that begin as toxic words far more
+    often do than ordinary ones (all words, if there are none). Each pair of
+    settings in ``TRAINED`` gives a pair of dictionaries of one length. At most
+    ``sample`` rows per label of the other half calibrate the score of each pair,
+    and the one with the smallest loss there is kept.
     """
     texts = docs.select("doc_id", "text").where("text is not null")
     texts = (texts.where(allowed) if allowed is not None else texts).withColumn("turn", F.xxhash64("text"))
@@ -133,35 +187,39 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     rows = stored(rows.select("doc_id", "text", "turn", "toxic", "half", "n"), "labelled")
     first, second = rows.where("half = 0"), rows.where("half = 1")
     stems = contrast_stems(first.where(F.col("toxic") == 1), first.where(F.col("toxic") == 0))
-    start = F.pmod("turn", F.greatest(F.length("text") - 400, F.lit(0)) + 1) + 1
-    snippets = first.where((F.col("toxic") == 0) & (F.col("n") <= sample)).select(F.substring("text", start.cast("int"), F.lit(400)).alias("text"))
-    parts = sorted(_plain(r["text"]) for r in snippets.collect())
-    try:
-        content = zstandard.train_dictionary(base, parts).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        content = b"\n".join(parts)[-base:]
-    marks = _plain(" ".join(stems))
-    for stem in stems:
-        content = content.replace(stem.encode("utf-8", "surrogatepass"), b"")
-    filler = content[:len(marks)].ljust(len(marks))  # both dictionaries have one length: matches cost the same
-    model = Model(content + marks, content + filler, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0)
-    got = second.select("toxic", _features(model)(F.col("text")).alias("f")).collect()
-    x, y = np.array([r["f"] for r in got]).reshape(len(got), FEATURES), np.array([r["toxic"] for r in got], np.float64)
+    toxic = samples(first.where(F.col("toxic") == 1), stems, AGAIN * 16)
+    ordinary = samples(first.where(F.col("toxic") == 0), [], max(len(toxic), AGAIN))
+    models = []
+    for segment, tail in TRAINED:
+        pair = [trained(parts, segment, tail, base) for parts in (toxic, ordinary)]
+        size = min(map(len, pair))  # dictionaries of one length: matches cost the same
+        models.append(Model(*(c[len(c) - size:] for c in pair), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0))
+    got = second.select("toxic", _features(models)(F.col("text")).alias("f")).collect()
+    y = np.array([r["toxic"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-    model.weight, model.bias = logistic((x - model.mean) / model.scale, y)
-    share = keys.where("half = 1").agg(F.avg("toxic")).first()[0]  # the sample is drawn per label: put the odds back
-    model.bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return model
-
-
-def _features(model: Model):
+    share = keys.where("half = 1").agg(F.avg("toxic")).first()[0]
+    every = np.array([r["f"] for r in got]).reshape(len(got), len(models), FEATURES)
+    best = (np.inf, None)
+    for i, model in enumerate(models):
+        x = every[:, i]
+        model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
+        z = (x - model.mean) / model.scale
+        model.weight, model.bias = logistic(z, y)
+        p = np.clip(1 / (1 + np.exp(-(z @ model.weight + model.bias))), 1e-9, 1 - 1e-9)
+        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        model.bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))  # the sample is drawn per label: put the odds back
+        best = min(best, (round(loss, 9), i))
+    return models[best[1]]
+
+
+def _features(models: list[Model]):
+    """Features of a text under each pair of dictionaries, one after the other."""
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        toxic, ordinary = _compressor(model.toxic), _compressor(model.ordinary)
+        pairs = [(_compressor(m.toxic), _compressor(m.ordinary)) for m in models]
         for texts in batches:
-            yield pd.Series([features(distances(toxic, ordinary, t)) for t in texts], dtype=object)
+            yield pd.Series([sum((features(distances(*pair, t)) for pair in pairs), []) for t in texts], dtype=object)
 
     return run
 
@@ -171,7 +229,8 @@ def scores(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> Data
 
     The score is the calibrated chance of label 1; whole texts are compressed,
     window by window. A null or empty text has one blank window. Without a model
-    (no labels of both kinds) every score is 0.
+    (no labels of both kinds) every score is 0. Repeated rows and ids are scored
+    each on its own, equal texts alike; other columns are not read.
     """
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
