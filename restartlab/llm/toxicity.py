@@ -21,17 +21,17 @@ STEPS = (3, 4, 5, 6, 8)  # savings in bytes, as thresholds of the features
 WORD = re.compile(rb"[^ ]+")
 FEATURES = 4 + 2 * len(STEPS)
 TABLES = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])  # ends the header of a trained dictionary: the format's three start offsets
-#: Segment lengths of the trainer, and bytes that a sample has behind the beginning of a word: the pair that calibrates best is kept.
+#: Segment lengths of the trainer, and bytes that a sample has behind the beginning of a word: the KEPT pairs of dictionaries that calibrate best are kept.
 TRAINED = tuple((k, tail) for tail in (1, 2) for k in (9, 10, 11, 12, 14))
+KEPT = 2
 AGAIN = 64  # samples of each marked beginning
 
 
 @dataclass
 class Model:
-    """Both dictionaries and the logistic curve over a text's features."""
+    """Pairs of a toxic and an ordinary dictionary, and the logistic curve over a text's features under all of them."""
 
-    toxic: bytes
-    ordinary: bytes
+    pairs: list[tuple[bytes, bytes]]
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
@@ -174,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     toxic text are weighted by contrast: those that begin as toxic words far more
     often do than ordinary ones (all words, if there are none). Each pair of
     settings in ``TRAINED`` gives a pair of dictionaries of one length. At most
-    ``sample`` rows per label of the other half calibrate the score of each pair,
-    and the one with the smallest loss there is kept.
+    ``sample`` rows per label of the other half calibrate the score of each pair;
+    the KEPT pairs with the smallest losses there are calibrated together.
     """
     texts = docs.select("doc_id", "text").where("text is not null")
     texts = (texts.where(allowed) if allowed is not None else texts).withColumn("turn", F.xxhash64("text"))
@@ -189,37 +189,45 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     stems = contrast_stems(first.where(F.col("toxic") == 1), first.where(F.col("toxic") == 0))
     toxic = samples(first.where(F.col("toxic") == 1), stems, AGAIN * 16)
     ordinary = samples(first.where(F.col("toxic") == 0), [], max(len(toxic), AGAIN))
-    models = []
+    pairs = []
     for segment, tail in TRAINED:
         pair = [trained(parts, segment, tail, base) for parts in (toxic, ordinary)]
         size = min(map(len, pair))  # dictionaries of one length: matches cost the same
-        models.append(Model(*(c[len(c) - size:] for c in pair), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0))
-    got = second.select("toxic", _features(models)(F.col("text")).alias("f")).collect()
+        pairs.append(tuple(c[len(c) - size:] for c in pair))
+    got = second.select("toxic", _features(pairs)(F.col("text")).alias("f")).collect()
     y = np.array([r["toxic"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return None
+    every = np.array([r["f"] for r in got]).reshape(len(got), len(pairs), FEATURES)
+    losses = sorted((round(_calibrated(every[:, i], y)[-1], 9), i) for i in range(len(pairs)))
+    kept = sorted(i for _, i in losses[:KEPT])
+    mean, scale, weight, bias, _ = _calibrated(every[:, kept].reshape(len(got), -1), y, 3.0)
     share = keys.where("half = 1").agg(F.avg("toxic")).first()[0]
-    every = np.array([r["f"] for r in got]).reshape(len(got), len(models), FEATURES)
-    best = (np.inf, None)
-    for i, model in enumerate(models):
-        x = every[:, i]
-        model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
-        z = (x - model.mean) / model.scale
-        model.weight, model.bias = logistic(z, y)
-        p = np.clip(1 / (1 + np.exp(-(z @ model.weight + model.bias))), 1e-9, 1 - 1e-9)
-        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-        model.bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))  # the sample is drawn per label: put the odds back
-        best = min(best, (round(loss, 9), i))
-    return models[best[1]]
-
-
-def _features(models: list[Model]):
+    bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))  # the sample is drawn per label: put the odds back
+    return Model([pairs[i] for i in kept], mean, scale, weight, bias)
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple:
+    """Mean, scale, weight and bias of a logistic curve, and its mean loss."""
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = (x - mean) / scale
+    weight, bias = logistic(z, y, ridge=ridge)
+    p = np.clip(1 / (1 + np.exp(-(z @ weight + bias))), 1e-9, 1 - 1e-9)
+    return mean, scale, weight, bias, -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+
+def _under(pairs: list[tuple[bytes, bytes]]):
     """Features of a text under each pair of dictionaries, one after the other."""
+    both = [(_compressor(t), _compressor(o)) for t, o in pairs]
+    return lambda text: sum((features(distances(*pair, text)) for pair in both), [])
+
+
+def _features(pairs: list[tuple[bytes, bytes]]):
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pairs = [(_compressor(m.toxic), _compressor(m.ordinary)) for m in models]
+        told = _under(pairs)
         for texts in batches:
-            yield pd.Series([sum((features(distances(*pair, t)) for pair in pairs), []) for t in texts], dtype=object)
+            yield pd.Series([told(t) for t in texts], dtype=object)
 
     return run
 
@@ -237,9 +245,9 @@ def scores(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> Data
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        toxic, ordinary = _compressor(model.toxic), _compressor(model.ordinary)
+        told = _under(model.pairs)
         for texts in batches:
-            x = np.array([features(distances(toxic, ordinary, t)) for t in texts]).reshape(len(texts), FEATURES)
+            x = np.array([told(t) for t in texts]).reshape(len(texts), len(model.mean))
             z = (((x - model.mean) / model.scale) * model.weight).sum(axis=1) + model.bias  # a product would round by the batch's shape
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 

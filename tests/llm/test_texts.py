@@ -411,6 +411,24 @@ def test_toxicity(spark):
     assert got[600].score == got[601].score < 0.5 and all(0 <= r.score <= 1 for r in got.values())
     assert toxicity.fit(df, marked.where("false")) is None and toxicity.scores(df, None).where("score > 0").count() == 0
     assert toxicity.scores(df.where("false"), model).count() == 0
+    # scores again from plain compressed lengths, on whole texts, and with repeated and null ids
+    texts = [*rows, None, ""]
+    twice = frame(spark, texts[:3] + texts[:2], [0, 1, 2, 0, None]).withColumn("predicted", F.lit(5))
+    again = sorted(r.score for r in toxicity.scores(twice, model).collect())
+    assert again == sorted(got[i].score for i in (0, 1, 2, 0, 1))
+    for i in (0, 1, 450, 600):
+        x = []
+        for toxic, ordinary in model.pairs:
+            data = b"  " + b"  ".join((texts[i] or "").lower().encode().split()) + b"  "
+            windows = [toxicity.LEAD + data[at:at + 72] for at in range(0, max(1, len(data) - 72 + 54), 54)]
+            assert b"".join(w[len(toxicity.LEAD):][:54] for w in windows[:-1]) + windows[-1][len(toxicity.LEAD):] == data
+            saved = [len(toxicity._compressor(ordinary).compress(w)) - len(toxicity._compressor(toxic).compress(w)) for w in windows]
+            top = sorted([*saved, 0, 0], reverse=True)[:3]
+            more = [sum(s >= k for s in saved) for k in toxicity.STEPS]
+            x += [*[min(t, 10) for t in top], math.log(len(saved)), *[math.log1p(m) for m in more], *[math.log((m + 0.5) / (len(saved) + 10)) for m in more]]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weight)) + model.bias
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    assert len(model.pairs) == 2 and all(len(a) == len(b) and a != b for a, b in model.pairs)
 
 
 def test_pipeline_stages(spark, tmp_path):
