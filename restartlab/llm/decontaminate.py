@@ -14,14 +14,24 @@ from restartlab.llm.common import MIX, WordHash, apart, bit_filter, mix64, parts
 WINDOW, ERRORS = 13, 3  # words that are compared, and how many of them may differ
 #: Whatever 3 of 13 neighbouring words differ, one of these masks lies on words that agree (a test tries all 286 cases).
 MASKS = ("111011", "110111", "1101000011")
-LEAST = 5  # shorter items cannot be told from chance
+LEAST = 3  # one or two words say nothing about where they come from
 #: ASCII punctuation separates words like white space does.
 SPACES = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
 
+def errors_for(length: int) -> int:
+    """Words that may differ in the window of an item: in proportion to its length, none below seven words."""
+    return ERRORS if length >= WINDOW else length * ERRORS // WINDOW if length >= 7 else 0
+
+
 def masks_for(length: int) -> tuple[str, ...]:
-    """Masks of an item: spaced ones from 13 words on; a shorter item must agree as a whole."""
-    return MASKS if length >= WINDOW else ("1" * length,) if length >= LEAST else ()
+    """Masks of an item. Below 13 words the window is the item: errors + 1 masks share its places in turn, so one of them has no error."""
+    if length >= WINDOW:
+        return MASKS
+    if length < LEAST:
+        return ()
+    step = errors_for(length) + 1
+    return tuple("".join("1" if i % step == g else "0" for i in range(length)) for g in range(step))
 
 
 def tokens_of(text: str | None, memo: WordHash) -> np.ndarray:
@@ -53,7 +63,7 @@ def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _regions(filled, lengths: list[int]):
-    masks = [*MASKS, *("1" * n for n in lengths)]
+    masks = [*MASKS, *(m for n in lengths for m in masks_for(n))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, bits = WordHash(), filled.value
@@ -110,19 +120,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_words, window_words, first_word for every document (doc_id, text) that overlaps an item (item_id, text).
 
     A document overlaps an item if 13 neighbouring words of both agree in at least
-    10 places (an item of 5 to 12 words: in all of them); of its windows the one
-    with most agreeing words is given, the first in the document on a tie. Words
-    are lower-cased runs without white space and ASCII punctuation.
+    10 places; of its windows the one with most agreeing words is given, the first
+    in the document on a tie. The window of a shorter item is the item: two words
+    of 9 to 12 may differ, one of 7 or 8, none of 3 to 6. Words are lower-cased
+    runs without white space and ASCII punctuation.
 
     Each side's masks are hashed; documents keep the seeds that pass a bit filter
     of fixed size and carry them, as regions, to a join on the seed; every hit's
-    diagonal is verified on the words themselves. Items under 5 words, null texts
+    diagonal is verified on the words themselves. Items of one or two words, null texts
     and null ids on either side give no rows. Repeated ids count as one document.
     """
     spark: SparkSession = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     seeds = stored(items.mapInPandas(_item_rows, "item_id bigint, n int, seed bigint, at int"), "seeds")
-    lengths = sorted(r["n"] for r in seeds.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 8 values
+    lengths = sorted(r["n"] for r in seeds.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 10 values
     filled = spark.sparkContext.broadcast(bit_filter(seeds.select(F.col("seed").alias("hash"))))
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     regions = stored(texts.mapInPandas(_regions(filled, lengths), "doc_id bigint, start int, words array<bigint>, offsets array<int>, seeds array<bigint>")
@@ -134,7 +145,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     compared = F.pandas_udf(_best, "struct<matched:int,first:int>")
     checked = (lines.join(regions.select("doc_id", "region", "start", "words"), ["doc_id", "region"]).join(words, "item_id")
                .select("doc_id", "item_id", "start", F.least(F.size("item"), F.lit(WINDOW)).alias("window_words"), compared("words", "item", "shift").alias("best")))
-    slack = F.when(F.col("window_words") >= WINDOW, ERRORS).otherwise(0)
+    slack = F.element_at(F.array(*[F.lit(errors_for(n)) for n in range(1, WINDOW + 1)]), F.col("window_words"))
     good = checked.where(F.col("best.matched") >= F.col("window_words") - slack)
     top = F.struct(F.col("best.matched").alias("m"), (-F.col("start") - F.col("best.first")).alias("p"), F.col("window_words").alias("w"))
     return (good.groupBy("doc_id", "item_id").agg(F.max(top).alias("t"))
