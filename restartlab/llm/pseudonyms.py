@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297  # 17 * 4297 days: 1900-01-01 to 2099-12-31
+FIRST_YEAR, YEARS = 1900, 200
+#: Dates keep what their notation may show: whether month and day have one digit, and whether the day can be a month.
+#: Each group is months x days of every year: months, first day, number of days.
+GROUPS = tuple((tuple(m for m in months if not (first > 28 and m == 2) and not (first == 31 and m in (4, 6, 9, 11))), first, count)
+               for months in (range(1, 10), range(10, 13)) for first, count in ((1, 9), (10, 3), (13, 16), (29, 1), (30, 1), (31, 1)))
 AREAS, SERIALS = 898, 99 * 9999  # social security numbers that can be given out
 
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
@@ -22,7 +26,7 @@ ANY = rf"(?=[\d(+])(?:{'|'.join((SSN, DATE, IPV4, PHONE, CARD))})|(?=[A-Z]{{2}}\
 
 SIGNS = "[0-9@]"
 
-DIGITS, HEX, NAME = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
+DIGITS, HEX, LETTERS, ACCENTED = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 
 
 def _digest(key: str, label: str, turn: Column, other: Column) -> Column:
@@ -33,13 +37,14 @@ def _turns(inverse: bool) -> Column:
     return F.array(*[F.lit(i) for i in (range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS))])
 
 
-def permute_pair(a: Column, size_a: int, b: Column, size_b: int, key: str, label: str, inverse: bool = False) -> Column:
+def permute_pair(a: Column, size_a: int | Column, b: Column, size_b: int | Column, key: str, label: str, inverse: bool = False) -> Column:
     """struct(a, b) permuted on Z(size_a) x Z(size_b): turns change one number by a keyed digest of the other."""
     sign = -1 if inverse else 1
+    size_a, size_b = (x if isinstance(x, Column) else F.lit(x) for x in (size_a, size_b))
 
-    def moved(x: Column, size: int, turn: Column, other: Column) -> Column:
+    def moved(x: Column, size: Column, turn: Column, other: Column) -> Column:
         step = F.conv(F.substring(_digest(key, label, turn, other), 1, 12), 16, 10).cast("bigint")
-        return F.pmod(x + sign * (step % size), F.lit(size)).cast("bigint")
+        return F.pmod(x + sign * (step % size), size).cast("bigint")
 
     def step(acc: Column, turn: Column) -> Column:
         even = turn % 2 == 0
@@ -206,24 +211,44 @@ def _ipv4(m: Column, key: str, inverse: bool) -> Column:
     return _with(F.split(m, r"\."), changed)
 
 
+def _moved_date(year: Column, month: Column, day: Column, key: str, inverse: bool) -> Column:
+    """struct(y, m, d): a date of 1900 to 2099 permuted among those of its group; February 29 among leap years."""
+    table = F.array(*[F.struct(F.array(*map(F.lit, months)).alias("months"), F.lit(first).alias("first"), F.lit(count).alias("count")) for months, first, count in GROUPS])
+    leap = (month == 2) & (day == 29)
+
+    def changed(g: Column) -> Column:
+        rank = (F.array_position(g["months"], month) - 1) * g["count"] + day - g["first"]
+        a, b = year - FIRST_YEAR, rank
+        size_b = F.size(g["months"]) * g["count"]
+        turn = F.floor((year - 1904) / 4)  # 49 leap years
+        moved = permute_pair(F.when(leap, F.floor(turn / 7)).otherwise(a), F.when(leap, 7).otherwise(YEARS), F.when(leap, turn % 7).otherwise(b),
+                             F.when(leap, 7).otherwise(size_b), key, "date", inverse)
+        told = lambda q: F.struct(
+            F.when(leap, 1904 + 4 * (q["a"] * 7 + q["b"])).otherwise(q["a"] + FIRST_YEAR).cast("int").alias("y"),
+            F.when(leap, month).otherwise(F.element_at(g["months"], (F.floor(q["b"] / g["count"]) + 1).cast("int"))).alias("m"),
+            F.when(leap, day).otherwise((q["b"] % g["count"] + g["first"]).cast("int")).alias("d"))
+        return _with(moved, told)
+
+    fits = lambda g: (day >= g["first"]) & (day < g["first"] + g["count"]) & ((month < 10) == (g["months"][0] < 10))
+    return _with(F.filter(table, fits)[0], changed)
+
+
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    """Dates of 1900 to 2099 permuted by day number: equal days stay equal in every notation."""
+    """Dates of 1900 to 2099: equal days stay equal in every notation, and a notation stays readable in one way."""
     mark = F.regexp_extract(m, r"([-./])", 1)
     def changed(p: Column) -> Column:
         year_first = F.length(p[0]) == 4
         one, two = p[1].cast("int"), F.when(year_first, p[2]).otherwise(p[0]).cast("int")
         us = ~year_first & (mark == "/") & (two <= 12)  # month first
         month, day = F.when(us, two).otherwise(one), F.when(us, one).otherwise(two)
-        iso = F.format_string("%s-%02d-%02d", F.when(year_first, p[0]).otherwise(p[2]), month, day)
-        number = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+        year = F.when(year_first, p[0]).otherwise(p[2]).cast("int")
+        valid = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
         narrow = (F.length(p[1]) == 1) | (F.length(F.when(year_first, p[2]).otherwise(p[0])) == 1)
         def shown(q: Column) -> Column:
-            new = F.date_add(F.lit(FIRST_DAY).cast("date"), (q["b"] * DAYS_A + q["a"]).cast("int"))
             width = lambda x: F.when(narrow, x.cast("string")).otherwise(F.format_string("%02d", x))
-            y, mo, d = F.year(new).cast("string"), width(F.month(new)), width(F.dayofmonth(new))
+            y, mo, d = q["y"].cast("string"), width(q["m"]), width(q["d"])
             return F.when(year_first, F.concat(y, mark, mo, mark, d)).when(us, F.concat(mo, mark, d, mark, y)).otherwise(F.concat(d, mark, mo, mark, y))
-        moved = permute_pair(number % DAYS_A, DAYS_A, F.floor(number / DAYS_A), DAYS_B, key, "date", inverse)
-        return F.when(number.isNotNull(), _with(moved, shown)).otherwise(m)
+        return F.when(F.coalesce(valid, F.lit(False)), _with(_moved_date(year, month, day, key, inverse), shown)).otherwise(m)
 
     return _with(F.split(m, "[-./]"), changed)
 
@@ -239,9 +264,23 @@ def _phone(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _email(m: Column, key: str, inverse: bool) -> Column:
-    """Letters a-z and digits of the local part are permuted in lower case; other signs and the domain stay."""
-    local, domain = F.lower(F.substring_index(m, "@", 1)), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
-    return F.concat(_refill(local, "a-z0-9", permute_string(_only(local, "a-z0-9"), NAME, key, "email", inverse)), domain)
+    """Letters and digits of the local part are permuted, each among its kind and in its case; other signs and the domain stay.
+
+    Kinds are a-z, digits and the accented letters of Latin-1; letters of other scripts stay.
+    """
+    local, domain = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
+    low = F.translate(local, LETTERS.upper() + ACCENTED.upper(), LETTERS + ACCENTED)
+
+    def changed(plain: Column) -> Column:
+        new = plain
+        for kind, letters, label in (("a-z", LETTERS, "email"), ("0-9", DIGITS, "email digits"), (ACCENTED, ACCENTED, "email accents")):
+            new = F.when(plain.rlike(f"[{kind}]"), _refill(new, kind, permute_string(_only(plain, kind), letters, key, label, inverse))).otherwise(new)
+        cased = lambda old, small, c: F.when(old != small, F.translate(c, LETTERS + ACCENTED, LETTERS.upper() + ACCENTED.upper())).otherwise(c)
+        signs = lambda x: F.split(x, "")
+        told = F.zip_with(F.zip_with(signs(local), signs(plain), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), signs(new), lambda x, c: cased(x["a"], x["b"], c))
+        return F.concat(F.array_join(told, ""), domain)
+
+    return _with(low, changed)
 
 
 def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:

@@ -151,6 +151,46 @@ def test_pseudonyms_validate_and_return(spark):
     assert pseudonyms.pseudonymise(df.where("false"), KEY).count() == 0
 
 
+def test_dates_are_permuted_and_come_back(spark):
+    """Every day of some years in every notation: one to one, back again, equal days equal, the reading kept."""
+    import datetime
+
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(d) for y in (1900, 1999, 2000, 2024, 2099) for d in range(366)]
+    days = sorted({d for d in days if d.year in (1900, 1999, 2000, 2024, 2099)})
+    forms = [lambda d: f"{d:%Y-%m-%d}", lambda d: f"{d:%d.%m.%Y}", lambda d: f"{d:%m/%d/%Y}", lambda d: f"{d.day}.{d.month}.{d.year}", lambda d: f"{d.month}/{d.day}/{d.year}",
+             lambda d: f"{d:%d/%m/%Y}" if d.day > 12 else f"{d:%Y/%m/%d}"]
+    texts = [" ".join(f(d) for f in forms) for d in days]
+    df = frame(spark, texts)
+    once = pseudonyms.pseudonymise(df, KEY)
+    new = [r.text for r in once.orderBy("doc_id").collect()]
+    assert [r.text for r in pseudonyms.pseudonymise(once, KEY, inverse=True).orderBy("doc_id").collect()] == texts
+    seen = set()
+    for old, line in zip(days, new):
+        parts = line.split()
+        day = datetime.date.fromisoformat(parts[0])
+        last = f"{day:%d/%m/%Y}" if old.day > 12 else f"{day:%Y/%m/%d}"
+        assert parts == [*[f(day) for f in forms[:5]], last] and (day.day > 12) == (old.day > 12)
+        seen.add(day)
+    assert len(seen) == len(days) and sum(a == b for a, b in zip(days, sorted(seen))) < len(days) / 2
+
+
+def test_feistel_permutes_small_sets_and_mail_keeps_its_case(spark):
+    rows = spark.range(60).select("id", pseudonyms.permute_pair(F.col("id") % 6, 6, F.floor(F.col("id") / 6), 10, "k", "x").alias("p"))
+    got = {(r.p.a, r.p.b) for r in rows.collect()}
+    assert len(got) == 60 and max(a for a, _ in got) == 5 and max(b for _, b in got) == 9
+    words = [f"{a}{b}" for a in "0123456789" for b in "0123456789"]
+    new = {r.v for r in spark.createDataFrame([(w,) for w in words], "w string").select(pseudonyms.permute_string(F.col("w"), "0123456789", "k", "y").alias("v")).collect()}
+    assert new == set(words)
+    texts = ["Jörg.Müller7@Mail.example.org", "jörg.müller7@mail.example.org", "ÀÉ@a.de", "x@a.de", "иван.7@a.ru", "secret: abcdef0123456789"]
+    df = frame(spark, texts)
+    once = pseudonyms.pseudonymise(df, KEY)
+    new = [r.text for r in once.orderBy("doc_id").collect()]
+    assert [r.text for r in pseudonyms.pseudonymise(once, KEY, inverse=True).orderBy("doc_id").collect()] == texts
+    assert new[0].split("@")[1] == "Mail.example.org" and new[0].split("@")[0].lower() == new[1].split("@")[0] and new[1] != texts[1]
+    assert [c.isupper() for c in new[0]] == [c.isupper() for c in texts[0]] and new[2] != texts[2] and new[4].startswith("иван.")
+    assert new[5] != texts[5] and len(new[5]) == len(texts[5])
+
+
 def test_pseudonyms_find_values_before_other_signs(spark):
     """A card with a code, a date or a number beside it, and an IBAN with capitals after it; the way back finds the same reading."""
     luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
