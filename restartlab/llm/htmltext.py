@@ -23,8 +23,10 @@ BLOCK = frozenset(("address article aside blockquote body center dd details dial
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section div main aside nav footer header body form blockquote td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 NAMED = re.compile(r"""(?:^|[\s/])(class|id|role|hidden|aria-label|aria-hidden|itemprop|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
+STOP = re.compile(r"[.!?…](?=\s|$)")
 PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
@@ -36,10 +38,29 @@ class Tree:
     parent: list[int] = field(default_factory=lambda: [-1])
     tag: list[str] = field(default_factory=lambda: ["#root"])
     marks: list[str] = field(default_factory=lambda: [""])
+    shown: list[bool] = field(default_factory=lambda: [True])
     chars: list[int] = field(default_factory=lambda: [0])
     linked: list[int] = field(default_factory=lambda: [0])
+    stops: list[int] = field(default_factory=lambda: [0])
     runs: list[tuple[int, str | None]] = field(default_factory=list)  # None: a block border
 
+    def seen(self) -> Tree:
+        """The tree without elements that are not shown, all that is below them, and their text."""
+        place, out = [0] * len(self.tag), Tree([], [], [], [], [], [], [], [])
+        for i, tag in enumerate(self.tag):
+            gone = i and (place[self.parent[i]] < 0 or tag in HIDDEN or not self.shown[i])
+            place[i] = -1 if gone else len(out.tag)
+            if not gone:
+                out.parent.append(place[self.parent[i]] if i else -1)
+                out.tag.append(tag)
+                out.marks.append(self.marks[i])
+                out.shown.append(True)
+                out.chars.append(self.chars[i])
+                out.linked.append(self.linked[i])
+                out.stops.append(self.stops[i])
+        out.runs = [(max(place[i], 0), t) for i, t in self.runs if t is None or place[i] >= 0]
+        return out
+
 
 def parse(page: str | None) -> Tree:
     """A forgiving reader: unclosed and stray tags are taken as browsers mostly take them."""
@@ -54,6 +75,7 @@ def parse(page: str | None) -> Tree:
             bare = len(text.split()) and len(text)
             tree.chars[stack[-1]] += bare
             tree.linked[stack[-1]] += bare if link else 0
+            tree.stops[stack[-1]] += len(STOP.findall(text))
         if not m:
             break
         at = m.end()
@@ -92,12 +114,15 @@ def parse(page: str | None) -> Tree:
                 stop = page.find(">", close)
                 at = stop + 1 if stop >= 0 and close < end else end if close == end else at
                 continue
-            marks = " ".join(f"{n} {a or b or c}" for n, a, b, c in NAMED.findall(attrs)).lower() if attrs else ""
+            named = [(n.lower(), (a or b or c).lower()) for n, a, b, c in NAMED.findall(attrs)] if attrs else []
+            marks = " ".join(f"{n} {v}" for n, v in named)
+            tree.shown.append(not any((n == "hidden" and v != "until-found") or (n == "aria-hidden" and v == "true") or (n == "style" and UNSEEN.search(v)) for n, v in named))
             tree.parent.append(stack[-1])
             tree.tag.append(tag)
             tree.marks.append(marks)
             tree.chars.append(0)
             tree.linked.append(0)
+            tree.stops.append(0)
             if not attrs.rstrip().endswith("/") or tag in BLOCK:
                 stack.append(len(tree.tag) - 1)
                 link += tag == "a"
@@ -112,7 +137,7 @@ def parse(page: str | None) -> Tree:
                     break
                 if tag not in BLOCK and tree.tag[stack[i]] in BLOCK:
                     break  # an inline end tag does not reach out of its block
-    return tree
+    return tree.seen()
 
 
 #: Words in class, id and role values, by what they usually mark. Others have no say.
@@ -128,12 +153,12 @@ CUES = {
 }
 OF_CUE = {word: name for name, words in CUES.items() for word in words}
 TAGS = "article main section div p h1 h2 h3 ul li a nav header footer aside form button table blockquote pre b i em strong span figure body other".split()
-NAMES = [*(f"tag:{t}" for t in TAGS), *(f"cue:{c}" for c in CUES), "links", "long", "bias"]
+NAMES = [*(f"tag:{t}" for t in TAGS), *(f"cue:{c}" for c in CUES), "links", "long", "below", "below links", "share", "sentences", "prose", "bias"]
 COLUMN = {n: i for i, n in enumerate(NAMES)}
 
 
 def described(tree: Tree) -> np.ndarray:
-    """Features of every element: its tag, cues of its names, link share and length of its own text."""
+    """Features of every element: its tag, cues of its names, link share and length of its own text and of all text below it, its part of the page, and sentences."""
     x = np.zeros((len(tree.tag), len(NAMES)), np.float32)
     for i, tag in enumerate(tree.tag):
         x[i, COLUMN.get(f"tag:{tag}", COLUMN["tag:other"])] = 1
@@ -144,6 +169,15 @@ def described(tree: Tree) -> np.ndarray:
     chars = np.array(tree.chars, np.float32)
     x[:, COLUMN["links"]] = np.array(tree.linked, np.float32) / np.maximum(chars, 1)
     x[:, COLUMN["long"]] = np.log1p(chars) / 6
+    x[:, COLUMN["prose"]] = np.minimum(1, chars / 150) * (1 - x[:, COLUMN["links"]]) * (np.array(tree.stops) > 1)
+    below, linked, stops = chars.copy(), np.array(tree.linked, np.float32), np.array(tree.stops, np.float32)
+    for i in range(len(below) - 1, 0, -1):
+        for total in (below, linked, stops):
+            total[tree.parent[i]] += total[i]
+    x[:, COLUMN["below"]] = np.log1p(below) / 8
+    x[:, COLUMN["below links"]] = linked / np.maximum(below, 1)
+    x[:, COLUMN["share"]] = below / max(1, below[0])
+    x[:, COLUMN["sentences"]] = np.minimum(stops, 4) / 4
     x[:, COLUMN["bias"]] = 1
     return x
 
@@ -213,14 +247,42 @@ LABELLED = (
     """<html><body><main itemprop=y1><article><h1>{2}</h1><p>{3}<ul><li>{1}<li><a href=x>{2}</a></ul><p><a href=x>{4}</a><p>{2}</article></main><aside><section><p>{60}<p>{50}</section></aside><form><p>{40}<ul><li>{20}</ul></form>""",
     """<html><body><section class=article-body itemprop=y1><p>{1}<p>{2}<p>{1} <a href=x>{2}</a><h2>{1}</h2><p>{1}<div><div><p>{2}</div></div></section><div class=cookie-banner><div><p>{50}</div></div><section id=comments><div><p>{80}<p>{60}</div><ul><li>{30}</ul></section>""",
     """<html><body><header><h2>{3}</h2><p>{10}</header><section class=content itemprop=y1><p>{66}<div>{30}</div><p>{12}</section><section class=reviews><p>{45}</section><section class=sponsored><h3>{3}</h3><p>{25}</section><div class=login-form><p>{9}</div>""",
+    # without class names, or with names that say nothing
+    """<html><body><div><a href=x>{1}</a> <a href=x>{1}</a> <a href=x>{1}</a></div><div itemprop=y1><h1>{6}</h1><p>{60}<p>{45}<p>{30}</div><div>{5}</div>""",
+    """<html><body><ul><li><a href=x>{1}</a><li><a href=x>{2}</a></ul><div><div itemprop=y1><h1>{5}</h1><p>{80}<p>{20} <a href=x>{2}</a> {9}<ul><li>{8}<li>{10}</ul></div><div><h3>{2}</h3><ul><li><a href=x>{4}</a><li><a href=x>{5}</a></ul></div></div><div><p>{6} <a href=x>{1}</a></div>""",
+    """<html><body><table><tr><td><a href=x>{1}</a><br><a href=x>{1}</a></td><td itemprop=y1><h1>{4}</h1><p>{50}<p>{70}</td></tr></table><p>{4}""",
+    """<html><body><div class=kopf><a href=x>{1}</a> <a href=x>{2}</a></div><div class=inhalt itemprop=y1><h1>{6}</h1><p>{40}<p>{90}<h2>{3}</h2><p>{25}</div><div class=fuss>{5} <a href=x>{1}</a></div>""",
+    """<html><body><div class=c1><div class=c2><a href=x>{1}</a><a href=x>{2}</a></div><div class=c3 itemprop=y1><h1>{7}</h1><div>{55}</div><div>{35}</div><div>{60}</div></div><div class=c4><a href=x>{6}</a><a href=x>{7}</a></div></div>""",
+    """<html><body><h1 itemprop=y1>{6}</h1><p itemprop=y1>{60}<p itemprop=y1>{40}<p itemprop=y1>{22}<hr><p><a href=x>{2}</a> <a href=x>{1}</a>""",
+    """<html><body><div><a href=x>{1}</a> <a href=x>{2}</a></div><div itemprop=y1><h2>{4}</h2><p>{30}<p>{22}<ul><li>{8}<li>{12}</ul></div><div><a href=x>{3}</a></div>""",
+    """<html><body><p><a href=x>{1}</a> / <a href=x>{1}</a> / <a href=x>{2}</a><h1 itemprop=y1>{4}</h1><p itemprop=y1>{45}<p itemprop=y1>{24}<p itemprop=y1>{60}<p>{3}""",
+    """<html><body><div><ul><li><a href=x>{1}</a><li><a href=x>{1}</a></ul></div><div><div itemprop=y1><h2>{3}</h2><p>{18}<ol><li>{9}<li>{14}</ol><p>{33}<dl><dt>{2}<dd>{12}</dl></div></div><div>{4} <a href=x>{1}</a></div>""",
+    """<html><body><center><a href=x>{1}</a> <a href=x>{1}</a></center><div itemprop=y1><b>{4}</b><p>{42}<p>{20}<p>{9}</div><center>{4}</center>""",
+    """<html><body><section><a href=x>{1}</a><a href=x>{1}</a></section><section itemprop=y1><h1>{4}</h1><p>{26}<p>{50}<blockquote>{16}</blockquote><p>{11}</section><section><a href=x>{2}</a></section>""",
+    """<html><body><div itemprop=y1><p>{24}<p>{40}</div><div><a href=x>{3}</a> <a href=x>{2}</a></div>""",
+    # notices, shares, forms and side notes inside the content
+    """<html><body><main itemprop=y1><h1>{5}</h1><div class=cookie-notice itemprop=y0><p>{14}<button>{1}</button></div><p>{70}<p>{40}<div class=share itemprop=y0><a href=x>{1}</a> <a href=x>{1}</a></div><form itemprop=y0><p>{6}</form></main><footer>{6}</footer>""",
+    """<html><body><article itemprop=y1><h1>{6}</h1><p>{50}<aside itemprop=y0><h3>{2}</h3><p>{14}</aside><p>{60}<div class=newsletter itemprop=y0><h4>{3}</h4><p>{12}<form><label>{2}</label></form></div><p>{30}</article><nav><a href=x>{1}</a></nav>""",
+    """<html><body><div id=main itemprop=y1><div class=alert itemprop=y0>{16}</div><h1>{4}</h1><p>{45}<div class=advertisement itemprop=y0><p>{20}</div><p>{55}<nav class=pager itemprop=y0><a href=x>{1}</a> <a href=x>{1}</a></nav></div><aside><p>{30}</aside>""",
+    """<html><body><article itemprop=y1><header><h1>{7}</h1><div class=social itemprop=y0><a href=x>{1}</a><a href=x>{1}</a></div></header><p>{30}<p>{80}<section class=related itemprop=y0><h2>{2}</h2><p>{9} <a href=x>{4}</a></section><div role=dialog itemprop=y0><p>{22}</div><p>{15}</article>""",
+    """<html><body><main itemprop=y1><article><h1>{3}</h1><p>{12}<p>{30}<aside class=promo itemprop=y0>{12}</aside><p>{24}<form class=search itemprop=y0><label>{2}</label><button>{1}</button></form></article></main>""",
 )
 
 
+def filled(page: str, word: str = "words") -> str:
+    """A labelled page with its words: sentences of nine where there are more than seven."""
+    def text(n: int) -> str:
+        whole = [" ".join([word] * min(9, n - i)) for i in range(0, n, 9)]
+        return ". ".join(whole) + ("." if n > 7 else "")
+
+    return re.sub(r"{(\d+)}", lambda m: text(int(m[1])), page)
+
+
 def learn(pages: tuple[str, ...] = LABELLED, rounds: int = 120, rate: float = 0.25, ridge: float = 0.01) -> Model:
     """Weights and parent-child potentials that raise the likelihood of labelled pages: observed minus expected counts."""
     model, cases = Model(np.zeros(len(NAMES)), np.zeros((2, 2))), []
     for page in pages:
-        tree = parse(re.sub(r"{(\d+)}", lambda m: "words " * int(m[1]) + ("." if int(m[1]) > 7 else ""), page))
+        tree = parse(filled(page))
         y = [0] * len(tree.tag)
         for i in range(1, len(y)):
             y[i] = int("itemprop y1" in tree.marks[i]) if "itemprop y" in tree.marks[i] else y[tree.parent[i]]
@@ -247,8 +309,6 @@ def main_text(page: str | None, model: Model) -> str:
     tree = parse(page)
     chance, _ = marginals(model, tree, described(tree))
     keep = [c > 0.5 for c in chance]
-    for i in range(1, len(keep)):
-        keep[i] = keep[i] and tree.tag[i] not in HIDDEN
     blocks, now = [], []
     for at, text in tree.runs:
         if text is None:
@@ -266,8 +326,11 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     The DOM is the graph: evidence of each element (tag, names, link share, length)
     and parent-child potentials; messages go up and down once and give each element
-    its chance of being content. Hidden elements, comments and markup have no text.
-    A null or empty page has an empty text. Pages are independent: no shuffle.
+    its chance of being content. Elements that are not shown (by tag, ``hidden``,
+    ``aria-hidden`` or an own style) leave the tree with all below them before that;
+    comments and markup have no text. A null or empty page has an empty text. Pages
+    are independent: repeated rows and ids give repeated results, other columns are
+    not read, nothing is shuffled.
     """
     known = model or learn()
 
