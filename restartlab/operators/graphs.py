@@ -278,40 +278,93 @@ def wl_hash(lists: DataFrame, rounds: int = 3) -> DataFrame:
     return rows.select("graph_id", F.md5(_bag(F.col("trail"))).alias("wl_hash"))
 
 
+def _refined(near: Sequence[int], colour: list[int]) -> tuple[list[int], tuple]:
+    """Colours split until equal ones see equal neighbours, and what they see: a trace that isomorphic graphs share."""
+    n = len(near)
+    while True:
+        signs = [(colour[v], tuple(sorted(colour[w] for w in range(n) if near[v] >> w & 1))) for v in range(n)]
+        kinds = sorted(set(signs))
+        ranks = {sign: i for i, sign in enumerate(kinds)}
+        fresh = [ranks[sign] for sign in signs]
+        if len(kinds) == len(set(colour)):
+            return fresh, tuple(sorted(signs))
+        colour = fresh
+
+
 def _canonical_order(n: int, edges: Sequence[tuple[int, int]]) -> list[int]:
-    """Vertex order whose relabelled edge set is smallest: refine colours, then branch on unresolved cells."""
+    """Vertex order whose relabelled edge set is smallest among those of the smallest trace.
+
+    Colours are refined, then one vertex of the smallest open cell is singled out.
+    Two leaves with one edge set give an automorphism: the branch that led to the
+    second one repeats the first one's and is left at once. A vertex that those found
+    so far (and fixing the vertices singled out above) carry to one already tried is
+    passed over; so is a branch whose trace is larger than the best one's.
+    """
     near = [0] * n
     for u, v in edges:
         near[u] |= 1 << v
         near[v] |= 1 << u
-
-    def refine(colour: list[int]) -> list[int]:
-        while True:
-            signs = [(colour[v], tuple(sorted(colour[w] for w in range(n) if near[v] >> w & 1))) for v in range(n)]
-            ranks = {sign: i for i, sign in enumerate(sorted(set(signs)))}
-            fresh = [ranks[sign] for sign in signs]
-            if len(ranks) == len(set(colour)):
-                return fresh
-            colour = fresh
-
-    best: tuple[list, list[int]] | None = None
-    stack = [refine([0] * n)]
-    while stack:
-        colour = stack.pop()
+    best: dict = {"trace": None, "code": None, "order": list(range(n)), "path": []}
+    found: list[list[int]] = []
+
+    def leaf(colour: list[int], path: list[int]) -> int:
+        """Take in a leaf; returns the depth at which the search goes on."""
+        code = sorted(tuple(sorted((colour[u], colour[v]))) for u, v in edges)
+        if best["code"] is None or code < best["code"]:
+            best["code"], best["order"], best["path"] = code, colour, path
+        elif code == best["code"]:
+            at = {c: v for v, c in enumerate(best["order"])}
+            found.append([at[c] for c in colour])  # carries a vertex to the one with its place in the best order
+            return next((i for i, (a, b) in enumerate(zip(path, best["path"])) if a != b), len(path))
+        return len(path)
+
+    def orbit_of(path: list[int]) -> list[int]:
+        top = list(range(n))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for f in found:
+            if all(f[p] == p for p in path):
+                for v in range(n):
+                    x, y = find(v), find(f[v])
+                    top[max(x, y)] = min(x, y)
+        return [find(v) for v in range(n)]
+
+    def search(colour: list[int], path: list[int], traces: tuple) -> int:
+        depth = len(traces)
+        known = best["trace"]
+        if known is not None and traces > known[:depth]:
+            return len(path)
+        if known is not None and traces < known[:depth]:
+            best["trace"] = best["code"] = None  # every leaf so far lies behind a larger trace
         cells: dict[int, list[int]] = {}
         for v, c in enumerate(colour):
             cells.setdefault(c, []).append(v)
-        open_cells = [cell for _, cell in sorted(cells.items()) if len(cell) > 1]
-        if not open_cells:
-            code = sorted(tuple(sorted((colour[u], colour[v]))) for u, v in edges)
-            if best is None or code < best[0]:
-                best = (code, colour)
-            continue
-        cell = min(open_cells, key=len)
+        cell = min((cells[c] for c in sorted(cells) if len(cells[c]) > 1), key=len, default=None)
+        if cell is None:
+            if best["trace"] is None or traces < best["trace"]:
+                best["trace"], best["code"] = traces, None
+            return leaf(colour, path)
         twins = all(near[cell[0]] & ~(1 << v) == near[v] & ~(1 << cell[0]) for v in cell[1:])
-        for chosen in cell[:1] if twins else cell:
-            stack.append(refine([2 * c + (c == colour[chosen] and v != chosen) for v, c in enumerate(colour)]))
-    return best[1] if best else list(range(n))
+        tried: list[int] = []
+        for v in cell[:1] if twins else cell:
+            if tried:
+                orbit = orbit_of(path)
+                if any(orbit[v] == orbit[t] for t in tried):
+                    continue
+            tried.append(v)
+            fresh, trace = _refined(near, [2 * c + (c == colour[v] and w != v) for w, c in enumerate(colour)])
+            if (back := search(fresh, [*path, v], (*traces, trace))) < len(path):
+                return back
+        return len(path)
+
+    start, trace = _refined(near, [0] * n)
+    search(start, [], (trace,))
+    return best["order"]
 
 
 def canonical_forms(lists: DataFrame) -> DataFrame:
@@ -334,20 +387,18 @@ def canonical_forms(lists: DataFrame) -> DataFrame:
 def isomorphism_classes(edges: DataFrame, sizes: DataFrame, order: str = "graph_id") -> DataFrame:
     """Class of every graph; the smallest ``order`` value of a class represents it.
 
-    No pair of graphs is compared. Copies collapse on the topology hash, only
-    (n, WL) buckets with several topologies need a canonical form, and classes
-    are groups of equal canonical text, so one huge class is one plain group key.
+    No pair of graphs is compared. Copies collapse on the topology hash, every
+    distinct topology gets its canonical form, and classes are groups of equal
+    forms, so one huge class is one plain group key. ``class_key`` is a digest of
+    the form: it depends on the graph alone and can be kept (``class_index``).
     """
     lists = edge_arrays(edges, sizes)
     lists = cut_lineage(lists)
-    # used four times below: write it once
+    # used twice below: write it once
     keyed = cut_lineage(lists.join(topology_hash(lists).drop("n"), "graph_id").join(wl_hash(lists), "graph_id"))
-    topologies = keyed.groupBy("topology_hash", "n", "wl_hash").agg(F.min_by("edges", "graph_id").alias("edges"))
-    buckets = topologies.groupBy("n", "wl_hash").agg(F.count(F.lit(1)).alias("topologies"))
-    crowded = topologies.join(buckets.where("topologies > 1").drop("topologies"), ["n", "wl_hash"])
-    forms = cut_lineage(canonical_forms(crowded))
-    members = (keyed.select("graph_id", "n", "topology_hash", "wl_hash").join(forms, "topology_hash", "left")
-               .withColumn("class_key", F.coalesce("canonical", F.concat(F.lit("wl:"), "n", F.lit(":"), "wl_hash"))))
+    topologies = keyed.groupBy("topology_hash", "n").agg(F.min_by("edges", "graph_id").alias("edges"))
+    forms = cut_lineage(canonical_forms(topologies).withColumn("class_key", F.sha2("canonical", 256)).drop("canonical"))
+    members = keyed.select("graph_id", "n", "topology_hash", "wl_hash").join(forms, "topology_hash")
     owners = members.groupBy("class_key").agg(
         F.min(order).alias("representative"), F.min_by("topology_hash", order).alias("representative_hash"),
         F.min_by("vertex_rank", order).alias("owner_rank"), F.count(F.lit(1)).alias("class_size"))
@@ -357,6 +408,19 @@ def isomorphism_classes(edges: DataFrame, sizes: DataFrame, order: str = "graph_
         F.when(F.col("topology_hash") != F.col("representative_hash"), back).alias("to_representative")))
 
 
+def class_index(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """class_key, graph (smallest id) of a library: what later libraries are checked against, without its graphs."""
+    classes = isomorphism_classes(edges, sizes)
+    return classes.groupBy("class_key").agg(F.min("graph_id").alias("prior_graph"))
+
+
+def prior_exclusion(edges: DataFrame, sizes: DataFrame, index: DataFrame) -> DataFrame:
+    """graph_id, prior_graph, status of the graphs of a new library against a stored index of prior ones."""
+    fresh = isomorphism_classes(edges, sizes).select("graph_id", "class_key")
+    status = F.when(F.col("prior_graph").isNull(), "candidate").otherwise("duplicate")
+    return fresh.join(index, "class_key", "left").select("graph_id", "prior_graph", status.alias("status"))
+
+
 def class_families(classes: DataFrame, families: DataFrame) -> DataFrame:
     """Sorted family set of every class (six families at most) and its hold-out eligibility."""
     return (classes.join(families.select("graph_id", "family"), "graph_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from restartlab.operators import fits as FB, graphs as G
+from restartlab.operators.models import stored_table
 from restartlab.plans.fixtures import Catalog
 from restartlab.plans.query import Query
 
@@ -92,11 +93,11 @@ def _evidence(cat: Catalog) -> DataFrame:
 
 
 def _prior_exclusion(cat: Catalog) -> DataFrame:
-    """Graphs of odd suppliers are new; those isomorphic to a prior graph are duplicates."""
-    rows = _classes(cat).withColumn("prior", F.floor(F.col("graph_id") / 1000) % 2 == 0)
-    old = rows.where("prior").groupBy("class_key").agg(F.min("graph_id").alias("prior_graph"))
-    return rows.where("NOT prior").join(old, "class_key", "left").select(
-        "graph_id", "prior_graph", F.when(F.col("prior_graph").isNull(), "candidate").otherwise("duplicate").alias("status"))
+    """Graphs of odd suppliers are a new library; the prior one is known by its stored index only."""
+    edges, size = folded(cat)
+    prior = F.floor(F.col("graph_id") / 1000) % 2 == 0
+    index = stored_table(G.class_index(edges.where(prior), size.where(prior)), "prior")
+    return G.prior_exclusion(edges.where(~prior), size.where(~prior), index)
 
 
 def _grid(cat: Catalog) -> DataFrame:
