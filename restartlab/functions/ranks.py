@@ -26,6 +26,21 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, orde
             .drop("__bucket", "__before"))
 
 
+def join_sized(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of their group, from a table with one row per group and its row count in ``size``.
+
+    Groups with more than 1 / ``share`` of all rows are fewer than ``share``: they are
+    broadcast, so the rows of a hot group stay where they are; the others are shuffled.
+    """
+    keys = list(keys)
+    if not keys:
+        return rows.crossJoin(F.broadcast(groups))  # a single row
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = F.broadcast(groups.where(F.col(size) > total // share))
+    light = groups.where(F.col(size) <= total // share)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles per key: one row per (keys, prob).

@@ -112,3 +112,28 @@ def test_loss_is_zero_on_the_orbit(spark):
         assert o.count() == (20 if parity == "mixed" else 80)
         worst = o.select(F.max(A.angle_loss(F.col("o.theta"), F.col("theta"), F.lit(parity), 2))).first()[0]
         assert worst == pytest.approx(0, abs=1e-20)
+
+
+def test_medoids_by_bounds_equal_brute_force(spark):
+    """Small batches and blocks, so that bounds decide; copies, ties and several pools of different size."""
+    rng = np.random.default_rng(6)
+    rows, pools = [], {"wide": rng.uniform(-4, 4, (150, 4)), "dense": rng.normal(0, 0.3, (120, 4)), "ring": None, "one": rng.normal(0, 1, (1, 4)), "pair": rng.normal(0, 1, (2, 4))}
+    turn = np.linspace(0, 2 * np.pi, 40, endpoint=False)
+    pools["ring"] = np.column_stack([np.cos(turn), np.sin(turn), 0 * turn, 0 * turn])
+    for name, points in pools.items():
+        points = np.concatenate([points, points[::3]])
+        rows += [(name, int(i), [float(v) for v in t]) for i, t in zip(rng.permutation(len(points)), points)]
+    df = spark.createDataFrame(rows, "pool string, id bigint, theta array<double>")
+    got = {r.pool: r for r in O.medoids(df, ["pool"], "id", 2, batch=50, block=24).collect()}
+    flat = df.select("pool", "id", A.canonical(F.col("theta"), 2).alias("t")).collect()
+    metric = O._metric(2, A.BETA_PERIOD, True)
+    for name in pools:
+        own = sorted((r.id, r.t) for r in flat if r.pool == name)
+        theta = np.array([t for _, t in own])
+        sums = metric(theta, theta).sum(1)
+        near = [i for (i, _), s in zip(own, sums) if s <= sums.min() + 1e-9]
+        assert abs(got[name].distance_sum - sums.min()) < 1e-8 and got[name].id in near
+        assert [t for i, t in own if i == got[name].id][0] == got[name].theta
+    alone = O.medoids(df.where("pool = 'dense'").drop("pool"), [], "id", 2, batch=60, block=48).collect()
+    assert [r.id for r in alone] == [got["dense"].id]
+    assert O.medoids(df.where("false"), ["pool"], "id", 2).count() == 0
