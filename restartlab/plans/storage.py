@@ -85,11 +85,13 @@ def _checksum_rows(cat: Catalog) -> DataFrame:
 
 
 def _file_checksums(cat: Catalog) -> DataFrame:
+    """One file per language, written, hashed, and hashed again: digests, and whether the second look differs."""
     path = scratch_path(cat.spark, "files")
-    B.write_once(cat.tasks(), path)
-    first = B.file_checksums(cat.spark, path, "*.parquet").withColumnRenamed("digest", "recorded")
-    again = B.file_checksums(cat.spark, path, "*.parquet").select("name", "digest")
-    return first.join(again, "name", "full").agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("recorded").eqNullSafe(F.col("digest"))).alias("changed"))
+    lines = cat.table("documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", F.concat_ws(" ", "doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("value"))
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    first = B.file_checksums(cat.spark, path, "*.txt").select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "path", "length", "digest")
+    again = B.file_checksums(cat.spark, path, "*.txt", 1000).select("path", F.col("digest").alias("now"))
+    return first.join(again, "path", "left").select("lang", "length", "digest", (~F.col("digest").eqNullSafe(F.col("now"))).alias("changed"))
 
 
 def _content_ids(cat: Catalog) -> DataFrame:
@@ -192,7 +194,9 @@ JOIN fx_attempts a ON a.task_id = x.task_id AND a.attempt_number = x.attempt_num
     Query("src7_checksum_audit", _checksum_rows, """
 SELECT doc_id, CASE WHEN doc_id%43 = 0 THEN 'not_in_manifest' WHEN doc_id%37 = 0 THEN 'absent' ELSE 'changed' END AS problem FROM documents
 WHERE (doc_id%43 = 0 AND doc_id%37 <> 0) OR (doc_id%43 <> 0 AND doc_id%37 = 0) OR (doc_id%43 <> 0 AND doc_id%37 <> 0 AND doc_id%29 = 0 AND lang <> 'xx')"""),
-    Query("src7_file_checksums", _file_checksums),
+    Query("src7_file_checksums", _file_checksums, """
+SELECT lang, length(t) AS length, sha256(t) AS digest, false AS changed FROM (
+ SELECT coalesce(lang, 'none') AS lang, string_agg(doc_id || ' ' || md5(coalesce(text, '')) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)"""),
     Query("src8_content_id", _content_ids, """
 SELECT task_id, sha256('{"experiment_role":"' || experiment_role || '","graph_id":' || graph_id || ',"restart_id":' || restart_id || ',"task_id":' || task_id || '}') AS content_id FROM fx_tasks"""),
     Query("src9_input_set_digest", _set_digest, _set_digest_sql("SELECT url AS name, sha256(html) AS digest FROM pages")),

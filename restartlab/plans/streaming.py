@@ -17,7 +17,7 @@ ATTEMPTS = schemas.ATTEMPT.replace("started string", "started timestamp")
 def _arrivals(cat: Catalog) -> str:
     """Attempts as files in several arrival waves."""
     path = scratch_path(cat.spark, "arrivals")
-    write_once(cat.attempts().select(*[c.split()[0] for c in ATTEMPTS.split(", ")]).repartition(4, "task_id", "attempt_number"), path)
+    write_once(cat.attempts().select(*[c.split()[0] for c in ATTEMPTS.split(", ")]).repartition("task_id", "attempt_number"), path)
     return path
 
 
@@ -31,8 +31,8 @@ def _progress(cat: Catalog) -> DataFrame:
 def _selection(cat: Catalog) -> DataFrame:
     stream = R.attempt_stream(cat.spark, _arrivals(cat), ATTEMPTS, 2)
     state = scratch_path(cat.spark, "selection")
-    version = R.run_incremental_selection(stream, state, scratch_path(cat.spark, "selection-log"), ATTEMPTS)
-    return cat.spark.read.schema(ATTEMPTS).parquet(f"{state}/v{version}").select(
+    R.run_incremental_selection(stream, state, scratch_path(cat.spark, "selection-log"))
+    return R.current_selection(cat.spark, state, ATTEMPTS).select(
         "task_id", "attempt_number", "stop_reason", "objective_calls", "best_seen")
 
 
@@ -44,7 +44,7 @@ def _throughput(cat: Catalog) -> DataFrame:
 def _throughput_stream(cat: Catalog) -> DataFrame:
     """The same windows as a stream with a watermark; closed windows are appended to a table."""
     source = scratch_path(cat.spark, "event-files")
-    write_once(cat.table("events").select("event_id", "ts", "event_type").repartitionByRange(4, "ts"), source)
+    write_once(cat.table("events").select("event_id", "ts", "event_type").repartitionByRange("ts"), source)
     stream = R.attempt_stream(cat.spark, source, "event_id bigint, ts timestamp, event_type string")
     out = scratch_path(cat.spark, "windows")
     rates = R.throughput(stream, "ts", F.col("event_type"), "6 hours", "1 hour")

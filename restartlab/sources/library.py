@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from restartlab import schemas
@@ -134,10 +137,34 @@ def checksum_audit(rows: DataFrame, manifest: DataFrame, key: str, columns: Sequ
     return j.select(key, problem.alias("problem")).where("problem is not null")
 
 
-def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every stored file, one task per batch of files."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("digest"))
+def _streamed(chunk: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for uri in batch["path"]:
+                where, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+                digest = hashlib.sha256()
+                with where.open_input_stream(inner, compression=None, buffer_size=0) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                digests.append(digest.hexdigest())
+            yield batch.assign(digest=digests)
+
+    return run
+
+
+def file_checksums(spark: SparkSession, path: str, glob: str = "*", chunk: int = 8_000_000) -> DataFrame:
+    """path, name, length and SHA-256 of every stored file, whatever its size.
+
+    Spark lists the files without their content; each is then read in pieces of
+    ``chunk`` bytes by the task that has it. Files are dealt by path. Empty files are
+    not listed (Spark makes no split of them).
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
+    hashed = listed.repartition("path").mapInPandas(_streamed(chunk), "path string, length bigint, digest string")
+    return hashed.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "digest")
 
 
 def write_summary(rows: DataFrame, path: str, buckets: int = 8) -> None:

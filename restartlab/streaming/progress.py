@@ -12,39 +12,33 @@ def attempt_stream(spark: SparkSession, path: str, schema: str, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def merge_selection(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Selection over all attempts so far: earlier winners compete with the new attempts.
+def run_incremental_selection(stream: DataFrame, changes: str, checkpoint: str) -> int:
+    """Keep one selected attempt per task as state of the stream; returns the last batch's number, or -1.
 
-    The rule is a minimum over a total order, so merging winners gives the same
-    answer as selecting over the whole history.
+    The selection is a minimum over a total order, so it is an aggregation by task whose
+    state lives in the stream's state store: a micro-batch touches the tasks it
+    brings and no others. What changed is written as one part of a change table; a
+    replayed batch writes the same part again.
     """
-    return select_attempts(batch if state is None else state.unionByName(batch))
-
-
-def run_incremental_selection(stream: DataFrame, state_path: str, checkpoint: str, schema: str) -> int:
-    """Keep one selected attempt per task in versioned tables; returns the last version written, or -1.
-
-    Version k is computed from version k-1 and micro-batch k. A replayed batch
-    finds its version already complete and changes nothing.
-    """
-    spark = stream.sparkSession
     last = {"version": -1}
 
-    def finished(version: int) -> bool:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v{version}/_SUCCESS")
-        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
     def step(batch: DataFrame, version: int) -> None:
-        if not finished(version):
-            old = spark.read.schema(schema).parquet(f"{state_path}/v{version - 1}") if version > 0 else None
-            merge_selection(old, batch).write.mode("overwrite").parquet(f"{state_path}/v{version}")
+        batch.write.mode("overwrite").parquet(f"{changes}/version={version}")
         last["version"] = version
 
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = (select_attempts(stream).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
     return last["version"]
 
 
+def current_selection(spark: SparkSession, changes: str, schema: str) -> DataFrame:
+    """The selected attempt of every task: the last of its changes."""
+    rows = spark.read.schema(f"{schema}, version bigint").parquet(changes)
+    columns = [c for c in rows.columns if c not in ("task_id", "version")]
+    return rows.groupBy("task_id").agg(F.max_by(F.struct(*columns), "version").alias("pick")).select("task_id", "pick.*")
+
+
 def running_counts(stream: DataFrame, plan: DataFrame) -> DataFrame:
     """Attempt and fault counts per role, as a streaming aggregation over a static plan join."""
     joined = stream.join(plan.select("task_id", "experiment_role"), "task_id")
