@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from restartlab.operators import compare as C, pools as P, scoring as S
+from restartlab.operators import binding as BD, compare as C, pools as P, scoring as S
+from restartlab.operators.models import stored_table
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
 from restartlab.plans.pools import _TOTALS, _WARM_SQL, attributions, costs
 from restartlab.plans.quality import pool_references, union_references
 from restartlab.plans.query import Query
-from restartlab.plans.scoring import FAULT, _half_best, _prefix_best, scored
+from restartlab.plans.scoring import FAULT, _deep_prefixes, _half_best, _prefix_best, deep_scored, references, scored, selected
 
 METRICS = ["quality", "success"]
 
@@ -167,18 +168,23 @@ SELECT dimension, value, 'success' AS metric, count(*) AS graphs, bool_and(ok) A
 FROM s GROUP BY 1, 2"""
 
 
+OUTCOMES = ["old_success", "rule_success", "learned_success", "quality", "half_gap", "calls"]
+
+
 def family_rows(cat: Catalog) -> DataFrame:
     """Graph metrics for the adjusted family model: four sizes, two bands, four families."""
     size = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in (12, 16, 20, 24)]), (F.floor(F.col("graph_id") / 7) % 4 + 1).cast("int"))
     family = F.when(F.col("family") == "AMERICA", "regular").when(F.col("family") == "ASIA", "ba").when(F.col("family") == "EUROPE", "sbm").otherwise("er")
-    lab = cat.labels().select("graph_id", (F.col("successes") / F.col("trials")).alias("old_success"), (F.col("trials") / 40).alias("quality"))
+    rate = F.col("successes") / F.col("trials")
+    lab = cat.labels().select("graph_id", rate.alias("old_success"), F.sqrt(rate).alias("rule_success"), (1 - rate).alias("learned_success"), (F.col("trials") / 40).alias("quality"),
+                              (F.col("trials") % 7 / 7).alias("half_gap"), F.log1p("trials").alias("calls"))
     return cat.graphs().join(lab, "graph_id").select(
-        "graph_id", size.alias("n"), "degree_band", family.alias("family"), (2 * F.col("m") / 12).alias("mean_degree"), "old_success", "quality")
+        "graph_id", size.alias("n"), "degree_band", family.alias("family"), (2 * F.col("m") / 12).alias("mean_degree"), *OUTCOMES)
 
 
 def _adjusted(cat: Catalog) -> DataFrame:
-    linear = C.adjusted_family(family_rows(cat), ["old_success", "quality"], draws=2000).withColumn("model", F.lit("linear"))
-    quad = C.adjusted_family(family_rows(cat), ["old_success", "quality"], True, draws=2000).withColumn("model", F.lit("quadratic"))
+    linear = C.adjusted_family(family_rows(cat), OUTCOMES, draws=2000).withColumn("model", F.lit("linear"))
+    quad = C.adjusted_family(family_rows(cat), OUTCOMES, True, draws=2000).withColumn("model", F.lit("quadratic"))
     return linear.unionByName(quad)
 
 
@@ -194,6 +200,21 @@ def batch_summary(cat: Catalog) -> DataFrame:
         "reference_exceeded_count", "reference_ratio_exact")
 
 
+def _deep_summary(cat: Catalog) -> DataFrame:
+    """The same row per graph and depth."""
+    rows, keys = deep_scored(cat), ["graph_id", "p"]
+    best = S.best_and_bias(rows, keys).select(*keys, "best_seen", "bias")
+    more = rows.groupBy(*keys).agg(F.count_if(F.coalesce("reference_exceeded", F.lit(False))).alias("reference_exceeded_count"))
+    return S.pool_statistics(rows, keys, expected=4).join(best, keys).join(more, keys).select(*keys, "planned", "valid", "successes", "best_seen", "bias", "reference_exceeded_count")
+
+
+def _deep_stability(cat: Catalog) -> DataFrame:
+    """Half gap and last prefix gain of every pool of a graph and depth."""
+    j = _deep_prefixes(cat).join(cat.cstar(), "graph_id")
+    gap, gain = F.abs(F.col("half_1") - F.col("half_2")) / F.col("c_star"), (F.col("best_6") - F.col("best_4")) / F.col("c_star")
+    return j.select("graph_id", "p", gap.alias("half_gap"), gain.alias("last_prefix_gain"), (F.greatest(gap, gain) > 0.1).alias("stability_flag"))
+
+
 def _stability(cat: Catalog) -> DataFrame:
     union = union_references(pool_references(cat, 0, 2), pool_references(cat, 2, 4))
     report = C.stability_report(_prefix_best(cat), _half_best(cat), union, cat.cstar(), "best_6", "best_4", 0.1)
@@ -259,6 +280,63 @@ UNION ALL SELECT 'lofo', family, base, count(*), bool_and(complete), avg(CASE WH
 
 
 _SUMMARIES: list[Query] = []  # filled from QUERIES below
+BATCHES = ("even", "odd")
+#: What each artifact of a batch is made from; the graph library is shared.
+MADE_FROM = (("plan", "shared", "library"), ("attempts", None, "plan"), ("references", None, "plan"), ("references", None, "attempts"), ("report", None, "references"), ("report", None, "attempts"))
+
+
+def _artifact_rows(cat: Catalog) -> dict[str, tuple[DataFrame, str, list[str]]]:
+    """Rows of every artifact of the two batches, with key and columns."""
+    batch = F.when(F.col("graph_id") % 2 == 0, "even").otherwise("odd")
+    report = S.pool_statistics(scored(cat), ["graph_id"], expected=4)
+    made = {"library": (cat.graphs(), "graph_id", ["graph_id", "m", "family"]), "plan": (cat.tasks(), "task_id", ["task_id", "graph_id", "experiment_role"]),
+            "attempts": (selected(cat), "task_id", ["task_id", "attempt_number", "stop_reason", "objective_calls"]),
+            "references": (references(cat), "graph_id", ["graph_id", "planned", "valid", "source_task_id"]), "report": (report, "graph_id", ["graph_id", "planned", "valid", "missing", "successes"])}
+    return {name: (df.withColumn("batch", F.lit("shared") if name == "library" else batch).withColumn("artifact", F.lit(name)), key, columns) for name, (df, key, columns) in made.items()}
+
+
+def bound_batches(cat: Catalog, altered: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Manifest and problems of the two batches; one number in one artifact is changed after it was recorded, if ``altered`` names it."""
+    ids = now = None
+    for name, (rows, key, columns) in _artifact_rows(cat).items():
+        rows = stored_table(rows.select("batch", "artifact", *columns), name)
+        ids = BD.artifact_ids(rows, key, columns) if ids is None else ids.unionByName(BD.artifact_ids(rows, key, columns))
+        if altered and altered[1] == name:
+            first = rows.where(F.col("batch") == altered[0]).agg(F.min(key)).first()[0]
+            rows = rows.withColumn(columns[-1], F.when((F.col("batch") == altered[0]) & (F.col(key) == first), F.lit(-1).cast(dict(rows.dtypes)[columns[-1]])).otherwise(F.col(columns[-1])))
+        now = BD.artifact_ids(rows, key, columns) if now is None else now.unionByName(BD.artifact_ids(rows, key, columns))
+    manifest = stored_table(ids, "manifest")
+    edges = cat.spark.createDataFrame([(b, a, source or b, i) for b in BATCHES for a, source, i in MADE_FROM], "batch string, artifact string, input_batch string, input_artifact string")
+    inputs = edges.join(manifest.select(F.col("batch").alias("input_batch"), F.col("artifact").alias("input_artifact"), F.col("id").alias("input_id")), ["input_batch", "input_artifact"])
+    return manifest, BD.binding_problems(manifest, inputs, now)
+
+
+def batch_settings(cat: Catalog) -> DataFrame:
+    """What two batches must share: library, restarts per graph, and reference pool size."""
+    tasks = cat.tasks().withColumn("batch", F.when(F.col("graph_id") % 2 == 0, "even").otherwise("odd"))
+    per = tasks.groupBy("batch", "graph_id").agg(F.count(F.lit(1)).alias("restarts"), F.count_if(F.col("experiment_role") == "reference").alias("pool"))
+    return per.groupBy("batch").agg(F.lit("shared/library").alias("library"), F.max("restarts").alias("restarts"), F.min("restarts").alias("fewest"), F.max("pool").alias("pool"))
+
+
+def _bound_reports(cat: Catalog) -> DataFrame:
+    """Reports of two batches, read only once every artifact holds and their settings agree."""
+    manifest, problems = bound_batches(cat)
+    BD.require_bound(problems, BD.incompatible(batch_settings(cat), "even", ["library", "restarts", "fewest", "pool"]))
+    count = manifest.where("batch <> 'shared'").groupBy("batch").agg((F.count(F.lit(1)) + 1).alias("artifacts"), F.sum("entries").alias("entries"))
+    return _batches(cat).join(F.broadcast(count), "batch")
+
+
+def _altered_artifact(cat: Catalog) -> DataFrame:
+    """One number in the attempts of a batch changes after recording: the artifact is named, all that was made from it is, and no report is read."""
+    _, problems = bound_batches(cat, ("odd", "attempts"))
+    try:
+        BD.require_bound(problems, BD.incompatible(batch_settings(cat), "even", ["restarts", "pool"]))
+        refused = ""
+    except ValueError as error:
+        refused = str(error).split(";")[0]
+    return problems.withColumn("refused", F.lit(refused))
+
+
 QUERIES = [
     Query("cmp1_paired_means", lambda c: C.paired_means(_grouped(c), ["grp"], METRICS),
           f"SELECT cell%5 AS grp, metric, {_POINTS} FROM {_LONG} WHERE {_UL} GROUP BY 1, 2", _FLOATS, 4),
@@ -325,6 +403,15 @@ SELECT s.graph_id, count(*) AS planned, count(*) FILTER (execution_valid) AS val
  max(c_ref/c_star) AS reference_ratio_exact
 FROM fx_scored s LEFT JOIN (SELECT task_id, attempt_number, max(c) AS m FROM fx_trace GROUP BY 1, 2) x ON x.task_id = s.task_id AND x.attempt_number = s.attempt_number
 GROUP BY 1""", "fixed_budget_success_fraction best_seen bias reference_ratio_exact"),
+    Query("cmp12_batch_summary_by_depth", _deep_summary, """
+SELECT graph_id, p, count(*) AS planned, count(*) FILTER (execution_valid) AS valid,
+ CASE WHEN bool_and(coalesce(reference_complete, false)) THEN count(*) FILTER (terminal_success) END AS successes, max(best_seen) FILTER (execution_valid) AS best_seen,
+ max(c_ref) - max(best_seen) FILTER (execution_valid) AS bias, count(*) FILTER (reference_complete AND top > c_ref) AS reference_exceeded_count FROM fx_deep_scored GROUP BY 1, 2""", "best_seen bias"),
+    Query("cmp14_reference_stability_by_depth", _deep_stability, f"""
+WITH b AS (SELECT t.graph_id, t.p, t.restart_id, CASE WHEN NOT ({FAULT}) THEN s.best_seen END AS b FROM fx_deep_tasks t LEFT JOIN fx_deep_selected s ON s.task_id = t.task_id WHERE t.p > 1),
+g AS (SELECT graph_id, p, max(b) FILTER (restart_id < 3) AS h1, max(b) FILTER (restart_id >= 3) AS h2, max(b) FILTER (restart_id < 4) AS b4, max(b) AS b6 FROM b GROUP BY 1, 2)
+SELECT g.graph_id, g.p, abs(h1 - h2)/c_star AS half_gap, (b6 - b4)/c_star AS last_prefix_gain, greatest(abs(h1 - h2), b6 - b4)/c_star > 0.1 AS stability_flag
+FROM g JOIN fx_cstar c ON c.graph_id = g.graph_id""", "half_gap last_prefix_gain"),
     Query("cmp14_reference_stability", _stability, f"""
 WITH p AS (SELECT t.graph_id, t.restart_id, CASE WHEN NOT ({FAULT}) THEN s.best_seen END AS b FROM fx_tasks t LEFT JOIN fx_selected s ON s.task_id = t.task_id),
 g AS (SELECT graph_id, max(b) FILTER (restart_id < 3) AS h1, max(b) FILTER (restart_id >= 3) AS h2, max(b) FILTER (restart_id < 4) AS b4, max(b) AS b6,
@@ -342,6 +429,17 @@ t AS (SELECT CASE WHEN graph_id%2 = 0 THEN 'even' ELSE 'odd' END AS batch, sum(v
 SELECT s.batch, count(*) AS planned, count(*) FILTER (execution_valid) AS valid, count(*) FILTER (missing) AS missing,
  count(*) FILTER (terminal_success) AS known_successes, bool_and(coalesce(reference_complete, false)) AS reference_complete,
  max(t.elapsed_seconds) AS elapsed_seconds FROM s JOIN t ON t.batch = s.batch GROUP BY 1""", "elapsed_seconds"),
+    Query("cmp17_bound_reports", _bound_reports, """
+WITH s AS (SELECT *, CASE WHEN graph_id%2 = 0 THEN 'even' ELSE 'odd' END AS batch FROM fx_scored),
+t AS (SELECT CASE WHEN graph_id%2 = 0 THEN 'even' ELSE 'odd' END AS batch, sum(value) AS elapsed_seconds FROM fx_terms WHERE metric = 'elapsed_seconds' GROUP BY 1),
+n AS (SELECT CASE WHEN graph_id%2 = 0 THEN 'even' ELSE 'odd' END AS batch, count(*) AS entries FROM (SELECT graph_id FROM fx_tasks UNION ALL SELECT graph_id FROM fx_selected
+  UNION ALL SELECT graph_id FROM fx_refs UNION ALL SELECT DISTINCT graph_id FROM fx_scored) GROUP BY 1)
+SELECT s.batch, count(*) AS planned, count(*) FILTER (execution_valid) AS valid, count(*) FILTER (missing) AS missing,
+ count(*) FILTER (terminal_success) AS known_successes, bool_and(coalesce(reference_complete, false)) AS reference_complete,
+ max(t.elapsed_seconds) AS elapsed_seconds, 5 AS artifacts, max(n.entries) AS entries FROM s JOIN t ON t.batch = s.batch JOIN n ON n.batch = s.batch GROUP BY 1""", "elapsed_seconds"),
+    Query("cmp17_altered_artifact", _altered_artifact, """
+SELECT 'odd' AS batch, a.artifact, CASE WHEN a.artifact = 'attempts' THEN 'changed' ELSE 'made_from' END AS problem, 'odd/attempts' AS cause, 'odd/attempts: changed' AS refused
+FROM (VALUES ('attempts'), ('references'), ('report')) a(artifact) WHERE EXISTS (SELECT 1 FROM fx_selected WHERE graph_id%2 = 1)"""),
     Query("cmp18_follow_up_summary", _follow_up, f"""
 WITH p AS (SELECT t.graph_id, t.restart_id, CASE WHEN NOT ({FAULT}) THEN s.best_seen END AS b FROM fx_tasks t LEFT JOIN fx_selected s ON s.task_id = t.task_id),
 g AS (SELECT graph_id, max(b) FILTER (restart_id < 3) AS h1, max(b) FILTER (restart_id >= 3) AS h2, max(b) FILTER (restart_id < 4) AS b4, max(b) AS b6 FROM p GROUP BY 1),
