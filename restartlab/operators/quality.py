@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from restartlab.functions import angles as A
 from restartlab.functions.scores import finite, is_fault
 
 
@@ -159,3 +160,32 @@ def prediction_problems(rows: DataFrame, tolerance: float = 1e-12) -> DataFrame:
              "unseen_fraction_out_of_range": ~F.col("unseen_type_fraction").between(0.0, 1.0)}
     names = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()]))
     return rows.select("graph_id", F.explode(names).alias("problem"))
+
+
+def witness_problems(stored: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, c_star, cut of every graph whose stored side mask does not cut the stored number of edges."""
+    bit = lambda v: F.call_function("shiftright", F.col("mask"), F.col(v).cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
+    cut = edges.join(stored.select("graph_id", "mask"), "graph_id").groupBy("graph_id").agg(F.sum((bit("u") != bit("v")).cast("bigint")).alias("cut"))
+    j = stored.select("graph_id", "c_star").join(cut, "graph_id", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    return j.where(~F.col("c_star").eqNullSafe(F.col("cut")))
+
+
+#: Features that may be undefined, and when they are.
+UNDEFINED = {"transitivity": "wedges = 0", "degree_assortativity": "degree_assortativity_missing = 1"}
+
+
+def null_problems(features: DataFrame) -> DataFrame:
+    """graph_id, feature, problem: a null where the value is defined, or a value where it is not."""
+    rules = [F.when(F.col(c).isNull() & ~F.expr(rule), F.struct(F.lit(c).alias("feature"), F.lit("null_without_reason").alias("problem")))
+             .when(F.col(c).isNotNull() & F.expr(rule), F.struct(F.lit(c).alias("feature"), F.lit("value_where_undefined").alias("problem"))) for c, rule in UNDEFINED.items()]
+    return features.select("graph_id", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("graph_id", "r.*")
+
+
+def angle_prediction_problems(rows: DataFrame, p: int, tolerance: float = 1e-9) -> DataFrame:
+    """id, problem of angle predictions (id, raw, anchor, theta, fallback): theta must be what raw decodes to, in range, with the fallback flag."""
+    told = rows.withColumn("__d", A.decode(F.col("raw"), F.col("anchor"), p))
+    far = F.size("theta") != 2 * p
+    apart = far | (A.quotient_distance(F.col("theta"), F.col("__d.theta"), p) > tolerance)
+    outside = F.exists("theta", lambda x: ~finite(x)) | (F.array_max(F.transform("theta", lambda x, i: F.abs(x) - F.when(i < p, A.GAMMA_PERIOD / 2).otherwise(A.BETA_PERIOD / 2))) > tolerance)
+    rules = [F.when(apart, F.lit("angle_is_not_decoded_raw")), F.when(outside, F.lit("angle_out_of_range")), F.when(F.col("fallback") != F.col("__d.fallback"), F.lit("fallback_differs"))]
+    return told.select("id", F.explode(F.array_compact(F.array(*rules))).alias("problem"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from restartlab.functions import angles as A
 from restartlab.functions.scores import hex_mod, is_fault
 from restartlab.operators import graphs as G, quality as Q, scoring as S
 from restartlab.operators.planning import split_selection
 from restartlab.plans.fixtures import FIXTURE_SQL, Catalog
-from restartlab.plans.graphs import features, sizes, types
+from restartlab.plans.graphs import edge_lists, features, sizes, types
 from restartlab.plans.pools import cell_grid, shots
 from restartlab.plans.query import Query
 from restartlab.plans.scoring import FAULT, references, selected
@@ -82,6 +83,38 @@ def _library_audit(cat: Catalog) -> DataFrame:
     return tag(drift, "feature_drift").unionByName(tag(alone, "disconnected")).unionByName(tag(splits, "split_consistency"))
 
 
+def _witnesses(cat: Catalog) -> DataFrame:
+    """Best cuts as a library stores them; every 89th number is one too high."""
+    best = G.exact_max_cut(edge_lists(cat)).select("graph_id", (F.col("c_star") + F.when(F.col("graph_id") % 89 == 0, 1).otherwise(0)).alias("c_star"), "mask")
+    return Q.witness_problems(best, cat.edges()).select("graph_id", F.col("c_star").cast("bigint").alias("c_star"), "cut")
+
+
+def _null_rules(cat: Catalog) -> DataFrame:
+    """Stored features with nulls and values in wrong places."""
+    g = F.col("graph_id")
+    rows = features(cat).withColumns({"transitivity": F.when(g % 101 != 0, F.col("transitivity")),
+                                      "degree_assortativity": F.when((F.col(G.MISSING_FLAG) == 1) & (g % 2 == 0), F.lit(0.0)).otherwise(F.col("degree_assortativity"))})
+    return Q.null_problems(rows)
+
+
+def _parity_audit(cat: Catalog) -> DataFrame:
+    """Stored degree parity against the topology."""
+    truth = features(cat).select("graph_id", "degree_parity")
+    wrong = F.when(F.col("degree_parity") == "even", "odd").otherwise("even")
+    stored = truth.withColumn("degree_parity", F.when(F.col("graph_id") % 59 == 0, wrong).otherwise(F.col("degree_parity")))
+    return Q.column_mismatches(stored, truth, ["graph_id"], ["degree_parity"])
+
+
+def _angle_predictions(cat: Catalog) -> DataFrame:
+    """Decoded angles as they are stored, some of them moved or with the wrong fallback flag."""
+    raw = F.transform(F.slice("embedding", 5, 8), lambda x: x.cast("double"))
+    anchor = F.array(*[F.lit(x) for x in (0.25, -0.5, 0.125, 0.375)])
+    rows = cat.table("embeddings").select(F.col("vec_id").alias("id"), raw.alias("raw"), anchor.alias("anchor"))
+    rows = rows.withColumn("d", A.decode(F.col("raw"), F.col("anchor"), 2))
+    moved = F.transform("d.theta", lambda x, i: x + F.when((F.col("id") % 47 == 0) & (i == 1), 0.01).otherwise(0.0))
+    return Q.angle_prediction_problems(rows.select("id", "raw", "anchor", moved.alias("theta"), (F.col("d.fallback") != (F.col("id") % 61 == 0)).alias("fallback")), 2)
+
+
 def _design(cat: Catalog) -> DataFrame:
     grid = cell_grid(cat).where("family <> 'AFRICA'").unionByName(
         cell_grid(cat).where("family = 'ASIA'").withColumn("cell", F.concat(F.col("cell"), F.lit("-extra"))))
@@ -312,6 +345,16 @@ WITH RECURSIVE reach(graph_id, x, y) AS (
 SELECT 'feature_drift' AS check, count(*) AS violations FROM fx_graphs WHERE graph_id%97 = 0
 UNION ALL SELECT 'disconnected', count(*) FROM (SELECT graph_id FROM reach WHERE x = 0 GROUP BY 1 HAVING count(*) < 12)
 UNION ALL SELECT 'split_consistency', 0"""),
+    Query("flt11_cut_witness", _witnesses, """
+SELECT graph_id, CAST(max(cut) + 1 AS BIGINT) AS c_star, CAST(max(cut) AS BIGINT) AS cut FROM (
+ SELECT g.graph_id, list_sum([xor((m.k*2 >> e.u) & 1, (m.k*2 >> e.v) & 1) FOR e IN g.edges]) AS cut
+ FROM (SELECT graph_id, list({'u': u, 'v': v}) AS edges FROM fx_edges WHERE graph_id%89 = 0 GROUP BY 1) g CROSS JOIN range(2048) m(k)) GROUP BY 1"""),
+    Query("flt11_null_rules", _null_rules, """
+SELECT graph_id, 'transitivity' AS feature, 'null_without_reason' AS problem FROM fx_features WHERE graph_id%101 = 0 AND wedges > 0
+UNION ALL SELECT graph_id, 'degree_assortativity', 'value_where_undefined' FROM fx_features WHERE degree_assortativity IS NULL AND graph_id%2 = 0"""),
+    Query("flt13_parity_audit", _parity_audit, "SELECT DISTINCT graph_id, 'degree_parity' AS column FROM fx_edges WHERE graph_id%59 = 0"),
+    Query("flt16_angle_predictions", _angle_predictions, """
+SELECT vec_id AS id, 'angle_is_not_decoded_raw' AS problem FROM embeddings WHERE vec_id%47 = 0 UNION ALL SELECT vec_id, 'fallback_differs' FROM embeddings WHERE vec_id%61 = 0"""),
     Query("flt12_design_issues", _design, """
 WITH k AS (SELECT count(*) AS graphs, count(*) FILTER (tier = 2) AS tier2, count(*) FILTER (graph_split = 'training') AS training,
   count(*) FILTER (graph_split = 'evaluation') AS evaluation FROM fx_graphs),
