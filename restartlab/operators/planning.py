@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from restartlab.functions.ranks import bucketed_row_number
-from restartlab.functions.scores import content_id, seed_rank, unit_uniform
+from restartlab.functions.scores import finite, content_id, seed_rank, unit_uniform
 from restartlab.session import cut_lineage
 
 
@@ -104,14 +104,39 @@ def expand_tasks(graphs: DataFrame, depths: Sequence[int], counts: dict[str, int
 
 
 def warm_plan(starts: DataFrame, references: DataFrame) -> DataFrame:
-    """One task per start, bound to its frozen reference; a start without complete reference is not bound."""
-    refs = references.select("graph_id", content_id("c_ref", "graph_id").alias("reference_id"), "complete")
-    rows = starts.join(refs, "graph_id", "left")
+    """One task per start, bound to its frozen reference; a start without complete reference is not bound.
+
+    References that name a depth are bound at their depth only.
+    """
+    keys = ["graph_id", "p"] if "p" in references.columns else ["graph_id"]
+    refs = references.select(*keys, content_id("c_ref", *keys).alias("reference_id"), "complete")
+    rows = starts.join(refs, keys, "left")
     ready = F.coalesce(F.col("complete"), F.lit(False))
     return rows.withColumns({"bound": ready, "reference_id": F.when(ready, F.col("reference_id"))}).withColumn(
         "task_id", content_id("graph_id", "p", "reference_id", "variant")).drop("complete")
 
 
+def learned_starts(predictions: DataFrame) -> DataFrame:
+    """graph_id, p, variant, theta0 of predicted angles (graph_id, p, theta); predictions that are not finite or of another depth start nothing."""
+    good = (F.size("theta") == 2 * F.col("p")) & F.forall("theta", finite)
+    return predictions.where(F.coalesce(good, F.lit(False))).select("graph_id", "p", F.lit("learned").alias("variant"), F.col("theta").alias("theta0"))
+
+
+def freeze_plan(starts: DataFrame, references: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """One row per graph of a plan: its starts, which kinds it lacks, its reference, and the id that all of it is frozen under.
+
+    A graph is frozen only with a complete reference and every kind of start; the
+    id is a digest of the reference and of all start ids, so either cannot change unseen.
+    """
+    per = starts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("starts"), F.collect_set("initialization").alias("has"), F.array_sort(F.collect_list("start_id")).alias("ids"))
+    refs = references.select("graph_id", content_id("c_ref", "graph_id").alias("reference_id"), F.col("complete").alias("reference_bound"))
+    j = per.join(refs, "graph_id", "left").withColumn("reference_bound", F.coalesce("reference_bound", F.lit(False)))
+    lacks = F.array_sort(F.array_except(F.array(*map(F.lit, kinds)), F.col("has")))
+    ok = F.col("reference_bound") & (F.size(lacks) == 0)
+    return j.select("graph_id", "starts", F.array_join(lacks, ",").alias("lacks"), "reference_bound", ok.alias("frozen"),
+                    F.when(ok, F.sha2(F.concat_ws("|", F.col("reference_id"), F.concat_ws(",", F.col("ids").cast("array<string>"))), 256)).alias("freeze_id"))
+
+
 def equal_coverage(tasks: DataFrame, spec: Sequence[str]) -> DataFrame:
     """Distinct conditions per graph, and whether every graph has the same number."""
     per = tasks.groupBy("graph_id").agg(F.count_distinct(*spec).alias("specs"), F.count(F.lit(1)).alias("tasks"))

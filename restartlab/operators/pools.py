@@ -178,14 +178,13 @@ def design_counts(graphs: DataFrame, depths: Sequence[int], tier1: int, referenc
     return agg.select(F.explode(F.array(*[F.struct(F.lit(k).alias("role"), v.cast("bigint").alias("tasks")) for k, v in rows])).alias("r")).select("r.*")
 
 
-def coverage_tables(graphs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Split counts by size, family, degree band and cell; cells without graphs stay as zeros."""
+def coverage_tables(graphs: DataFrame, cells: DataFrame, dims: Sequence[str] = ("n", "family", "degree_band", "cell")) -> DataFrame:
+    """Split counts by size, family, degree band, cell and any other column of ``cells``; cells without graphs stay as zeros."""
     counts = graphs.groupBy("cell").agg(
         *[F.count_if(F.col("graph_split") == s).alias(s) for s in ("training", "evaluation", "not_applicable")],
         F.count_if(F.col("tier") == 2).alias("tier2"), F.count(F.lit(1)).alias("total"))
     names = ("training", "evaluation", "not_applicable", "tier2", "total")
     j = cells.join(counts, "cell", "left").na.fill(0, list(names))
-    dims = ("n", "family", "degree_band", "cell")
     sets = j.groupingSets([[F.col(c)] for c in dims], *[F.col(c) for c in dims]).agg(*[F.sum(c).alias(c) for c in names])
     dimension = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(f"by_{c}")) for c in dims])
     return sets.select(dimension.alias("dimension"), F.coalesce(*[F.col(c).cast("string") for c in dims]).alias("value"), *names)

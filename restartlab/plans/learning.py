@@ -252,6 +252,13 @@ def _run_missing(cat: Catalog) -> DataFrame:
     return out.withColumn("theta", F.transform("theta", lambda x: F.round(x, 6)))
 
 
+def angle_predictions(cat: Catalog) -> DataFrame:
+    """graph_id, p, theta: what the stored angle models of group F, fitted on all training graphs, say of the evaluation graphs."""
+    models = batch_models(cat).where("regime = 'random' and feature_group = 'F' and shuffle_seed is null and head = 'angles'")
+    targets = evaluation(cat).select("graph_id", "family").join(FB.sparse_rows(features(cat, True), types(cat)), "graph_id")
+    return FB.predict(targets, models).select("graph_id", "p", "theta")
+
+
 def _batch_audit(cat: Catalog) -> DataFrame:
     """The grid against the stored models: missing, twice, not finite, of the wrong shape, or not from every training graph held out once."""
     rows = batch_rows(cat)

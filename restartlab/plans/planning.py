@@ -61,6 +61,27 @@ def _warm(cat: Catalog) -> DataFrame:
     return L.warm_plan(starts, references(cat)).select("graph_id", "p", "variant", "bound")
 
 
+def graph_references(cat: Catalog) -> DataFrame:
+    """References of the study graphs at two depths; a quarter of them is incomplete."""
+    lab = cat.labels().select("graph_id", F.col("successes").cast("double").alias("c_ref"), F.col("trials"))
+    deep = lab.withColumn("p", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    return deep.select("graph_id", "p", (F.col("c_ref") + F.col("p")).alias("c_ref"), ((F.col("trials") + F.col("p")) % 4 != 0).alias("complete"))
+
+
+def _learned_plan(cat: Catalog) -> DataFrame:
+    """Warm starts from the stored angle models of the full group, one per evaluation graph and depth, bound to references of their depth."""
+    from restartlab.plans.learning import angle_predictions
+
+    told = L.learned_starts(angle_predictions(cat))
+    return L.warm_plan(told, graph_references(cat)).select("graph_id", "p", "variant", "bound", F.col("reference_id").isNotNull().alias("has_reference"))
+
+
+def _bound_freeze(cat: Catalog) -> DataFrame:
+    refs = graph_references(cat).where("p = 2").drop("p")
+    kinds = [r[0] for r in starts(cat).select("initialization").distinct().limit(20).collect()]
+    return L.freeze_plan(starts(cat), refs, kinds).select("graph_id", "starts", "lacks", "reference_bound", "frozen", F.col("freeze_id").isNotNull().alias("has_id"))
+
+
 def _transfer(cat: Catalog) -> DataFrame:
     base = cat.tasks().select("graph_id", F.concat_ws("-", "experiment_role", "restart_id").alias("spec"))
     warm = _warm(cat).select("graph_id", F.concat_ws("-", "variant", "p").alias("spec"))
@@ -309,6 +330,12 @@ FROM fx_planned CROSS JOIN range(4) r(i) WHERE r.i < 2*p AND kind <> 'p1_grid'""
     Query("pln2_warm_plan", _warm, """
 SELECT u.graph_id, p.p, v.v AS variant, r.complete AS bound FROM (SELECT DISTINCT graph_id FROM fx_tasks) u CROSS JOIN range(1, 3) p(p)
 CROSS JOIN (VALUES ('medoid'), ('aligned_median'), ('rule')) v(v) JOIN fx_refs r ON r.graph_id = u.graph_id"""),
+    Query("pln2_learned_plan", _learned_plan, """
+SELECT g.graph_id, p.p, 'learned' AS variant, (l.trials + p.p)%4 <> 0 AS bound, (l.trials + p.p)%4 <> 0 AS has_reference
+FROM fx_graphs g JOIN fx_labels l ON l.graph_id = g.graph_id CROSS JOIN range(1, 3) p(p) WHERE g.tier = 2 AND g.graph_split = 'evaluation'"""),
+    Query("pln5_bound_freeze", _bound_freeze, """
+SELECT s.graph_id, count(*) AS starts, '' AS lacks, (max(l.trials) + 2)%4 <> 0 AS reference_bound, (max(l.trials) + 2)%4 <> 0 AS frozen, (max(l.trials) + 2)%4 <> 0 AS has_id
+FROM fx_starts s JOIN fx_labels l ON l.graph_id = s.graph_id GROUP BY 1"""),
     Query("pln3_transfer_plan", _transfer, """
 SELECT count(DISTINCT graph_id) AS graphs, 12 AS min_specs, 12 AS max_specs, count(DISTINCT graph_id)*12 AS tasks, true AS equal FROM fx_tasks"""),
     Query("pln4_shot_plan", _shot_rows, "SELECT graph_id, initialization, variant, repetition, method, mode, level, task_id FROM fx_shotplan"),

@@ -249,6 +249,11 @@ u AS (SELECT 'by_n' AS dimension, n::VARCHAR AS value, j.* FROM j UNION ALL SELE
   UNION ALL SELECT 'by_degree_band', degree_band::VARCHAR, j.* FROM j UNION ALL SELECT 'by_cell', cell, j.* FROM j)
 SELECT dimension, value, count(*) FILTER (graph_split = 'training') AS training, count(*) FILTER (graph_split = 'evaluation') AS evaluation,
   count(*) FILTER (graph_split = 'not_applicable') AS not_applicable, count(*) FILTER (tier = 2) AS tier2, count(graph_id) AS total FROM u GROUP BY 1, 2"""),
+    Query("agg20_generation_groups", lambda c: P.coverage_tables(
+        c.graphs(), cell_grid(c).withColumn("generation", F.when(F.col("family").isin("ASIA", "EUROPE"), "added").otherwise("original")), ("generation",)), """
+WITH cells AS (SELECT CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'added' ELSE 'original' END AS generation, concat('n12:', r_name, ':k', b) AS cell FROM region CROSS JOIN (VALUES (3), (5)) v(b))
+SELECT 'by_generation' AS dimension, generation AS value, count(*) FILTER (graph_split = 'training') AS training, count(*) FILTER (graph_split = 'evaluation') AS evaluation,
+  count(*) FILTER (graph_split = 'not_applicable') AS not_applicable, count(*) FILTER (tier = 2) AS tier2, count(graph_id) AS total FROM cells c LEFT JOIN fx_graphs g ON g.cell = c.cell GROUP BY 2"""),
     Query("agg20_coverage_status", lambda c: P.coverage_status(P.coverage_tables(c.graphs(), cell_grid(c))), """
 SELECT count(*) AS cells, count(*) FILTER (t = 0 OR e = 0) AS short_cells, count(*) FILTER (t = 0 OR e = 0) > 0 AS smoke_test FROM (
  SELECT c.cell, count(*) FILTER (g.graph_split = 'training') AS t, count(*) FILTER (g.graph_split = 'evaluation') AS e
