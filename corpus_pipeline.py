@@ -17,18 +17,31 @@ from restartlab.llm.queries import KEY, TOKENIZER
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 2000  # rows of whole texts that a Python worker and its executor hold at once
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let Arrow batches of texts be small: several workers of several stages stand side by side in an executor."""
+    if int(spark.conf.get(BATCH)) > ROWS:
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, null texts and texts without a likely language go."""
+    bounded(spark)
     return language.keep_known(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with 80 % of their five-word shingles in common the one with the smallest id stays."""
+    bounded(spark)
     return near_dup.keep_one(docs, shingle=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
+    bounded(spark)
     return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -39,6 +52,7 @@ def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces, n_pieces, lossless of every document that is left."""
+    bounded(spark)
     return pieces.encode(docs, TOKENIZER)
 
 
