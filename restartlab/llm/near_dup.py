@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from restartlab.llm.common import MIX, apart, components, hashed_words, lowered, mix64, parts, perhaps_in, stored
+from restartlab.llm.common import MIX, apart, components, hashed_words, let_go, lowered, mix64, parts, perhaps_in, stored
 
 SLOTS = 5  # slots of a chunk; one of them may differ
 
@@ -109,7 +109,7 @@ def _linked(percent: int):
         owner, column = owner[order], column[order]
         column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
         a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if key[1] != key[2] else (np.arange(len(ids)),) * 2
-        common = np.zeros((len(a), len(b)), np.float32)
+        common, grid = np.zeros((len(a), len(b)), np.float32), None
         width = 4096
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             lo, hi = np.searchsorted(column, (at, at + width))
@@ -131,6 +131,9 @@ def _linked(percent: int):
             if x != y:
                 root[max(x, y)] = min(x, y)
                 found.append((int(ids[a[i]]), int(ids[b[j]])))
+        if len(every) > 100_000:
+            del sets, every, owner, column, shared, order, grid, common, both, near
+            let_go()
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
