@@ -23,7 +23,7 @@ ROWS = 2000  # rows of whole texts that a Python worker and its executor hold at
 
 def bounded(spark: SparkSession) -> None:
     """Let Arrow batches of texts be small: several workers of several stages stand side by side in an executor."""
-    if int(spark.conf.get(BATCH)) > ROWS:
+    if not 0 < int(spark.conf.get(BATCH)) <= ROWS:  # 0 and less stand for no bound
         spark.conf.set(BATCH, str(ROWS))
 
 
