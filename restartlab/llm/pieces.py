@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -11,7 +12,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from restartlab.llm.common import MIX, mix64, parts
+from restartlab.llm.common import MIX, let_go, mix64, parts
 
 GAP = "▁"  # how a space is written inside pieces
 
@@ -39,9 +40,17 @@ class Vocabulary:
             if len(names[i]) == 1 and names[i] != GAP:
                 self.code[ord(names[i])] = i
         self.code[32] = self.ids.get(GAP, -1)
-        made = [(self.ids[p[:k]] * count + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
-        made.sort()
-        self.pair, self.result = np.array([m[0] for m in made] or [-1], np.int64), np.array([m[1] for m in made] or [0], np.int32)
+        pairs, results = array("q"), array("i")
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                left, right = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if left is not None and right is not None:
+                    pairs.append(left * count + right)
+                    results.append(i)
+        order = np.argsort(np.array(pairs, np.int64), kind="stable")
+        self.pair, self.result = np.array(pairs, np.int64)[order], np.array(results, np.int32)[order]
+        if not len(self.pair):
+            self.pair, self.result = np.array([-1], np.int64), np.array([0], np.int32)
         self.order = np.full(count, np.inf, np.float32)
         self.order[plain] = [self.rank[names[i]] for i in plain]
         self.count = count
@@ -52,6 +61,8 @@ class Vocabulary:
             raise ValueError("a piece spans a letter and a following space; units would not be independent")
         if 0 in self.byte_ids:
             raise ValueError("the model has no byte pieces, so decoding could not be lossless")
+        del model, names
+        let_go()
 
     def segment(self, unit: str, dropout: float, seed: int) -> list[int]:
         """Ids of one unit. Candidate merges leave the agenda by rank, then from left to right.
