@@ -214,7 +214,7 @@ class Encoder:
     skips none of these merges has those ids; all others are segmented anew.
     """
 
-    def __init__(self, path: str, dropout: float, seed: int, cached: int = 200_000, short: int = 64):
+    def __init__(self, path: str, dropout: float, seed: int, cached: int = 100_000, short: int = 64):
         self.words, self.dropout, self.seed, self.short, self.cached = Vocabulary(path), dropout, seed, short, cached
         self._forget()
 
@@ -323,7 +323,7 @@ class Encoder:
 def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path, dropout, seed)
-        for part in parts(batches, "text"):
+        for part in parts(batches, "text", 250_000):
             texts = [t or "" for t in part["text"].tolist()]
             ids, counts = encoder.encode(texts, [xxhash.xxh3_64_intdigest(str(d)) for d in part["doc_id"].tolist()])
             same = [a == b for a, b in zip(encoder.words.decode_all(ids, counts.tolist()), texts)]
