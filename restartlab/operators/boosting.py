@@ -275,7 +275,7 @@ def node_rows(spark: SparkSession, trees: list, plan: Plan, cuts: list[list[floa
                 split = int(feature[m, node])
                 limit = None if split < 0 else cuts[split][int(cut[m, node])]
                 out.append((plan.fits[f], d, t, int(node), None if split < 0 else split, limit, float(value[m, node]), int(cover[m, node])))
-    return spark.createDataFrame(pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"feature": "Int64"}), NODES)
+    return spark.createDataFrame(out, NODES)  # plain rows: nulls of a pandas column become floats where Arrow is off
 
 
 def path_attributions(rows: DataFrame, key: str, values: Column, nodes: DataFrame, base: Column) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def checkpointed_rdd(spark: SparkSession, rdd: RDD) -> None:
+    """The same for an RDD that is cached already: computed, written and cut off from what it came from."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    rdd.checkpoint()
+    rdd.count()
