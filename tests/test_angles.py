@@ -87,6 +87,32 @@ def test_clusters_with_ties_and_distances_at_the_threshold(spark):
         assert found[0] == found[1] and len(found[0]) == len(values)
 
 
+def test_clusters_of_a_pool_in_many_blocks_keep_no_pairs(spark, monkeypatch):
+    """Steps of growing limits over blocks that see each other's borders: the sequential result, and no pair is a row."""
+    rng = np.random.default_rng(5)
+    values, periods, threshold = rng.normal(0, 1.5, (700, 4)), np.array([2 * math.pi] * 2 + [math.pi] * 2), 0.7
+    fold = np.abs(values[:, None] - values[None]) % periods
+    d = np.sqrt((np.minimum(fold, periods - fold) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    expected = np.arange(len(values))
+    while d.min() <= threshold:
+        a, b = sorted(np.unravel_index(d.argmin(), d.shape))
+        d[a] = d[:, a] = np.maximum(d[a], d[b])
+        d[b] = d[:, b] = d[a, a] = np.inf
+        expected[expected == b] = a
+    kept, cut = [], O.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(O, "cut_lineage", counted)
+    rows = O.endpoint_clusters(points(spark, values), ["pool"], "item", 2, threshold, small=100).collect()
+    assert {r["item"]: r["cluster_id"] for r in rows} == dict(enumerate(expected))
+    assert max(kept) <= len(values)  # no table of pairs
+
+
 def test_label_tie_rule(spark):
     """Anchor zero, even parity: opposite lifts tie; the smaller coordinate wins."""
     df = points(spark, [[math.pi / 2, 0.0, 0.1, 0.0], [0.0, 0.0, 0.2, 0.0]])
