@@ -51,6 +51,23 @@ def test_medoid_with_blocks_and_copies(spark):
     assert {r["item"]: r["distance_sum"] for r in small} == pytest.approx(dict(enumerate(sums)))
 
 
+def test_meetings_of_blocks_reach_tasks_a_few_at_a_time(spark, monkeypatch):
+    """What a task holds does not grow with the pool: one block against another is one row, and a task gets about sixteen."""
+    values, sizes, dealt = np.random.default_rng(7).uniform(-3, 3, (300, 4)), [], O._dealt
+
+    def watched(rows, count, share=16):
+        out = dealt(rows, count, share)
+        sizes.append(max(out.rdd.glom().map(len).collect()))
+        return out
+
+    monkeypatch.setattr(O, "_dealt", watched)
+    weighted = points(spark, values).withColumn("weight", F.lit(1.0))
+    rows = {r["item"]: r["distance_sum"] for r in O.distance_sums(weighted, ["pool"], "item", 2, block=10).collect()}
+    canonical = [sum(quotient(a, b) for b in values) for a in values]
+    assert rows == pytest.approx(dict(enumerate(canonical)))
+    assert sizes and max(sizes) <= 32
+
+
 def brute_clusters(values, threshold, periods):
     d = np.array([[np.linalg.norm(np.minimum(np.abs(a - b) % periods, periods - np.abs(a - b) % periods)) for b in values] for a in values])
     groups = [[i] for i in range(len(values))]
