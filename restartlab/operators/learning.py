@@ -75,12 +75,13 @@ def impute(rows: DataFrame, median: str = "__median") -> DataFrame:
     return rows.withColumn(IMPUTED, F.coalesce(IMPUTED, F.coalesce(F.col(median), F.lit(0.0))))
 
 
-def standardised(rows: DataFrame, prep: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows with ``z``: imputed, centred, scaled; constant columns are zero."""
+def standardised(rows: DataFrame, prep: DataFrame, names: Sequence[str], unknown: float | None = 0.0) -> DataFrame:
+    """Rows with ``z``: imputed, centred, scaled; constant columns are zero, an undefined value is ``unknown``."""
     j = impute(rows.join(F.broadcast(prep), "fit"), "median")
     raw = F.array(*[F.col(c).cast("double") for c in names])
-    scaled = F.zip_with(F.zip_with(raw, "mean", lambda x, m: x - m), F.zip_with("std", "constant", lambda s, k: F.when(k, F.lit(None)).otherwise(s)),
-                        lambda d, s: F.coalesce(d / s, F.lit(0.0)))
+    scale = F.zip_with("std", "constant", lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+    scaled = F.zip_with(F.zip_with(raw, "mean", lambda x, m: x - m), scale,
+                        lambda d, c: F.when(c["k"], F.lit(0.0)).otherwise(F.coalesce(d / c["s"], F.lit(unknown).cast("double"))))
     return j.withColumn("z", scaled).drop("mean", "std", "constant", "median", "rows")
 
 
@@ -160,7 +161,7 @@ def angle_targets(points: DataFrame, anchors: DataFrame, p: int) -> DataFrame:
 
 
 def linear_attributions(rows: DataFrame, models: DataFrame, output: int = 0) -> DataFrame:
-    """Exact additive contributions of a linear model: coefficient times standardised value."""
+    """Exact additive contributions of a linear model: coefficient times standardised value, null where the value is."""
     j = rows.join(F.broadcast(models), "fit")
     parts = F.zip_with(F.col("coef")[output], F.col("z"), lambda a, b: a * b)
     return j.select("graph_id", F.col("intercept")[output].alias("bias"), F.posexplode(parts).alias("feature", "contribution"))
