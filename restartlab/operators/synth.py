@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from restartlab.functions.binding import let
 from restartlab.functions.ranks import bucketed_row_number
 from restartlab.functions.scores import unit_uniform
-from restartlab.operators.graphs import isomorphism_classes
+from restartlab.operators.graphs import class_representatives
+from restartlab.session import cut_lineage
 
 EDGE = "array<struct<u:bigint,v:bigint>>"
 # fixed value: attachments per new vertex for each target degree of the growth family
@@ -47,12 +48,13 @@ def two_blocks() -> Column:
 
 def near_points() -> Column:
     """Points in the unit square, joined below the cell's radius."""
-    def close(e: Column) -> Column:
-        dx = _u(F.lit("x"), e["u"]) - _u(F.lit("x"), e["v"])
-        dy = _u(F.lit("y"), e["u"]) - _u(F.lit("y"), e["v"])
-        return F.hypot(dx, dy) < F.col("radius")
+    def within(points: Column) -> Column:
+        return F.filter(_pairs(), lambda e: F.hypot(
+            F.get(points, e["u"].cast("int"))["x"] - F.get(points, e["v"].cast("int"))["x"],
+            F.get(points, e["u"].cast("int"))["y"] - F.get(points, e["v"].cast("int"))["y"]) < F.col("radius"))
 
-    return F.filter(_pairs(), close)
+    vertices = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+    return let(F.transform(vertices, lambda v: F.struct(_u(F.lit("x"), v).alias("x"), _u(F.lit("y"), v).alias("y"))), within)
 
 
 def paired_stubs() -> Column:
@@ -82,13 +84,16 @@ def rewired_ring() -> Column:
         F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.struct(i.alias("i"), ((i + j) % n).alias("t")))))
     start = F.transform(ring, lambda r: _edge(r["i"], r["t"]))
 
+    # the hashes of an edge are taken once, before the moves
+    moves = F.transform(ring, lambda r: F.struct(r["i"].alias("i"), _edge(r["i"], r["t"]).alias("old"), _u(F.lit("rewire"), r["i"], r["t"]).alias("chance"),
+                                                 F.floor(_u(F.lit("target"), r["i"], r["t"]) * n).alias("far")))
+
     def move(edges: Column, r: Column) -> Column:
-        far = F.floor(_u(F.lit("target"), r["i"], r["t"]) * n)
-        old, new = _edge(r["i"], r["t"]), _edge(r["i"], far)
-        go = (_u(F.lit("rewire"), r["i"], r["t"]) < F.col("rewiring")) & (far != r["i"]) & ~F.array_contains(edges, new)
-        return F.when(go, F.concat(F.array_remove(edges, old), F.array(new))).otherwise(edges)
+        new = _edge(r["i"], r["far"])
+        go = (r["chance"] < F.col("rewiring")) & (r["far"] != r["i"]) & ~F.array_contains(edges, new)
+        return F.when(go, F.concat(F.array_remove(edges, r["old"]), F.array(new))).otherwise(edges)
 
-    return F.aggregate(ring, start, move)
+    return F.aggregate(moves, start, move)
 
 
 def growing() -> Column:
@@ -139,8 +144,7 @@ def draw_graphs(draws: DataFrame) -> DataFrame:
 def fill_quotas(drawn: DataFrame, quota: int) -> DataFrame:
     """Draw log: connected draws lose isomorphic copies of earlier ones, then each cell keeps its first ``quota``."""
     good = drawn.where("status = 'connected'")
-    edges = good.select("graph_id", F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v")
-    classes = isomorphism_classes(edges, good.select("graph_id", "n")).select("graph_id", "representative")
+    classes = cut_lineage(class_representatives(good.select("graph_id", "n", "edges")))
     owners = good.join(classes, "graph_id").where("graph_id = representative").select("graph_id", "cell")
     ranked = bucketed_row_number(owners, ["cell"], F.floor(F.col("graph_id") / 1000), [F.col("graph_id")], "rank").select("graph_id", "rank")
     log = drawn.join(classes, "graph_id", "left").join(ranked, "graph_id", "left")
