@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from restartlab.functions.ranks import join_sized
+from restartlab.session import cut_lineage
 
 BLOCK = 16384
 FAN = 512  # blocks of a super-block
@@ -42,8 +43,9 @@ def draw_sums(rows: DataFrame, group: Sequence[str], stratum: Sequence[str], ite
     if alone:
         rows, group = rows.withColumn("__all", F.lit(1)), ["__all"]
     keys = [*group, *stratum]
+    rows = cut_lineage(rows.select(*keys, item, *metrics))  # read several times below: written once
     sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    placed = join_sized(rows.select(*keys, item, *metrics), sized, keys, "__n")
+    placed = join_sized(rows, sized, keys, "__n")
     placed = placed.withColumn("__block", F.pmod(F.xxhash64(item), F.greatest(F.lit(1), F.ceil(F.col("__n") / block))).cast("int"))
     over = F.floor(F.col("__block") / FAN).cast("int").alias("__super")
     blocks = (placed.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__k")).groupBy(*keys, over)

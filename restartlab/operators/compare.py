@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from restartlab.functions.scores import finite, known, mean_if_all_known, wilson_lower, wilson_upper
 from restartlab.operators.bootstrap import draw_sums, interval
+from restartlab.session import cut_lineage
 
 
 def metric_rows(pairs: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -164,45 +165,48 @@ CONTRASTS = tuple((band, family) for band in (3, 5) for family in ("regular", "b
 TERMS = (*(f"n{n}_band{b}" for n, b in STRATA), *(f"{f}_minus_er_band{b}" for b, f in CONTRASTS), "actual_degree_centered")
 
 
-def family_design(rows: DataFrame, outcomes: Sequence[str], quadratic: bool = False) -> tuple[DataFrame, list[str]]:
-    """Design columns x0.. (stratum intercepts, family contrasts, centred degree) beside the outcomes."""
+def family_design(rows: DataFrame, outcomes: Sequence[str]) -> DataFrame:
+    """graph_id, the stratum, the degree ``d`` centred on its size and band, and the outcomes."""
     known_stratum = F.array_contains(F.array(*[F.lit(f"{n}:{b}") for n, b in STRATA]), F.concat_ws(":", "n", "degree_band"))
     rows = rows.withColumn("n", F.when(known_stratum, F.col("n")).otherwise(F.raise_error(F.lit("graph outside the design strata")).cast("bigint")))
     centres = rows.groupBy("n", "degree_band").agg(F.avg("mean_degree").alias("__centre"))
     j = rows.join(F.broadcast(centres), ["n", "degree_band"])  # eight strata at most
-    cols = [((F.col("n") == n) & (F.col("degree_band") == b)).cast("double") for n, b in STRATA]
-    cols += [((F.col("family") == f) & (F.col("degree_band") == b)).cast("double") for b, f in CONTRASTS]
-    centred = F.col("mean_degree") - F.col("__centre")
-    cols.append(centred)
-    names = list(TERMS)
-    if quadratic:
-        cols.append(centred * centred)
-        names.append("actual_degree_centered_squared")
-    return j.select("graph_id", "n", "family", "degree_band", *[c.alias(f"x{i}") for i, c in enumerate(cols)], *outcomes), names
+    return j.select("graph_id", "n", "family", "degree_band", (F.col("mean_degree") - F.col("__centre")).alias("d"), *outcomes)
+
 
+def _moments(outcomes: Sequence[str], top: int) -> dict[str, Column]:
+    """What the normal equations need of a graph: inside a stratum every design column is a constant or a power of ``d``."""
+    power = [F.lit(1.0), F.col("d"), F.col("d") * F.col("d")]
+    out = {f"d{p}": power[p // 2] * power[p - p // 2] for p in range(1, 2 * top + 1)}
+    return out | {f"y{p}_{o}": power[p] * F.col(outcome) for p in range(top + 1) for o, outcome in enumerate(outcomes)}
 
-def _products(design: DataFrame, width: int, outcomes: Sequence[str]) -> tuple[list[Column], list[str]]:
-    cols, names = [], []
-    for i in range(width):
-        for k in range(i, width):
-            names.append(f"g{i}_{k}")
-            cols.append((F.col(f"x{i}") * F.col(f"x{k}")).alias(names[-1]))
-        for o, outcome in enumerate(outcomes):
-            names.append(f"h{i}_{o}")
-            cols.append((F.col(f"x{i}") * F.col(outcome)).alias(names[-1]))
-    return cols, names
+
+def _normal_sums(strata: DataFrame, outcomes: Sequence[str], quadratic: bool) -> tuple[DataFrame, int, list[str]]:
+    """Sums of products of design columns per draw, from the moments of its strata; width and terms of the design."""
+    terms = list(TERMS)
+    design = [(((F.col("n") == n) & (F.col("degree_band") == b)).cast("double"), 0) for n, b in STRATA]
+    design += [(((F.col("family") == f) & (F.col("degree_band") == b)).cast("double"), 0) for b, f in CONTRASTS]
+    design.append((F.lit(1.0), 1))
+    if quadratic:
+        design.append((F.lit(1.0), 2))
+        terms.append("actual_degree_centered_squared")
+    sums = []
+    for i, (x, p) in enumerate(design):
+        sums += [F.sum(x * z * F.col(f"sum_d{p + q}")).alias(f"g{i}_{i + k}") for k, (z, q) in enumerate(design[i:])]
+        sums += [F.sum(x * F.col(f"sum_y{p}_{o}")).alias(f"h{i}_{o}") for o in range(len(outcomes))]
+    return strata.withColumn("sum_d0", F.col("size").cast("double")).groupBy("draw").agg(*sums), len(design), terms
 
 
-def _solve(width: int, terms: Sequence[str], outcomes: Sequence[str], prefix: str):
+def _solve(width: int, terms: Sequence[str], outcomes: Sequence[str]):
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n = len(batch)
             gram, right = np.zeros((n, width, width)), np.zeros((n, width, len(outcomes)))
             for i in range(width):
                 for k in range(i, width):
-                    gram[:, i, k] = gram[:, k, i] = batch[f"{prefix}g{i}_{k}"]
+                    gram[:, i, k] = gram[:, k, i] = batch[f"g{i}_{k}"]
                 for o in range(len(outcomes)):
-                    right[:, i, o] = batch[f"{prefix}h{i}_{o}"]
+                    right[:, i, o] = batch[f"h{i}_{o}"]
             if n and (np.linalg.matrix_rank(gram) < width).any():
                 raise ValueError("rank-deficient family design")
             beta = np.linalg.solve(gram, right)
@@ -214,25 +218,36 @@ def _solve(width: int, terms: Sequence[str], outcomes: Sequence[str], prefix: st
 
 
 def adjusted_family(rows: DataFrame, outcomes: Sequence[str], quadratic: bool = False, draws: int = 2000, seed: int = 20260930) -> DataFrame:
-    """Least-squares family contrasts with stratified bootstrap intervals.
+    """Least-squares family contrasts with stratified bootstrap intervals."""
+    return adjusted_families(rows, outcomes, {"": quadratic}, draws, seed).drop("model")
 
-    Products of design columns are summed per draw; only the small normal
+
+def adjusted_families(rows: DataFrame, outcomes: Sequence[str], models: dict[str, bool], draws: int = 2000, seed: int = 20260930) -> DataFrame:
+    """``adjusted_family`` of several models (name, whether quadratic) that see the same draws.
+
+    Only moments of the centred degree and the outcomes are summed per stratum and
+    draw; products of design columns follow from them, and the small normal
     equations of each draw are solved, many draws per task. A singular design
     is an error.
     """
-    design, terms = family_design(rows, outcomes, quadratic)
-    width = len(terms)
-    cols, names = _products(design, width, outcomes)
-    products = design.select("graph_id", "n", "family", "degree_band", *cols)
-    schema = "draw bigint, term string, outcome string, estimate double"
-    whole = products.agg(*[F.sum(c).alias(c) for c in names]).withColumn("draw", F.lit(-1).cast("bigint"))
-    point = whole.mapInPandas(_solve(width, terms, outcomes, ""), schema).select("term", "outcome", "estimate")
-    if not draws:
-        return point
-    sums = draw_sums(products, [], ["n", "family", "degree_band"], "graph_id", names, draws, seed)
-    per_draw = sums.groupBy("draw").agg(*[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in names])
-    ci = interval(per_draw.mapInPandas(_solve(width, terms, outcomes, "sum_"), schema), ["term", "outcome"], "estimate")
-    return point.join(ci, ["term", "outcome"])
+    keys = ["n", "family", "degree_band"]
+    moments = _moments(outcomes, 1 + any(models.values()))
+    design = family_design(cut_lineage(rows.select("graph_id", *keys, "mean_degree", *outcomes)), outcomes).select(
+        "graph_id", *keys, *[c.alias(name) for name, c in moments.items()])
+    strata = design.groupBy(*keys).agg(F.lit(-1).cast("bigint").alias("draw"), *[F.sum(m).alias(f"sum_{m}") for m in moments], F.count(F.lit(1)).alias("size"))
+    if draws:
+        strata = strata.unionByName(draw_sums(design, [], keys, "graph_id", list(moments), draws, seed))
+    strata = cut_lineage(strata)
+    out = None
+    for model, quadratic in models.items():
+        sums, width, terms = _normal_sums(strata, outcomes, quadratic)
+        solved = cut_lineage(sums.mapInPandas(_solve(width, terms, outcomes), "draw bigint, term string, outcome string, estimate double"))
+        part = solved.where("draw < 0").select("term", "outcome", "estimate")
+        if draws:
+            part = part.join(interval(solved.where("draw >= 0"), ["term", "outcome"], "estimate"), ["term", "outcome"])
+        part = part.withColumn("model", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stability_report(prefixes: DataFrame, halves: DataFrame, union: DataFrame, cstar: DataFrame, last: str, before: str,

@@ -15,14 +15,21 @@ from restartlab.plans.scoring import FAULT, _deep_prefixes, _half_best, _prefix_
 METRICS = ["quality", "success"]
 
 
-def pairs(cat: Catalog, method: str = "1-URGENT", baseline: str = "5-LOW") -> DataFrame:
-    """One row per graph with both arms; every 400th graph is incomplete."""
-    arms = cat.arms()
+def paired_arms(cat: Catalog, method: str, baselines: list[str]) -> DataFrame:
+    """One row per graph and baseline ``arm`` with both arms, from one pass over the arms; every 400th graph is incomplete."""
+    values = F.struct("quality", "success_fraction")
+    is_method = F.col("arm") == method
+    graphs = (cat.arms().where(F.col("arm").isin(method, *baselines) & F.col("cell").isNotNull()).groupBy("graph_id", "cell")
+              .agg(F.max(F.when(is_method, values)).alias("m"), F.collect_list(F.when(F.col("arm").isin(*baselines), F.struct("arm", values.alias("v")))).alias("b")))
+    rows = graphs.where("m is not null").select("graph_id", "cell", "m", F.explode("b").alias("b"))
+    return rows.select("graph_id", "cell", F.col("m.quality").alias("method_quality"), F.col("m.success_fraction").alias("method_success"),
+                       F.col("b.v.quality").alias("baseline_quality"), F.col("b.v.success_fraction").alias("baseline_success"),
+                       (F.col("graph_id") % 400 != 0).alias("complete"), F.col("b.arm").alias("arm"))
+
 
-    def side(arm: str, name: str) -> DataFrame:
-        return arms.where(F.col("arm") == arm).select("graph_id", "cell", F.col("quality").alias(f"{name}_quality"),
-                                                      F.col("success_fraction").alias(f"{name}_success"))
-    return side(method, "method").join(side(baseline, "baseline"), ["graph_id", "cell"]).withColumn("complete", F.col("graph_id") % 400 != 0)
+def pairs(cat: Catalog, method: str = "1-URGENT", baseline: str = "5-LOW") -> DataFrame:
+    """One row per graph with both arms."""
+    return paired_arms(cat, method, [baseline]).drop("arm")
 
 
 FIXTURE_SQL["fx_pairs"] = """
@@ -72,10 +79,9 @@ _WARM_LONG = " UNION ALL ".join(
 
 def rule_pairs(cat: Catalog) -> DataFrame:
     """Rule starts against the three baselines, in the random scope and every hold-out scope."""
-    parts = []
-    for name, arm in (("B1", "5-LOW"), ("B2:medoid", "2-HIGH"), ("B2:aligned_median", "3-MEDIUM")):
-        parts.append(scoped(pairs(cat, "1-URGENT", arm), cat).withColumn("baseline", F.lit(name)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    names = {"5-LOW": "B1", "2-HIGH": "B2:medoid", "3-MEDIUM": "B2:aligned_median"}
+    rows = paired_arms(cat, "1-URGENT", list(names)).replace(names, subset=["arm"])
+    return scoped(rows.withColumnRenamed("arm", "baseline"), cat)
 
 
 RULE_KEYS = ["regime", "fold", "baseline"]
@@ -183,9 +189,7 @@ def family_rows(cat: Catalog) -> DataFrame:
 
 
 def _adjusted(cat: Catalog) -> DataFrame:
-    linear = C.adjusted_family(family_rows(cat), OUTCOMES, draws=2000).withColumn("model", F.lit("linear"))
-    quad = C.adjusted_family(family_rows(cat), OUTCOMES, True, draws=2000).withColumn("model", F.lit("quadratic"))
-    return linear.unionByName(quad)
+    return C.adjusted_families(family_rows(cat), OUTCOMES, {"linear": False, "quadratic": True}, draws=2000)
 
 
 def batch_summary(cat: Catalog) -> DataFrame:
