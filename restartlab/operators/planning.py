@@ -198,6 +198,21 @@ def shot_plan(starts: DataFrame, repetitions: int, methods: Sequence[str], level
         "perturbation_seed": F.substring(F.sha2(F.concat_ws("|", start, rep.cast("string"), F.col("method"), F.lit("perturbation")), 256), 1, 32)})
 
 
+def spread_starts(starts: DataFrame, share: int = 20_000) -> DataFrame:
+    """Starts in parts of about ``share``: few bytes, but each becomes dozens of tasks, so bytes alone would put too many into one part."""
+    stored = cut_lineage(starts)
+    return stored.repartition(stored.count() // share + 1)
+
+
+def seed_counts(plan: DataFrame) -> DataFrame:
+    """Per method: tasks, and different seeds of every role; a seed is one short binary row, grouped once for all roles."""
+    roles = ("measurement", "validation", "perturbation")
+    seeds = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("role"), F.unhex(f"{role}_seed").alias("seed")) for i, role in enumerate(roles)])
+    different = plan.select("method", F.explode(seeds).alias("s")).groupBy("method", "s.role", "s.seed").agg(F.count(F.lit(1)).alias("uses"))
+    return different.groupBy("method").agg(F.sum(F.when(F.col("role") == 0, F.col("uses"))).alias("tasks"),
+                                           *[F.count_if((F.col("role") == i) & F.col("seed").isNotNull()).alias(role) for i, role in enumerate(roles)])
+
+
 def shot_budget(starts: DataFrame, repetitions: int, methods: Sequence[str], levels: Sequence[int], query_cap: int,
                 validation_shots: int, compact: bool = True) -> DataFrame:
     """Task and shot caps in closed form, from start counts alone."""

@@ -123,9 +123,8 @@ def _controls(cat: Catalog) -> DataFrame:
 
 def _seeds(cat: Catalog) -> DataFrame:
     """Role seeds: measurement and validation differ by level, the perturbation is shared across levels and modes."""
-    p = _shot_plan(cat).where("method <> 'fixed'")
-    return p.groupBy("method").agg(F.count(F.lit(1)).alias("tasks"), F.count_distinct("measurement_seed").alias("measurement"),
-                                   F.count_distinct("validation_seed").alias("validation"), F.count_distinct("perturbation_seed").alias("perturbation"))
+    plan = L.shot_plan(L.spread_starts(starts(cat)), 2, METHODS, LEVELS)
+    return L.seed_counts(plan.where("method <> 'fixed'"))
 
 
 def _budget(cat: Catalog) -> DataFrame:
