@@ -2,13 +2,15 @@
 
 A resample of n graphs with replacement gives each graph a multinomial count.
 The counts come from a tree: a group's n picks are shared over super-blocks by
-one multinomial, a super-block's over its blocks by the next, a block's over its
-graphs by the last, inside the block's task. No row holds more than one level of
-one branch. Tasks emit one row of weighted sums per block and draw, so data are
-shuffled once and only draws x blocks partial sums move, whatever the number of
-graphs. The joint distribution is exactly that of n independent picks, and every
-metric of a comparison sees the same draws. Seeds are hashes of (seed, keys,
-place in the tree), so a recomputed task repeats its numbers.
+one multinomial, a super-block's over its blocks by the next. A block's task
+takes its share pick by pick, each a uniform place among the block's graphs, and
+counts them; a binomial number per graph and draw would cost several times more.
+No row holds more than one level of one branch. Tasks emit one row of weighted
+sums per block and draw, so data are shuffled once and only draws x blocks
+partial sums move, whatever the number of graphs. The joint distribution is
+exactly that of n independent picks, and every metric of a comparison sees the
+same draws. Seeds are hashes of (seed, keys, place in the tree), so a recomputed
+task repeats its numbers.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from restartlab.session import cut_lineage
 BLOCK = 16384
 FAN = 512  # blocks of a super-block
 CHUNK = 64
+PICKS = 16384  # picks counted at a time, few enough for the processor's cache
 
 
 def _generator(*parts: object) -> np.random.Generator:
@@ -33,6 +36,20 @@ def _generator(*parts: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(text.encode()).digest()[:16], "little"))
 
 
+def picked_sums(rng: np.random.Generator, picks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Column sums of ``picks[i]`` independent uniform picks among the rows of ``values``, one row of sums per draw ``i``."""
+    n = len(values)
+    sums = np.empty((len(picks), values.shape[1]))
+    step = max(1, PICKS // n)
+    for start in range(0, len(picks), step):
+        part = picks[start:start + step]
+        places = rng.integers(n, size=part.sum())
+        places += np.repeat(np.arange(len(part)) * n, part)
+        counts = np.bincount(places, minlength=len(part) * n).reshape(len(part), n)
+        sums[start:start + step] = counts.astype(float) @ values
+    return sums
+
+
 def draw_sums(rows: DataFrame, group: Sequence[str], stratum: Sequence[str], item: str, metrics: Sequence[str],
               draws: int, seed: int, block: int = BLOCK) -> DataFrame:
     """Resampled sums: one row per (group, stratum, draw) with ``size`` and one sum per metric.
@@ -69,11 +86,12 @@ def draw_sums(rows: DataFrame, group: Sequence[str], stratum: Sequence[str], ite
 
         return run
 
-    numbers = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // CHUNK)))
+    chunks = (draws - 1) // CHUNK + 1  # also the number of tasks: branches are small but costly
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     width = F.least(F.lit(CHUNK), F.lit(draws) - F.col("__chunk") * CHUNK)
-    first = supers.withColumn("__chunk", numbers).withColumn("__picks", F.transform(F.sequence(F.lit(1), width), lambda _: F.col("__n"))).drop("__n")
+    first = supers.withColumn("__chunk", numbers).withColumn("__picks", F.transform(F.sequence(F.lit(1), width), lambda _: F.col("__n"))).drop("__n").repartition(chunks, *keys, "__chunk")
     given = first.mapInPandas(share("supers", (), "__super"), f"{shape}__super int, __chunk int, __picks array<bigint>")
-    second = given.join(blocks.drop("__n"), [*keys, "__super"])
+    second = given.join(blocks.drop("__n"), [*keys, "__super"]).repartition(chunks, *keys, "__super", "__chunk")
     shares = second.mapInPandas(share("blocks", ("__super",), "__block"), f"{shape}__block int, __chunk int, __picks array<bigint>")
 
     def resample(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -82,12 +100,7 @@ def draw_sums(rows: DataFrame, group: Sequence[str], stratum: Sequence[str], ite
         picks = np.concatenate([np.asarray(p, dtype=np.int64) for p in right.sort_values("__chunk")["__picks"]])
         head = [left[k].iloc[0] for k in keys]
         rng = _generator(seed, "rows", *head, left["__block"].iloc[0])
-        even = np.full(len(values), 1 / len(values))
-        sums = np.empty((len(picks), len(metrics)))
-        for start in range(0, len(picks), CHUNK):
-            part = picks[start:start + CHUNK]
-            sums[start:start + CHUNK] = rng.multinomial(part, even, size=len(part)).astype(float) @ values
-        out = pd.DataFrame(sums, columns=[f"sum_{m}" for m in metrics])
+        out = pd.DataFrame(picked_sums(rng, picks, values), columns=[f"sum_{m}" for m in metrics])
         out.insert(0, "draw", np.arange(len(picks)))
         for k, value in zip(keys, head):
             out[k] = value
