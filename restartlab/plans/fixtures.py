@@ -31,8 +31,9 @@ class Catalog:
     def edges(self) -> DataFrame:
         return self.edge_rows().distinct()
 
-    def graphs(self) -> DataFrame:
-        sizes = self.edges().groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
+    def graphs(self, sizes: DataFrame | None = None) -> DataFrame:
+        """The study graphs; ``sizes`` (graph_id, m) where the number of edges is known already."""
+        sizes = self.edges().groupBy("graph_id").agg(F.count(F.lit(1)).alias("m")) if sizes is None else sizes
         # nation and region are closed dimension tables of the schema
         places = (self.table("supplier")
                   .join(F.broadcast(self.table("nation")), F.col("n_nationkey") == F.col("s_nationkey"))
