@@ -3,7 +3,8 @@
 Training rows are binned once and packed into blocks that stay cached with their
 running sums. A round grows one tree per (fit, depth); each of its levels is one
 pass over the blocks for residual sums and row counts by (model, node, feature,
-bin), left children only, as a right child is its parent less the left one. Only
+bin), smaller children only, as the other child is its parent less that one. The pass
+of a root also adds the trees of the round before. Only
 these sums reach the driver, which picks the splits. Residuals are summed as
 integers, so a model does not depend on how the rows are dealt. 100 rounds are the
 first 100 of 300.
@@ -56,7 +57,7 @@ def feature_cuts(rows: DataFrame, names: Sequence[str], accuracy: int = 10_000)
     return [sorted(set(x or [])) for x in sketch]
 
 
-def binned(rows: DataFrame, key: str, label: str, fold: Column, names: Sequence[str], cuts: list[list[float]], block: int = 4096) -> DataFrame:
+def binned(rows: DataFrame, key: str, label: str, fold: Column, names: Sequence[str], cuts: list[list[float]], block: int = 5000) -> DataFrame:
     """Rows packed into blocks: keys, fold numbers, labels and one byte per feature. Null features get their own bin."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,27 +77,34 @@ def binned(rows: DataFrame, key: str, label: str, fold: Column, names: Sequence[
     return flat.where("__label is not null").mapInPandas(pack, BLOCK)
 
 
-def walk(bins: np.ndarray, plan: Plan, trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], raw: np.ndarray) -> np.ndarray:
-    """Add trees (feature, cut, value by model and node) to the running sums (models, rows)."""
-    fit_of = np.array([f for f, _ in plan.models])
-    for feature, cut, value in trees:
-        raw = raw + np.take_along_axis(value, _place(bins, plan, fit_of, feature, cut, 3), 1)
-    return raw
-
-
-def _place(bins: np.ndarray, plan: Plan, fit_of: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """Node of every row in the tree of every model; a node without a split keeps its rows."""
-    at = np.zeros((len(feature), len(bins)), np.int64)
-    rows = np.arange(len(bins))[None, :]
-    for _ in range(levels):
-        f = np.take_along_axis(feature, at, 1)
-        safe = np.maximum(f, 0)
-        b = bins[rows, safe]
-        b = np.where(b == MISSING, plan.fill[fit_of[:, None], safe], b)
-        at = np.where(f < 0, at, 2 * at + 1 + (b > np.take_along_axis(cut, at, 1)))
+def _steps(plan: Plan, fit: int, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Next node by node and bin of one tree, missing values as the fit reads them; a node without a split keeps its rows."""
+    node = np.arange(len(feature))[:, None]
+    bins = np.repeat(np.arange(BINS)[None, :], len(feature), 0)
+    bins[:, MISSING] = plan.fill[fit, np.maximum(feature, 0)]
+    return np.where(feature[:, None] < 0, node, 2 * node + 1 + (bins > cut[:, None])).astype(np.intp)
+
+
+def _place(bins: np.ndarray, plan: Plan, fit: int, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """Node of every row (features, rows) in one tree after some levels."""
+    count = bins.shape[1]
+    if feature[0] < 0:
+        return np.zeros(count, np.intp)
+    steps = _steps(plan, fit, feature[:2**levels - 1], cut[:2**levels - 1])
+    at = steps[0][bins[feature[0]]]
+    flat, steps, start, row = bins.ravel(), steps.ravel(), np.maximum(feature, 0) * count, np.arange(count)
+    for _ in range(1, levels):
+        at = steps[at * BINS + flat[start[at] + row]]
     return at
 
 
+def walk(bins: np.ndarray, plan: Plan, tree: tuple[np.ndarray, np.ndarray, np.ndarray], raw: np.ndarray) -> np.ndarray:
+    """Add a round's trees (feature, cut, value by model and node) to the running sums (models, rows)."""
+    feature, cut, value = tree
+    wide = np.ascontiguousarray(bins.T)
+    return np.stack([raw[m] + value[m][_place(wide, plan, f, feature[m], cut[m], d)] for m, (f, d) in enumerate(plan.models)])
+
+
 def _opened(row, plan: Plan, features: int) -> tuple:
     """A block in memory: keys (packed), fold numbers, labels, bins and the running sums (models, rows), start values at first."""
     fold, label = np.frombuffer(row.fold, np.int32), np.frombuffer(row.label, float)
@@ -107,18 +115,24 @@ def _opened(row, plan: Plan, features: int) -> tuple:
 def _advanced(plan: Plan, tree: tuple):
     def run(block: tuple) -> tuple:
         ids, fold, label, bins, raw = block
-        return ids, fold, label, bins, walk(bins, plan, [tree], raw)
+        return ids, fold, label, bins, walk(bins, plan, tree, raw)
 
     return run
 
 
-def _filled(bins: np.ndarray, plan: Plan, f: int) -> list[np.ndarray]:
-    """One array of bins per feature, missing values as fit f reads them."""
-    out = []
-    for i in range(bins.shape[1]):
-        one = bins[:, i].astype(np.intp)
-        out.append(np.where(one == MISSING, plan.fill[f, i], one) if (one == MISSING).any() else one)
-    return out
+def _spots(bins: np.ndarray) -> np.ndarray:
+    """Place of every value (rows, features) among features x bins: all features of a row are counted together."""
+    return bins + np.arange(bins.shape[1], dtype=np.intp) * BINS
+
+
+def _told(total: dict[int, np.ndarray], fits: Sequence[int], plan: Plan) -> Iterator[tuple]:
+    """Sums by model or fit, with those of missing values in the bin that the fit reads for them."""
+    for key, one in total.items():
+        for i, bin_ in enumerate(plan.fill[fits[key]]):
+            missing = one[..., i, MISSING].copy()
+            one[..., i, MISSING] = 0
+            one[..., i, bin_] += missing
+        yield key, one
 
 
 def _counts(plan: Plan, features: int):
@@ -127,50 +141,49 @@ def _counts(plan: Plan, features: int):
     def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
         total: dict[int, np.ndarray] = {}
         for _, fold, _, bins, _ in blocks:
+            spots = _spots(bins)
             for f, left_out in enumerate(plan.fits):
-                pick = fold != left_out
-                one = np.stack([np.bincount(x[pick], minlength=BINS) for x in _filled(bins, plan, f)])
+                one = np.bincount(spots[fold != left_out].ravel(), minlength=features * BINS).reshape(features, BINS)
                 total[f] = total.get(f, 0) + one
-        yield from total.items()
+        yield from _told(total, range(len(plan.fits)), plan)
 
     return run
 
 
 def _histogram(plan: Plan, features: int, now: tuple, level: int):
-    """Partial sums of one level of the current trees, per model: (2, nodes, features, bins) of sums and counts of left children; sums alone of the root."""
+    """Partial sums of one level of the current trees, per model: (2, nodes, features, bins) of sums and counts of one child of each node; sums alone of the root.
+
+    ``now`` has the features and cuts of the trees so far, and which child of a node it is (0 left, 1 right).
+    """
 
     def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
         total: dict[int, np.ndarray] = {}
-        nodes = 2**max(level - 1, 0)
-        fit_of = np.array([f for f, _ in plan.models])
+        nodes, many = 2**max(level - 1, 0), features * BINS
+        fit_of = [f for f, _ in plan.models]
         deep = [m for m, (_, d) in enumerate(plan.models) if d > level]
         for _, fold, label, bins, raw in blocks:
-            place = np.zeros((len(deep), len(bins)), np.int64)
-            if level:
-                place = _place(bins, plan, fit_of[deep], now[0][deep], now[1][deep], level)
-            own, wide = -1, []
-            for at, m in enumerate(deep):
-                f = plan.models[m][0]
-                if f != own:
-                    own, wide, trained = f, _filled(bins, plan, f), fold != plan.fits[f]
+            spots, weights = _spots(bins), np.empty((len(bins), features))
+            wide = np.ascontiguousarray(bins.T) if level else None
+            trained = [fold != left_out for left_out in plan.fits]
+            for m in deep:
+                f = fit_of[m]
                 rest = np.rint((label - raw[m]) * SCALE)  # whole numbers: a block's sums are exact in double
+                if m not in total:
+                    total[m] = np.zeros((2 if level else 1, nodes, features, BINS), np.int64)
                 if not level:
-                    rest = np.where(trained, rest, 0)
-                    one = np.stack([np.bincount(x, rest, BINS) for x in wide]).astype(np.int64)[None, None]
-                else:
-                    node = place[at] - (2**level - 1)
-                    pick = np.flatnonzero(trained & (node >= 0) & (node % 2 == 0))
-                    spot, rest = (node[pick] >> 1) * BINS, rest[pick]
-                    one = np.empty((2, nodes, features, BINS), np.int64)
-                    for i, x in enumerate(wide):
-                        here = spot + x[pick]
-                        one[0, :, i] = np.bincount(here, rest, nodes * BINS).astype(np.int64).reshape(nodes, BINS)
-                        one[1, :, i] = np.bincount(here, minlength=nodes * BINS).reshape(nodes, BINS)
-                if m in total:
-                    total[m] += one
-                else:
-                    total[m] = one
-        yield from total.items()
+                    weights[:] = np.where(trained[f], rest, 0)[:, None]
+                    total[m][0, 0] += np.bincount(spots.ravel(), weights.ravel(), many).astype(np.int64).reshape(features, BINS)
+                    continue
+                place, side = _place(wide, plan, f, now[0][m], now[1][m], level), now[2][m, nodes - 1:2 * nodes - 1]
+                for node in range(nodes):
+                    pick = np.flatnonzero((place == 2**level - 1 + 2 * node + side[node]) & trained[f])
+                    if not len(pick):
+                        continue
+                    own, load = spots[pick].ravel(), weights[:len(pick)]
+                    load[:] = rest[pick][:, None]
+                    total[m][0, node] += np.bincount(own, load.ravel(), many).astype(np.int64).reshape(features, BINS)
+                    total[m][1, node] += np.bincount(own, minlength=many).reshape(features, BINS)
+        yield from _told(total, fit_of, plan)
 
     return run
 
@@ -210,7 +223,7 @@ def grow(blocks: RDD, plan: Plan, features: int, rounds: int, states: Sequence[i
 
     Blocks stay cached; a lost one comes back from the last checkpoint and the trees since.
     """
-    data, done, kept, models = blocks.persist(StorageLevel.MEMORY_AND_DISK), [], {}, plan.models
+    data, before, done, kept, models = blocks.persist(StorageLevel.MEMORY_AND_DISK), None, [], {}, plan.models
     roots = _summed(data.mapPartitions(_counts(plan, features)))
     none = np.zeros((1, features, BINS), np.int64)
     for turn in range(1, rounds + 1):
@@ -218,7 +231,12 @@ def grow(blocks: RDD, plan: Plan, features: int, rounds: int, states: Sequence[i
         cut, value, cover = np.zeros((len(models), 15), np.int64), np.zeros((len(models), 15)), np.zeros((len(models), 15), np.int64)
         above: dict[int, np.ndarray] = {}  # histograms (2, nodes, features, bins) of the level above
         for level in range(max(plan.depths)):
-            found = _summed(data.mapPartitions(_histogram(plan, features, (feature, cut), level)))
+            child = np.zeros((len(models), 15), np.int64)
+            child[:, :7] = cover[:, 2:15:2] < cover[:, 1:15:2]
+            found = _summed(data.mapPartitions(_histogram(plan, features, (feature, cut, child), level)))
+            if before is not None:  # the pass of the root has made the blocks of this round
+                before.unpersist()
+                before = None
             here: dict[int, np.ndarray] = {}
             for m, (fit, depth) in enumerate(models):
                 if depth <= level:
@@ -226,10 +244,11 @@ def grow(blocks: RDD, plan: Plan, features: int, rounds: int, states: Sequence[i
                 if not level:
                     here[m] = np.stack([found[m][0, 0][None], roots[fit][None]]) if m in found else np.stack([none, none])
                 else:
-                    split = feature[m, np.arange(2**(level - 1)) + 2**(level - 1) - 1] >= 0
-                    left = found[m] if m in found else np.zeros_like(above[m])
-                    right = np.where(split[None, :, None, None], above[m] - left, 0)
-                    here[m] = np.stack([left, right], 2).reshape(2, 2**level, features, BINS)
+                    parents = np.arange(2**(level - 1)) + 2**(level - 1) - 1
+                    small = found[m] if m in found else np.zeros_like(above[m])
+                    other = np.where((feature[m, parents] >= 0)[None, :, None, None], above[m] - small, 0)
+                    right = (child[m, parents] == 1)[None, :, None, None]
+                    here[m] = np.stack([np.where(right, other, small), np.where(right, small, other)], 2).reshape(2, 2**level, features, BINS)
                 sums, counts = here[m]
                 f, c, left, right, own = best_splits(sums, counts)
                 nodes = np.arange(2**level) + 2**level - 1
@@ -249,9 +268,8 @@ def grow(blocks: RDD, plan: Plan, features: int, rounds: int, states: Sequence[i
         before, data = data, data.map(_advanced(plan, (feature, cut, value)), preservesPartitioning=True).persist(StorageLevel.MEMORY_AND_DISK)
         if turn % REPLAY == 0 or turn in states:
             checkpointed_rdd(spark, data)
-        else:
-            data.count()
-        before.unpersist()
+            before.unpersist()
+            before = None
         if turn in states:
             kept[turn] = _stored(spark, data)
     data.unpersist()
